@@ -1,0 +1,135 @@
+"""Greedy diversity filter and the near-duplicate links behind it."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Row, functions as F
+
+from rankforge.operators.similarity import (
+    FINGERPRINT, WORD_COLUMNS, near_classes, size_class, tanimoto,
+)
+from rankforge.operators.toplists import top_rows
+from rankforge.session import written
+
+KEEP = 100
+BLOCK = 1000
+
+
+def _similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    return tanimoto([a[w] for w in WORD_COLUMNS], a["n"], [b[w] for w in WORD_COLUMNS], b["n"])
+
+
+def _fields(struct: Column) -> dict[str, Column]:
+    return {c: struct[c] for c in FINGERPRINT}
+
+
+def _greedy(block: DataFrame, threshold: float, room: int) -> Row:
+    """Choose from one block of at most BLOCK rows in order, inside one task.
+
+    Returns the chosen rows, the number of rows in the block and its last position.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("pos", *FINGERPRINT)))
+
+    def take(kept: Column, row: Column) -> Column:
+        close = F.exists(kept, lambda k: _similarity(_fields(k), _fields(row)) > threshold)
+        return F.when((F.size(kept) >= room) | close, kept).otherwise(
+            F.array_append(kept, row))
+
+    chosen = block.agg(rows.alias("rows")).select(
+        F.aggregate("rows", F.slice("rows", 1, 0), take).alias("kept"), F.size("rows").alias("n"),
+        F.array_max(F.transform("rows", lambda r: r["pos"])).alias("last"))
+    return chosen.first()
+
+
+def _kept_table(ranked: DataFrame, kept: list) -> DataFrame:
+    """The chosen rows (at most KEEP) as a table with their place in the list."""
+    schema = ranked.select("pos", *FINGERPRINT).schema
+    data = [tuple(r[c] for c in ("pos", *FINGERPRINT)) for r in kept]
+    table = ranked.sparkSession.createDataFrame(data, schema)
+    return table.withColumnsRenamed({c: f"k_{c}" for c in ("pos", *FINGERPRINT)})
+
+
+def _near_kept() -> Column:
+    left = {c: F.col(c) for c in FINGERPRINT}
+    right = {c: F.col(f"k_{c}") for c in FINGERPRINT}
+    return _similarity(left, right)
+
+
+def _by_class(kept: DataFrame, threshold: float) -> DataFrame:
+    plain = kept.withColumn("n", F.col("k_n"))
+    return F.broadcast(near_classes(plain, threshold).drop("n"))
+
+
+def choose_diverse(ranked: DataFrame, threshold: float = 0.8, keep: int = KEEP) -> DataFrame:
+    """The greedy choice over a table with ``pos`` (sortable, unique) and a fingerprint.
+
+    Going by ``pos``, a row is chosen unless an earlier chosen row is more similar than the
+    threshold; at most ``keep`` rows are chosen.  Rows are taken in blocks of fixed size.  After
+    each block one distributed pass removes every row that is similar to a chosen one, so large
+    groups of near copies vanish together, and each pass chooses at least one more row.  Only the
+    chosen rows, at most ``keep``, come to the driver.
+    """
+    open_rows = ranked.filter("n IS NOT NULL").withColumn(
+        "_class", size_class(F.col("n"), threshold))
+    kept: list = []
+    last = None
+    while len(kept) < keep:
+        rest = open_rows
+        if kept:
+            close = _by_class(_kept_table(ranked, kept), threshold)
+            rest = rest.filter(F.col("pos") > last)
+            rest = rest.join(
+                close, (rest["_class"] == close["_class"]) & (_near_kept() > threshold),
+                "left_anti")
+        block = rest.select("pos", *FINGERPRINT).orderBy("pos").limit(BLOCK)
+        found = _greedy(block, threshold, keep - len(kept))
+        if not found["n"]:
+            break
+        kept += found["kept"]
+        last = F.lit(found["last"])
+        if found["n"] < BLOCK:
+            break
+    return _kept_table(ranked, kept)
+
+
+def diversity_filter(
+    df: DataFrame, category: str, order: Column, order_columns: list[Column],
+    threshold: float = 0.8, keep: int = KEEP,
+) -> DataFrame:
+    """Keep a diverse subset, best rows first.
+
+    ``order`` is a sortable unique mark of the wanted order.  Peptides keep their first ``keep``
+    rows; a table without fingerprints, or one where nothing is chosen, comes back unchanged.
+    """
+    if category == "amp":
+        return top_rows(df, order_columns, keep)
+    if not set(FINGERPRINT) <= set(df.columns):
+        return df
+    ranked = written(df.select(order.alias("pos"), *FINGERPRINT), "diversity")
+    kept = choose_diverse(ranked, threshold, keep)
+    if not kept.take(1):
+        return df
+    return (df.withColumn("pos", order)
+            .join(F.broadcast(kept.select(F.col("k_pos").alias("pos"))), "pos", "left_semi")
+            .drop("pos"))
+
+
+def near_duplicate_links(ranked: DataFrame, threshold: float = 0.8, keep: int = KEEP) -> DataFrame:
+    """For every row the greedy choice rejected: the first chosen row it is too similar to.
+
+    These are the pairs the greedy choice itself compares and finds similar.  Each rejected row
+    gives one link, so a group of n copies gives n links and not n squared pairs.
+    """
+    kept = choose_diverse(ranked, threshold, keep)
+    close = _by_class(kept, threshold)
+    rows = ranked.filter("n IS NOT NULL").withColumn("_class", size_class(F.col("n"), threshold))
+    full = kept.count() >= keep
+    if full:
+        end = kept.agg(F.max("k_pos")).first()[0]
+        rows = rows.filter(F.col("pos") <= F.lit(end))
+    pairs = rows.join(
+        close,
+        (rows["_class"] == close["_class"]) & (F.col("k_pos") < F.col("pos"))
+        & (_near_kept() > threshold))
+    return pairs.groupBy("pos").agg(
+        F.min(F.struct("k_pos", _near_kept().alias("similarity"))).alias("_m")
+    ).select("pos", F.col("_m.k_pos").alias("near_pos"), F.col("_m.similarity").alias("similarity"))
