@@ -104,14 +104,16 @@ def scaffold_key(c: Column) -> Column:
     return F.regexp_replace(c, r"[@/\\]", "")
 
 
+def _runs(items: Column, n: int) -> Column:
+    """All runs of n neighbouring tokens as texts; empty when there are fewer tokens."""
+    starts = F.sequence(F.lit(1), F.size(items) - (n - 1))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), " "))
+    return F.when(F.size(items) >= n, runs).otherwise(F.slice(items, 1, 0))
+
+
 def token_grams(items: Column, longest: int = 3) -> Column:
     """All runs of 1 to ``longest`` neighbouring tokens, distinct."""
-    grams = []
-    for n in range(1, longest + 1):
-        starts = F.sequence(F.lit(1), F.size(items) - (n - 1))
-        runs = F.transform(starts, lambda i, n=n: F.array_join(F.slice(items, i, n), " "))
-        grams.append(F.when(F.size(items) >= n, runs).otherwise(F.slice(items, 1, 0)))
-    return F.array_distinct(F.flatten(F.array(*grams)))
+    return F.array_distinct(F.concat(*[_runs(items, n) for n in range(1, longest + 1)]))
 
 
 def hashed_bits(items: Column, n_bits: int = 1024) -> Column:

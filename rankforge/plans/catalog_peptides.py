@@ -111,7 +111,7 @@ WITH {counted()},
 {TERMINAL},
 {HALVING}
 SELECT pep_id, sequence, {DESCRIPTOR_SQL}, {EXTENDED_SQL}
-FROM terminal JOIN halving USING (pep_id) WHERE i = 20""", recursive=True), f"{RATIOS} {EXTENDED} {COMPOSITION}", 6))
+FROM terminal JOIN halving USING (pep_id) WHERE i = 20""", recursive=True), f"{RATIOS} {EXTENDED} {COMPOSITION}"))
 def all_features(spark: SparkSession, folder: str) -> DataFrame:
     rows = V.peptides(spark, folder).select("pep_id", "sequence").filter("sequence <> ''")
-    return rounded(rows.transform(S.featurize), 6)
+    return rounded(rows.transform(S.featurize))

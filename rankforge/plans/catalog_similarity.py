@@ -1,0 +1,143 @@
+"""Registered queries: similarity search, screens, diversity and vector similarity."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from rankforge.operators import cleaning, diversity, joins, similarity
+from rankforge.operators.toplists import best_first, top_rows
+from rankforge.plans import standins as V
+from rankforge.plans.registry import query, rounded, rounded_sql
+
+PAIRS = """shared AS (
+  SELECT d.doc_id, i.item_id, count(*) AS inter FROM doc_bits d JOIN item_bits i USING (bit) GROUP BY ALL),
+pairs AS (
+  SELECT s.doc_id, s.item_id, 'item' || s.item_id AS query, inter / (d.n + i.n - inter) AS similarity
+  FROM shared s JOIN doc_sizes d USING (doc_id) JOIN item_sizes i USING (item_id)),
+top_hits AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS r
+  FROM pairs WHERE similarity >= 0.2)"""
+
+
+@query("x01_m10_fingerprint_sizes", V.sql("doc_fp", "SELECT doc_id, CAST(n AS INT) AS n, "
+       "CAST((SELECT count(*) FROM doc_bits b WHERE b.doc_id = s.doc_id AND bit < 64) AS INT) AS first_word FROM doc_sizes s"))
+def sizes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = V.document_fingerprints(spark, folder).filter("n > 0")
+    return rows.select("doc_id", "n", F.bit_count("w0").alias("first_word"))
+
+
+@query("j03_x01_similar_pairs", rounded_sql(V.sql("doc_fp item_fp", f"""
+WITH {PAIRS} SELECT query, doc_id, similarity FROM pairs WHERE similarity >= 0.2"""), "similarity"))
+def similar_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    hits = similarity.find_similar(
+        V.document_fingerprints(spark, folder), V.benchmark_fingerprints(spark, folder), "doc_id", 0.2)
+    return rounded(hits.drop("query_pos"))
+
+
+@query("x02_w02_l03_similarity_search", rounded_sql(V.sql("doc_fp item_fp", f"""
+WITH {PAIRS}
+SELECT query, doc_id, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS r2
+  FROM pairs WHERE similarity >= 0.3) WHERE r2 <= 10"""), "similarity"))
+def search(spark: SparkSession, folder: str) -> DataFrame:
+    hits = similarity.top_similar(
+        V.document_fingerprints(spark, folder), V.benchmark_fingerprints(spark, folder), "doc_id", 10, 0.3)
+    return rounded(hits.drop("query_pos"))
+
+
+@query("a01_best_reference", rounded_sql(V.sql("doc_fp item_fp", f"""
+WITH {PAIRS}
+SELECT doc_id, max(similarity) AS similarity, arg_min(query, item_id) AS reference FROM top_hits WHERE r <= 50 GROUP BY doc_id"""),
+    "similarity"))
+def best_reference(spark: SparkSession, folder: str) -> DataFrame:
+    hits = similarity.top_similar(
+        V.document_fingerprints(spark, folder), V.benchmark_fingerprints(spark, folder), "doc_id", 50, 0.2)
+    return rounded(similarity.best_reference(hits, "doc_id"))
+
+
+BEST = """best AS (
+  SELECT doc_id, max(similarity) AS similarity, arg_min(query, item_id) AS reference FROM top_hits WHERE r <= 50 GROUP BY doc_id)"""
+
+
+@query("x03_l04_reference_screen", rounded_sql(V.sql("doc_fp item_fp", f"""
+WITH {PAIRS}, {BEST}
+SELECT doc_id, similarity, reference, similarity AS probability_active, 0.5 * similarity + 0.5 * similarity AS combined_score
+FROM best ORDER BY similarity DESC, doc_id LIMIT 20"""), "similarity probability_active combined_score"))
+def screen(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(similarity.screen(
+        V.document_fingerprints(spark, folder), V.benchmark_fingerprints(spark, folder), "doc_id", 20))
+
+
+def probabilities(spark: SparkSession, folder: str) -> DataFrame:
+    """A probability for every document with an even id."""
+    docs = V.read(spark, folder, "documents").select("doc_id", "n_chars")
+    return docs.filter("doc_id % 2 = 0").select(
+        "doc_id", ((F.col("n_chars") * 31 % 997) / 997.0).alias("probability_active"))
+
+
+JOINED = """joined AS (
+  SELECT doc_id, similarity, reference, probability_active FROM best
+  FULL JOIN (SELECT doc_id, (n_chars * 31 % 997) / 997.0::DOUBLE AS probability_active FROM documents WHERE doc_id % 2 = 0)
+  USING (doc_id))"""
+
+
+@query("j02_full_outer_join", rounded_sql(V.sql("doc_fp item_fp", f"WITH {PAIRS}, {BEST}, {JOINED} SELECT * FROM joined"),
+       "similarity probability_active"))
+def full_outer(spark: SparkSession, folder: str) -> DataFrame:
+    hits = similarity.best_reference(similarity.top_similar(
+        V.document_fingerprints(spark, folder), V.benchmark_fingerprints(spark, folder), "doc_id", 50, 0.2), "doc_id")
+    return rounded(joins.attach_hits(probabilities(spark, folder), hits, "doc_id"))
+
+
+@query("r11_l05_screen_with_predictions", rounded_sql(V.sql("doc_fp item_fp", f"""
+WITH {PAIRS}, {BEST}, {JOINED}
+SELECT *, 0.5 * coalesce(probability_active, 0) + 0.5 * coalesce(similarity, 0) AS combined_score FROM joined
+ORDER BY round(combined_score, 12) DESC, doc_id LIMIT 50"""), "similarity probability_active combined_score"))
+def screen_predicted(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(similarity.screen(
+        V.document_fingerprints(spark, folder), V.benchmark_fingerprints(spark, folder), "doc_id", 50,
+        predictions=probabilities(spark, folder)))
+
+
+GREEDY = """items AS (
+  SELECT doc_id, list_sort(list(bit)) AS bits FROM doc_bits GROUP BY doc_id),
+ranked AS (SELECT doc_id, bits, row_number() OVER (ORDER BY doc_id) AS r FROM items),
+walk AS (
+  SELECT 0::BIGINT AS r, []::STRUCT(doc_id BIGINT, bits BIGINT[])[] AS kept
+  UNION ALL
+  SELECT x.r, CASE WHEN len(list_filter(kept, lambda k: len(list_intersect(k.bits, x.bits))
+      / (len(k.bits) + len(x.bits) - len(list_intersect(k.bits, x.bits))) > 0.8)) > 0 THEN kept
+    ELSE list_append(kept, {'doc_id': x.doc_id, 'bits': x.bits}) END
+  FROM walk w JOIN ranked x ON x.r = w.r + 1 WHERE len(kept) < 100),
+final AS (SELECT r AS last_r, kept FROM walk ORDER BY r DESC LIMIT 1),
+chosen AS (SELECT unnest(kept, recursive := true) FROM final)"""
+
+
+@query("x04_diversity_filter", V.sql("doc_fp", f"WITH {GREEDY} SELECT doc_id FROM chosen", recursive=True))
+def diverse(spark: SparkSession, folder: str) -> DataFrame:
+    rows = V.document_fingerprints(spark, folder).filter("n > 0")
+    kept = diversity.diversity_filter(rows, "polyphenol", F.col("doc_id"), [F.asc("doc_id")])
+    return kept.select("doc_id")
+
+
+@query("j04_near_duplicate_links", rounded_sql(V.sql("doc_fp", f"""
+WITH {GREEDY}
+SELECT x.doc_id AS pos, min(c.doc_id) AS near_pos, arg_min(len(list_intersect(c.bits, x.bits))
+    / (len(c.bits) + len(x.bits) - len(list_intersect(c.bits, x.bits))), c.doc_id) AS similarity
+FROM final f JOIN ranked x ON x.r <= f.last_r JOIN chosen c ON c.doc_id < x.doc_id
+WHERE len(list_intersect(c.bits, x.bits)) / (len(c.bits) + len(x.bits) - len(list_intersect(c.bits, x.bits))) > 0.8
+GROUP BY x.doc_id""", recursive=True), "similarity"))
+def links(spark: SparkSession, folder: str) -> DataFrame:
+    rows = V.document_fingerprints(spark, folder).filter("n > 0").withColumnRenamed("doc_id", "pos")
+    return rounded(diversity.near_duplicate_links(rows))
+
+
+@query("x05_vector_similarity", rounded_sql("""
+SELECT e.label, q.vec_id AS query, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity
+FROM embeddings e JOIN (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q USING (label)
+QUALIFY row_number() OVER (PARTITION BY e.label ORDER BY similarity DESC, e.vec_id) <= 10""", "similarity", 6))
+def vectors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = V.read(spark, folder, "embeddings")
+    first = cleaning.keep_first(rows, ["label"], ["vec_id"])
+    asked = first.select("label", F.col("vec_id").alias("query"), F.col("embedding").alias("query_vector"))
+    return rounded(similarity.cosine_top_k(rows, asked, "label", "vec_id", "embedding", 10), 6)
