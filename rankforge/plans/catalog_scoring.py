@@ -71,7 +71,7 @@ def rank_sql(k: int, weights: dict[str, float]) -> str:
     FROM (SELECT *, {activity} AS activity_score, {drug} AS druglikeness_score FROM molecules WHERE mol_id % 4 = {i})
     ORDER BY 0.5 * activity_score + 0.3 * druglikeness_score + 0.1 DESC, smiles LIMIT {k}""")
     union = "\n  UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
-    weight = "CASE category " + " ".join(f"WHEN '{c}' THEN {w}" for c, w in weights.items()) + " ELSE 1.0 END"
+    weight = "CASE " + " ".join(f"WHEN category = '{c}' THEN {w}" for c, w in weights.items()) + " ELSE 1.0 END" if weights else "1.0"
     return V.sql("peptides molecules", f"""
 WITH {PEPTIDE_CTE}, combined AS ({union})
 SELECT category, structure, activity_score, druglikeness_score,
@@ -120,7 +120,7 @@ def druglikeness(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("r04_l01_rank_one_category", rounded_sql(V.sql("molecules", f"""
 SELECT mol_id, smiles, activity_score, druglikeness_score, 0.6 * activity_score + 0.3 * druglikeness_score + 0.1 * 0.5 AS composite_score
-FROM (SELECT *, probability_active AS activity_score, {DRUG['schiff_base'].replace('"LogP"', '"LogP"')} AS druglikeness_score FROM molecules)"""),
+FROM (SELECT *, probability_active AS activity_score, {DRUG['schiff_base']} AS druglikeness_score FROM molecules)"""),
     "activity_score druglikeness_score composite_score"))
 def rank_one(spark: SparkSession, folder: str) -> DataFrame:
     rows = V.molecules(spark, folder)
@@ -225,15 +225,15 @@ def screen_degraders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("t23_r13_design_for_target", V.sql("molecules", f"""
-WITH {FRAGMENT_CTE},
+WITH {TABLE_SQL}, {FRAGMENT_CTE},
 made AS (SELECT product AS smiles FROM ({THREE_PART_SQL}) UNION SELECT product FROM recombined),
 amounts AS (
   SELECT smiles, CAST(len(string_split(smiles, 'C(=O)N')) + len(string_split(smiles, 'NC(=O)')) - 2 AS INT) AS amides,
     CAST(greatest(1, len(regexp_extract_all(smiles, '[CNOPS]')) // 3) AS INT) AS chain FROM made)
-SELECT smiles, round(CAST({bonus(0.3, 'amides >= 1')} + {bonus(0.3, 'chain >= 3 AND chain <= 15')} AS DOUBLE), 9) AS degrader_score, 'LpxC' AS target
-FROM amounts"""))
+SELECT smiles, round({DEGRADER_SCORE.replace('"Num', 'd."Num')}, 9) AS degrader_score, 'LpxC' AS target
+FROM amounts LEFT JOIN descriptors d USING (smiles)"""))
 def design(spark: SparkSession, folder: str) -> DataFrame:
-    table = descriptor_table(spark, folder).select("smiles", "NumRings", "NumRotatableBonds").filter("smiles = ''")
+    table = descriptor_table(spark, folder).select("smiles", "NumRings", "NumRotatableBonds")
     made = jobs.design_for_target(fragment_rows(spark, folder), "fragments", "mol_id", table, "LpxC", 8)
     return rounded(made.select("smiles", "degrader_score", "target"))
 
