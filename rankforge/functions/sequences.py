@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankforge import config as C
 from rankforge.functions.text import (
-    add_all, count_letters, hash_choice, hash_number, pick_letter, replace_first,
+    add_all, count_letter, hash_choice, hash_number, pick_letter, replace_first,
 )
 
 DESCRIPTORS = [
@@ -33,7 +33,7 @@ def _with_counts(df: DataFrame, sequence: str) -> DataFrame:
     """Add the upper-cased text and one count per residue letter as working columns."""
     df = df.withColumn("_s", F.upper(F.col(sequence)))
     return df.withColumns(
-        {_count(a): count_letters(F.col("_s"), a) for a in C.AMINO_ACIDS}
+        {_count(a): count_letter(F.col("_s"), a) for a in C.AMINO_ACIDS}
         | {"_len": F.length("_s")}
     )
 
@@ -125,7 +125,7 @@ def _charge_at(ph: Column) -> Column:
     ])
 
 
-def _isoelectric_point(steps: int = 20) -> Column:
+def _isoelectric_point(steps: int = 17) -> Column:
     """pH of zero charge inside the usual range by interval halving, to two decimals."""
     low, high = C.PI_RANGE
     start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
@@ -144,24 +144,15 @@ def _isoelectric_point(steps: int = 20) -> Column:
     )
 
 
-def add_extended_descriptors(
-    df: DataFrame, sequence: str = "sequence", helix: str = C.HELIX, turn: str = C.TURN,
-    sheet: str = C.SHEET,
-) -> DataFrame:
-    """Mass, charge curve, isoelectric point, structure shares and composition ratios.
-
-    Expects cleaned sequences. The helix, turn and sheet letters are parameters because
-    published sets differ.
-    """
-    counted = _with_counts(df, sequence).withColumns({
-        "_pk_n": _terminal_pk(
-            C.PK_N_TERMINUS, C.PK_N_TERMINUS_BY_RESIDUE, F.substring("_s", 1, 1)),
-        "_pk_c": _terminal_pk(
-            C.PK_C_TERMINUS, C.PK_C_TERMINUS_BY_RESIDUE, F.substring("_s", -1, 1)),
-    })
+def _extended_columns(helix: str, turn: str, sheet: str) -> dict[str, Column]:
     present = F.col("_len") > 0
     total = _sum_counts(C.AMINO_ACIDS)
-    out = counted.withColumns({
+    shares = {
+        f"aa_{a}_ratio": F.when(
+            present, F.coalesce(F.try_divide(F.col(_count(a)), total), F.lit(0.0)))
+        for a in C.AMINO_ACIDS
+    }
+    return {
         "length": F.when(present, F.col("_len")),
         "molecular_weight": F.when(
             present, _weighted(C.AMINO_ACID_MASS) - F.lit(C.WATER_MASS) * (F.col("_len") - 1)),
@@ -173,17 +164,36 @@ def add_extended_descriptors(
         "helix_frac": _per_residue(_sum_counts(helix)),
         "turn_frac": _per_residue(_sum_counts(turn)),
         "sheet_frac": _per_residue(_sum_counts(sheet)),
-    } | {
-        f"aa_{a}_ratio": F.when(
-            present, F.coalesce(F.try_divide(F.col(_count(a)), total), F.lit(0.0)))
-        for a in C.AMINO_ACIDS
+    } | shares
+
+
+def _with_terminal_pk(counted: DataFrame) -> DataFrame:
+    first, last = F.substring("_s", 1, 1), F.substring("_s", -1, 1)
+    return counted.withColumns({
+        "_pk_n": _terminal_pk(C.PK_N_TERMINUS, C.PK_N_TERMINUS_BY_RESIDUE, first),
+        "_pk_c": _terminal_pk(C.PK_C_TERMINUS, C.PK_C_TERMINUS_BY_RESIDUE, last),
     })
-    return _drop_counts(out).drop("_pk_n", "_pk_c")
+
+
+def add_extended_descriptors(
+    df: DataFrame, sequence: str = "sequence", helix: str = C.HELIX, turn: str = C.TURN,
+    sheet: str = C.SHEET,
+) -> DataFrame:
+    """Mass, charge curve, isoelectric point, structure shares and composition ratios.
+
+    Expects cleaned sequences. The helix, turn and sheet letters are parameters because
+    published sets differ.
+    """
+    counted = _with_terminal_pk(_with_counts(df, sequence))
+    return _drop_counts(
+        counted.withColumns(_extended_columns(helix, turn, sheet))).drop("_pk_n", "_pk_c")
 
 
 def featurize(df: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """All peptide features of one sequence in one projection."""
-    return df.transform(add_descriptors, sequence).transform(add_extended_descriptors, sequence)
+    """All peptide features of one sequence; the letters are counted once for both sets."""
+    counted = _with_terminal_pk(_with_counts(df, sequence))
+    both = _descriptor_columns() | _extended_columns(C.HELIX, C.TURN, C.SHEET)
+    return _drop_counts(counted.withColumns(both)).drop("_pk_n", "_pk_c")
 
 
 def one_hot_indices(c: Column, max_length: int = 50) -> Column:

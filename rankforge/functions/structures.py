@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankforge import config as C
 from rankforge.functions.text import (
-    count_letters, count_matches, count_text, hash_choice, replace_first,
+    bind, count_letters, count_matches, count_text, hash_choice, replace_first,
 )
 
 ATOM = r"\[[^\]]+\]|Br|Cl|[BCNOPSFIbcnops]"
@@ -25,24 +25,30 @@ def atoms(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(ATOM), F.lit(0))
 
 
-def is_valid_structure(c: Column) -> Column:
-    """Lexical validity: known tokens only, balanced parentheses, paired ring labels."""
-    known = F.length(F.array_join(tokens(c), "")) == F.length(c)
-    outside = F.regexp_replace(c, r"\[[^\]]*\]", "")
+def _balanced(outside: Column) -> Column:
+    """Parentheses close in order and none stays open."""
     steps = F.split(F.regexp_replace(outside, r"[^()]", ""), "")
     depth = F.aggregate(
         steps, F.lit(0),
         lambda d, ch: F.when(d < 0, d).when(ch == "(", d + 1).when(ch == ")", d - 1).otherwise(d),
     )
-    labels = F.regexp_extract_all(outside, F.lit(r"%[0-9][0-9]|[0-9]"), F.lit(0))
-    paired = F.forall(
+    return depth == 0
+
+
+def _rings_closed(outside: Column) -> Column:
+    """Every ring label occurs an even number of times."""
+    found = F.regexp_extract_all(outside, F.lit(r"%[0-9][0-9]|[0-9]"), F.lit(0))
+    return bind(found, lambda labels: F.forall(
         F.array_distinct(labels),
-        lambda x: F.size(F.filter(labels, lambda y: y == x)) % 2 == 0,
-    )
-    return (
-        F.coalesce(F.length(c) > 0, F.lit(False)) & (F.size(atoms(c)) > 0) & known
-        & (depth == 0) & paired
-    )
+        lambda x: F.size(F.filter(labels, lambda y: y == x)) % 2 == 0))
+
+
+def is_valid_structure(c: Column) -> Column:
+    """Lexical validity: known tokens only, balanced parentheses, paired ring labels."""
+    known = F.length(F.array_join(tokens(c), "")) == F.length(c)
+    shape = bind(
+        F.regexp_replace(c, r"\[[^\]]*\]", ""), lambda o: _balanced(o) & _rings_closed(o))
+    return F.coalesce(F.length(c) > 0, F.lit(False)) & c.rlike(ATOM) & known & shape
 
 
 def amide_count(c: Column) -> Column:
@@ -117,18 +123,17 @@ def token_grams(items: Column, longest: int = 3) -> Column:
 
 
 def hashed_bits(items: Column, n_bits: int = 1024) -> Column:
-    """Sorted distinct bit numbers of a set of texts."""
-    bits = F.transform(
+    """Distinct bit numbers of a set of texts."""
+    return F.array_distinct(F.transform(
         items,
         lambda x: (F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint") % n_bits)
-        .cast("int"),
-    )
-    return F.array_sort(F.array_distinct(bits))
+        .cast("int")))
 
 
 def structure_bits(c: Column, n_bits: int = 1024, longest: int = 3) -> Column:
-    """Hashed fingerprint of a structure as set bits; null when the structure is invalid."""
-    return F.when(is_valid_structure(c), hashed_bits(token_grams(tokens(c), longest), n_bits))
+    """Hashed fingerprint of a structure as sorted set bits; null when the structure is invalid."""
+    bits = bind(tokens(c), lambda t: hashed_bits(token_grams(t, longest), n_bits))
+    return F.when(is_valid_structure(c), F.sort_array(bits))
 
 
 def structure_keys(c: Column, patterns: list[str] | None = None) -> Column:
@@ -176,4 +181,4 @@ def shuffled_rules(rules: list[tuple[str, str]], *parts, **kw) -> Column:
         )
         for i, (target, replacement) in enumerate(rules)
     ]
-    return F.array_sort(F.array(*entries))
+    return F.sort_array(F.array(*entries))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -27,9 +28,21 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it.
+
+    A column that is repeated inside a lambda would be computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def count_letter(c: Column, letter: str) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(letter), F.lit("")))
+
+
 def count_letters(c: Column, letters: str) -> Column:
     """How many characters of ``c`` are among ``letters``."""
-    return F.length(c) - F.length(F.translate(c, letters, ""))
+    return add_all([count_letter(c, a) for a in letters])
 
 
 def count_text(c: Column, piece: str) -> Column:

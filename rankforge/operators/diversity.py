@@ -27,7 +27,7 @@ def _greedy(block: DataFrame, threshold: float, room: int) -> Row:
 
     Returns the chosen rows, the number of rows in the block and its last position.
     """
-    rows = F.array_sort(F.collect_list(F.struct("pos", *FINGERPRINT)))
+    rows = F.sort_array(F.collect_list(F.struct("pos", *FINGERPRINT)))
 
     def take(kept: Column, row: Column) -> Column:
         close = F.exists(kept, lambda k: _similarity(_fields(k), _fields(row)) > threshold)

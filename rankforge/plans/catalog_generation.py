@@ -19,7 +19,7 @@ def h(*parts: str) -> str:
 
 
 def order_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return V.read(spark, folder, "orders").select("o_orderkey")
+    return V.read_spread(spark, folder, "orders", "o_orderkey")
 
 
 @query("g01_j01_pair_products", V.sql("reactants", """

@@ -95,7 +95,7 @@ HALVING = f"""halving AS (
   UNION ALL
   SELECT h.pep_id, CASE WHEN {charge('((lo+hi)/2)')} > 0 THEN (lo+hi)/2 ELSE lo END,
     CASE WHEN {charge('((lo+hi)/2)')} > 0 THEN hi ELSE (lo+hi)/2 END, i + 1
-  FROM halving h JOIN terminal t USING (pep_id) WHERE i < 20)"""
+  FROM halving h JOIN terminal t USING (pep_id) WHERE i < 17)"""
 EXTENDED_SQL = f"""CAST({MASS} - 18.0153 * (len - 1) AS DOUBLE) AS molecular_weight, (nF + nW + nY) / len AS aromaticity,
   round((lo + hi) / 2, 2) AS isoelectric_point, CAST(({HYDROPATHY}) / len AS DOUBLE) AS gravy,
   {charge('7.0')} AS "charge_at_pH7", {charge('5.0')} AS "charge_at_pH5",
@@ -111,7 +111,7 @@ WITH {counted()},
 {TERMINAL},
 {HALVING}
 SELECT pep_id, sequence, {DESCRIPTOR_SQL}, {EXTENDED_SQL}
-FROM terminal JOIN halving USING (pep_id) WHERE i = 20""", recursive=True), f"{RATIOS} {EXTENDED} {COMPOSITION}"))
+FROM terminal JOIN halving USING (pep_id) WHERE i = 17""", recursive=True), f"{RATIOS} {EXTENDED} {COMPOSITION}"))
 def all_features(spark: SparkSession, folder: str) -> DataFrame:
     rows = V.peptides(spark, folder).select("pep_id", "sequence").filter("sequence <> ''")
     return rounded(rows.transform(S.featurize))

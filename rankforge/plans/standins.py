@@ -12,7 +12,7 @@ from rankforge import config as C
 from rankforge.functions.structures import hashed_bits
 from rankforge.functions.sequences import clean_sequence
 from rankforge.operators.similarity import add_fingerprint
-from rankforge.sources.tables import normalize_nan
+from rankforge.sources.tables import normalize_nan, spread_small
 
 TAILS = ["", "C(=O)N", "C(=O)O", "NC(=O)C", "OC", "CCl", "N", "c1ccncc1"]
 LIGANDS = ["O=CC1=CC=CC=C1", "O=CC1=CC=CC=C1O", "O=CCC", "NC1=CC=CC=C1"]
@@ -22,13 +22,18 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def read_spread(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
+    """The needed columns, over all cores, for work that is heavy per row."""
+    return spread_small(read(spark, folder, table).select(*columns))
+
+
 def choose(values: list[str], number: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), number.cast("int"))
 
 
 def segments(spark: SparkSession, folder: str) -> DataFrame:
     """Every sentence or line of every document as a raw peptide record."""
-    docs = read(spark, folder, "documents").select("doc_id", "text")
+    docs = read_spread(spark, folder, "documents", "doc_id", "text")
     parts = docs.select("doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("seg", "raw"))
     d, s = F.col("doc_id"), F.col("seg").cast("bigint")
     pep_id = d * 1000000 + s
@@ -70,7 +75,7 @@ peptides AS (
 
 def molecules(spark: SparkSession, folder: str) -> DataFrame:
     """One molecule per part: a structure text built from the row, and descriptor columns."""
-    part = read(spark, folder, "part").select("p_partkey", "p_size", "p_brand")
+    part = read_spread(spark, folder, "part", "p_partkey", "p_size", "p_brand")
     k, size = F.col("p_partkey"), F.col("p_size").cast("bigint")
     brand = F.expr("cast(substr(p_brand, 7) as int)")
     smiles = F.concat(
@@ -158,7 +163,7 @@ def word_bits(c: Column) -> Column:
 
 
 def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read(spark, folder, "documents").select("doc_id", "text")
+    docs = read_spread(spark, folder, "documents", "doc_id", "text")
     return add_fingerprint(docs, word_bits(F.col("text"))).drop("text")
 
 

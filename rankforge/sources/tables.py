@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rankforge.functions.text import nan_to_null
-from rankforge.session import shared_folder  # noqa: F401  (re-exported for callers)
-
 REACTANTS = "type STRING, name STRING, smiles STRING"
 PEPTIDES = "sequence STRING, mic DOUBLE, target STRING, activity STRING"
 MOLECULES = (
@@ -21,6 +19,15 @@ LANDED_LOOKUPS = (
 )
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal a table that comes in fewer pieces than there are cores over all cores.
+
+    A larger table already has enough pieces and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def normalize_nan(df: DataFrame) -> DataFrame:
     """NaN becomes null in every floating column, so that comparisons with it are false."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
