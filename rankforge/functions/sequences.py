@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankforge import config as C
 from rankforge.functions.text import (
-    add_all, count_letter, hash_choice, hash_number, pick_letter, replace_first,
+    add_all, bind, count_letter, hash_choice, hash_number, pick_letter, replace_first,
 )
 
 DESCRIPTORS = [
@@ -100,47 +100,40 @@ def add_basic_descriptors(df: DataFrame, sequence: str = "sequence") -> DataFram
     return _drop_counts(out)
 
 
-def _terminal_pk(default: float, table: dict[str, float], residue: Column) -> Column:
-    pk = F.lit(default)
-    for letter, value in table.items():
-        pk = F.when(residue == letter, F.lit(value)).otherwise(pk)
-    return pk
+def _terminal_k(default: float, table: dict[str, float], residue: Column) -> Column:
+    """10^pK of a terminal group, which depends on the residue there."""
+    k = F.lit(10.0 ** default)
+    for letter, pk in table.items():
+        k = F.when(residue == letter, F.lit(10.0 ** pk)).otherwise(k)
+    return k
 
 
-def _charge_terms() -> list[tuple[Column, Column, int]]:
-    """(amount, pK, sign) of every ionizable group, terminal groups included."""
-    terms = [(F.col(_count(a)), F.lit(pk), 1) for a, pk in C.PK_POSITIVE.items()]
-    terms += [(F.col(_count(a)), F.lit(pk), -1) for a, pk in C.PK_NEGATIVE.items()]
-    terms.append((F.lit(1), F.col("_pk_n"), 1))
-    terms.append((F.lit(1), F.col("_pk_c"), -1))
-    return terms
+def _charge_at(ph: Column) -> Column:
+    """Net charge at a pH by the Henderson-Hasselbalch relation.
 
+    With t = 10^pH and K = 10^pK a basic group carries K / (K + t) and an acidic one -t / (K + t),
+    so one power per evaluation is enough.
+    """
+    basic = [(F.col(_count(a)), F.lit(10.0 ** pk)) for a, pk in C.PK_POSITIVE.items()]
+    acidic = [(F.col(_count(a)), F.lit(10.0 ** pk)) for a, pk in C.PK_NEGATIVE.items()]
+    basic.append((F.lit(1), F.col("_k_n")))
+    acidic.append((F.lit(1), F.col("_k_c")))
 
-def _charge_at(ph: Column) -> Column:
-    """Net charge at a pH by the Henderson-Hasselbalch relation."""
-    return add_all([
-        F.lit(float(sign)) * amount
-        / (F.lit(1.0) + F.pow(F.lit(10.0), F.lit(float(sign)) * (ph - pk)))
-        for amount, pk, sign in _charge_terms()
-    ])
+    def total(t: Column) -> Column:
+        return add_all([n * k / (k + t) for n, k in basic]) - add_all(
+            [n * t / (k + t) for n, k in acidic])
+
+    return bind(F.pow(F.lit(10.0), ph), total)
 
 
 def _isoelectric_point(steps: int = 17) -> Column:
     """pH of zero charge inside the usual range by interval halving, to two decimals."""
     low, high = C.PI_RANGE
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = (state["lo"] + state["hi"]) / 2
-        above = _charge_at(middle) > 0
-        return F.struct(
-            F.when(above, middle).otherwise(state["lo"]).alias("lo"),
-            F.when(above, state["hi"]).otherwise(middle).alias("hi"),
-        )
-
+    widths = [(high - low) / 2 ** i for i in range(1, steps + 1)]
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), start, halve,
-        lambda state: F.round((state["lo"] + state["hi"]) / 2, 2),
+        F.array(*[F.lit(w) for w in widths]), F.lit(low),
+        lambda lower, w: F.when(_charge_at(lower + w) > 0, lower + w).otherwise(lower),
+        lambda lower: F.round(lower + widths[-1] / 2, 2),
     )
 
 
@@ -167,11 +160,11 @@ def _extended_columns(helix: str, turn: str, sheet: str) -> dict[str, Column]:
     } | shares
 
 
-def _with_terminal_pk(counted: DataFrame) -> DataFrame:
+def _with_terminal_k(counted: DataFrame) -> DataFrame:
     first, last = F.substring("_s", 1, 1), F.substring("_s", -1, 1)
     return counted.withColumns({
-        "_pk_n": _terminal_pk(C.PK_N_TERMINUS, C.PK_N_TERMINUS_BY_RESIDUE, first),
-        "_pk_c": _terminal_pk(C.PK_C_TERMINUS, C.PK_C_TERMINUS_BY_RESIDUE, last),
+        "_k_n": _terminal_k(C.PK_N_TERMINUS, C.PK_N_TERMINUS_BY_RESIDUE, first),
+        "_k_c": _terminal_k(C.PK_C_TERMINUS, C.PK_C_TERMINUS_BY_RESIDUE, last),
     })
 
 
@@ -184,16 +177,16 @@ def add_extended_descriptors(
     Expects cleaned sequences. The helix, turn and sheet letters are parameters because
     published sets differ.
     """
-    counted = _with_terminal_pk(_with_counts(df, sequence))
+    counted = _with_terminal_k(_with_counts(df, sequence))
     return _drop_counts(
-        counted.withColumns(_extended_columns(helix, turn, sheet))).drop("_pk_n", "_pk_c")
+        counted.withColumns(_extended_columns(helix, turn, sheet))).drop("_k_n", "_k_c")
 
 
 def featurize(df: DataFrame, sequence: str = "sequence") -> DataFrame:
     """All peptide features of one sequence; the letters are counted once for both sets."""
-    counted = _with_terminal_pk(_with_counts(df, sequence))
+    counted = _with_terminal_k(_with_counts(df, sequence))
     both = _descriptor_columns() | _extended_columns(C.HELIX, C.TURN, C.SHEET)
-    return _drop_counts(counted.withColumns(both)).drop("_pk_n", "_pk_c")
+    return _drop_counts(counted.withColumns(both)).drop("_k_n", "_k_c")
 
 
 def one_hot_indices(c: Column, max_length: int = 50) -> Column:

@@ -130,10 +130,15 @@ def hashed_bits(items: Column, n_bits: int = 1024) -> Column:
         .cast("int")))
 
 
+def token_bits(c: Column, n_bits: int = 1024, longest: int = 3) -> Column:
+    """Hashed fingerprint of a valid structure as sorted set bits."""
+    return F.sort_array(
+        bind(tokens(c), lambda t: hashed_bits(token_grams(t, longest), n_bits)))
+
+
 def structure_bits(c: Column, n_bits: int = 1024, longest: int = 3) -> Column:
-    """Hashed fingerprint of a structure as sorted set bits; null when the structure is invalid."""
-    bits = bind(tokens(c), lambda t: hashed_bits(token_grams(t, longest), n_bits))
-    return F.when(is_valid_structure(c), F.sort_array(bits))
+    """The same, and null when the structure is invalid."""
+    return F.when(is_valid_structure(c), token_bits(c, n_bits, longest))
 
 
 def structure_keys(c: Column, patterns: list[str] | None = None) -> Column:

@@ -77,9 +77,9 @@ def find_similar(
     a class with many rows is spread over many tasks.
     """
     words = [F.col(w) for w in WORD_COLUMNS]
-    db = database.filter("n > 0").select(
+    db = database.select(
         key, *FINGERPRINT, size_class(F.col("n"), threshold).alias("_class"))
-    asked = near_classes(queries.filter("n > 0").select("query", "query_pos", *FINGERPRINT), threshold)
+    asked = near_classes(queries.select("query", "query_pos", *FINGERPRINT), threshold)
     asked = asked.withColumnsRenamed({c: f"q_{c}" for c in FINGERPRINT})
     if fits_broadcast(queries):
         pairs = db.join(F.broadcast(asked), "_class")

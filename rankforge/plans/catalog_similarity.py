@@ -8,6 +8,7 @@ from rankforge.operators import cleaning, diversity, joins, similarity
 from rankforge.operators.toplists import best_first, top_rows
 from rankforge.plans import standins as V
 from rankforge.plans.registry import query, rounded, rounded_sql
+from rankforge.session import written
 
 PAIRS = """shared AS (
   SELECT d.doc_id, i.item_id, count(*) AS inter FROM doc_bits d JOIN item_bits i USING (bit) GROUP BY ALL),
@@ -115,7 +116,7 @@ chosen AS (SELECT unnest(kept, recursive := true) FROM final)"""
 
 @query("x04_diversity_filter", V.sql("doc_fp", f"WITH {GREEDY} SELECT doc_id FROM chosen", recursive=True))
 def diverse(spark: SparkSession, folder: str) -> DataFrame:
-    rows = V.document_fingerprints(spark, folder).filter("n > 0")
+    rows = written(V.document_fingerprints(spark, folder), "fingerprints").filter("n > 0")
     kept = diversity.diversity_filter(rows, "polyphenol", F.col("doc_id"), [F.asc("doc_id")])
     return kept.select("doc_id")
 
@@ -128,7 +129,8 @@ FROM final f JOIN ranked x ON x.r <= f.last_r JOIN chosen c ON c.doc_id < x.doc_
 WHERE len(list_intersect(c.bits, x.bits)) / (len(c.bits) + len(x.bits) - len(list_intersect(c.bits, x.bits))) > 0.8
 GROUP BY x.doc_id""", recursive=True), "similarity"))
 def links(spark: SparkSession, folder: str) -> DataFrame:
-    rows = V.document_fingerprints(spark, folder).filter("n > 0").withColumnRenamed("doc_id", "pos")
+    rows = written(V.document_fingerprints(spark, folder), "fingerprints").filter("n > 0")
+    rows = rows.withColumnRenamed("doc_id", "pos")
     return rounded(diversity.near_duplicate_links(rows))
 
 

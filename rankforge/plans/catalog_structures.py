@@ -100,9 +100,8 @@ grams AS (
 SELECT mol_id, list_sort(list(DISTINCT CAST(CAST(('0x' || substr(md5(g), 1, 8)) AS BIGINT) % 2048 AS INT))) AS bits
 FROM grams GROUP BY mol_id"""))
 def bits(spark: SparkSession, folder: str) -> DataFrame:
-    rows = V.molecules(spark, folder).select(
-        "mol_id", M.structure_bits(F.col("smiles"), 2048).alias("bits"))
-    return rows.filter("bits IS NOT NULL")
+    rows = cleaning.valid_structures(V.molecules(spark, folder).select("mol_id", "smiles"))
+    return rows.select("mol_id", M.token_bits(F.col("smiles"), 2048).alias("bits"))
 
 
 @query("m11_structure_keys", V.sql("molecules", """
