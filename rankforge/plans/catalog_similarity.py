@@ -100,18 +100,17 @@ def screen_predicted(spark: SparkSession, folder: str) -> DataFrame:
         predictions=probabilities(spark, folder)))
 
 
-GREEDY = """items AS (
-  SELECT doc_id, list_sort(list(bit)) AS bits FROM doc_bits GROUP BY doc_id),
-ranked AS (SELECT doc_id, bits, row_number() OVER (ORDER BY doc_id) AS r FROM items),
+GREEDY = """ranked AS MATERIALIZED (
+  SELECT doc_id, n, b, row_number() OVER (ORDER BY doc_id) AS r
+  FROM (SELECT doc_id, bitstring_agg(CAST(bit AS INT), 0, 1023) AS b, count(*) AS n FROM doc_bits GROUP BY doc_id)),
 walk AS (
-  SELECT 0::BIGINT AS r, []::STRUCT(doc_id BIGINT, bits BIGINT[])[] AS kept
+  SELECT 0::BIGINT AS r, []::STRUCT(doc_id BIGINT, n BIGINT, b BIT)[] AS kept
   UNION ALL
-  SELECT x.r, CASE WHEN len(list_filter(kept, lambda k: len(list_intersect(k.bits, x.bits))
-      / (len(k.bits) + len(x.bits) - len(list_intersect(k.bits, x.bits))) > 0.8)) > 0 THEN kept
-    ELSE list_append(kept, {'doc_id': x.doc_id, 'bits': x.bits}) END
+  SELECT x.r, CASE WHEN len(list_filter(kept, lambda k: bit_count(k.b & x.b) / (k.n + x.n - bit_count(k.b & x.b)) > 0.8)) > 0
+    THEN kept ELSE list_append(kept, {'doc_id': x.doc_id, 'n': x.n, 'b': x.b}) END
   FROM walk w JOIN ranked x ON x.r = w.r + 1 WHERE len(kept) < 100),
-final AS (SELECT r AS last_r, kept FROM walk ORDER BY r DESC LIMIT 1),
-chosen AS (SELECT unnest(kept, recursive := true) FROM final)"""
+final AS MATERIALIZED (SELECT r AS last_r, kept FROM walk ORDER BY r DESC LIMIT 1),
+chosen AS MATERIALIZED (SELECT unnest(kept, recursive := true) FROM final)"""
 
 
 @query("x04_diversity_filter", V.sql("doc_fp", f"WITH {GREEDY} SELECT doc_id FROM chosen", recursive=True))
@@ -123,10 +122,10 @@ def diverse(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("j04_near_duplicate_links", rounded_sql(V.sql("doc_fp", f"""
 WITH {GREEDY}
-SELECT x.doc_id AS pos, min(c.doc_id) AS near_pos, arg_min(len(list_intersect(c.bits, x.bits))
-    / (len(c.bits) + len(x.bits) - len(list_intersect(c.bits, x.bits))), c.doc_id) AS similarity
+SELECT x.doc_id AS pos, min(c.doc_id) AS near_pos,
+  arg_min(bit_count(c.b & x.b) / (c.n + x.n - bit_count(c.b & x.b)), c.doc_id) AS similarity
 FROM final f JOIN ranked x ON x.r <= f.last_r JOIN chosen c ON c.doc_id < x.doc_id
-WHERE len(list_intersect(c.bits, x.bits)) / (len(c.bits) + len(x.bits) - len(list_intersect(c.bits, x.bits))) > 0.8
+WHERE bit_count(c.b & x.b) / (c.n + x.n - bit_count(c.b & x.b)) > 0.8
 GROUP BY x.doc_id""", recursive=True), "similarity"))
 def links(spark: SparkSession, folder: str) -> DataFrame:
     rows = written(V.document_fingerprints(spark, folder), "fingerprints").filter("n > 0")

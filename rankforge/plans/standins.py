@@ -141,15 +141,12 @@ VALID_SQL = """(length({c}) > 0
   AND len(regexp_extract_all({c}, '\\[[^\\]]+\\]|Br|Cl|[BCNOPSFIbcnops]')) > 0
   AND length(array_to_string(regexp_extract_all({c},
     '\\[[^\\]]+\\]|Br|Cl|[BCNOPSFIbcnops]|%[0-9][0-9]|[0-9]|[()=#./\\\\:~*$+-]'), '')) = length({c})
-  AND length(regexp_replace(regexp_replace({c}, '\\[[^\\]]*\\]', '', 'g'), '[^(]', '', 'g'))
-    = length(regexp_replace(regexp_replace({c}, '\\[[^\\]]*\\]', '', 'g'), '[^)]', '', 'g'))
-  AND len(list_filter(range(1, length({c}) + 1), lambda i:
-    length(regexp_replace(regexp_replace({c}[1:i], '\\[[^\\]]*\\]', '', 'g'), '[^(]', '', 'g'))
-    < length(regexp_replace(regexp_replace({c}[1:i], '\\[[^\\]]*\\]', '', 'g'), '[^)]', '', 'g')))) = 0
-  AND len(list_filter(list_distinct(regexp_extract_all(
-      regexp_replace({c}, '\\[[^\\]]*\\]', '', 'g'), '%[0-9][0-9]|[0-9]')), lambda d:
-    len(list_filter(regexp_extract_all(regexp_replace({c}, '\\[[^\\]]*\\]', '', 'g'),
-      '%[0-9][0-9]|[0-9]'), lambda e: e = d)) % 2 <> 0)) = 0)"""
+  AND len(list_filter([regexp_replace({c}, '\\[[^\\]]*\\]', '', 'g')], lambda o:
+    length(replace(o, '(', '')) = length(replace(o, ')', ''))
+    AND len(list_filter([regexp_replace(o, '[^()]', '', 'g')], lambda q: len(list_filter(range(1, length(q) + 1),
+      lambda i: length(replace(q[1:i], ')', '')) < length(replace(q[1:i], '(', '')))) = 0)) = 1
+    AND len(list_filter([regexp_extract_all(o, '%[0-9][0-9]|[0-9]')], lambda l: len(list_filter(list_distinct(l),
+      lambda d: len(list_filter(l, lambda e: e = d)) % 2 <> 0)) = 0)) = 1)) = 1)"""
 
 
 def valid_sql(column: str) -> str:
