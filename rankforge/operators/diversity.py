@@ -108,9 +108,9 @@ def diversity_filter(
     kept = choose_diverse(ranked, threshold, keep)
     if not kept.take(1):
         return df
-    return (df.withColumn("pos", order)
-            .join(F.broadcast(kept.select(F.col("k_pos").alias("pos"))), "pos", "left_semi")
-            .drop("pos"))
+    # At most ``keep`` rows.
+    marks = F.broadcast(kept.select(F.col("k_pos").alias("_pos")))
+    return df.withColumn("_pos", order).join(marks, "_pos", "left_semi").drop("_pos")
 
 
 def near_duplicate_links(ranked: DataFrame, threshold: float = 0.8, keep: int = KEEP) -> DataFrame:

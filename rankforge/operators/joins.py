@@ -16,6 +16,11 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def numbers(n: int) -> Column:
+    """The array 0 to n - 1 of 64-bit numbers."""
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def pair_up(left: DataFrame, right: DataFrame, cells: int = 64) -> DataFrame:
     """Every left row with every right row.
 
@@ -29,9 +34,9 @@ def pair_up(left: DataFrame, right: DataFrame, cells: int = 64) -> DataFrame:
                 .join(F.broadcast(right.withColumn("_cell", F.lit(0))), "_cell").drop("_cell"))
     line = F.pmod(F.xxhash64(*left.columns), F.lit(cells))
     column = F.pmod(F.xxhash64(*right.columns), F.lit(cells))
-    numbers = F.sequence(F.lit(0), F.lit(cells - 1))
-    spread_left = left.withColumns({"_line": line, "_column": F.explode(numbers).cast("bigint")})
-    spread_right = right.withColumns({"_column": column, "_line": F.explode(numbers).cast("bigint")})
+    every = F.explode(numbers(cells))
+    spread_left = left.withColumns({"_line": line, "_column": every})
+    spread_right = right.withColumns({"_column": column, "_line": every})
     return spread_left.join(spread_right, ["_line", "_column"]).drop("_line", "_column")
 
 

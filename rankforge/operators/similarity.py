@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankforge.functions.text import add_all
-from rankforge.operators.joins import attach_hits, fits_broadcast
+from rankforge.operators.joins import attach_hits, fits_broadcast, numbers
 from rankforge.operators.scoring import combined_screen_score
 from rankforge.operators.toplists import best_first, top_per_group, top_rows
 
@@ -84,9 +84,8 @@ def find_similar(
     if fits_broadcast(queries):
         pairs = db.join(F.broadcast(asked), "_class")
     else:
-        salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
         db = db.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-        asked = asked.withColumn("_salt", F.explode(salts).cast("bigint"))
+        asked = asked.withColumn("_salt", F.explode(numbers(SALTS)))
         pairs = db.join(asked, ["_class", "_salt"])
     similarity = tanimoto(words, F.col("n"), [F.col(f"q_{w}") for w in WORD_COLUMNS], F.col("q_n"))
     return (pairs.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold)

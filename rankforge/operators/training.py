@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -71,6 +73,7 @@ def add_class_weights(df: DataFrame, label: str, classes: tuple = (0, 1)) -> Dat
 
 def _neighbours_in_block(columns: list[str], key: str, k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
         points = pdf[columns].to_numpy(float)
         squares = (points ** 2).sum(axis=1)
         distance = squares[:, None] + squares[None, :] - 2 * points @ points.T
@@ -93,7 +96,7 @@ def oversample_minority(
     minority neighbours.  Neighbours are searched inside blocks of about ``block`` minority rows
     that lie next to each other along one fixed random direction, so no task ever holds more than
     a block and no pairwise join runs; with up to ``block`` minority rows there is a single block
-    and the search is exact.  Counting the two classes runs one small job.
+    and the search is exact.  Counting the classes and measuring the direction run small jobs.
     """
     counts = {r[label]: r["n"] for r in
               train.filter(F.col(label).isin(0, 1)).groupBy(label).agg(F.count("*").alias("n")).collect()}
@@ -108,7 +111,9 @@ def oversample_minority(
         place = sum((F.col(c) * float(d) for c, d in zip(columns, direction)), F.lit(0.0))
         placed = rows.withColumn("_place", place)
         slabs = min(n_blocks, MAX_SLABS)
-        edges = placed.approxQuantile("_place", [i / slabs for i in range(1, slabs)], 0.1 / slabs)
+        middle, width = placed.agg(F.avg("_place"), F.stddev_pop("_place")).first()
+        bell = NormalDist(round(middle, 6), max(round(width, 6), 1e-6))
+        edges = [bell.inv_cdf(i / slabs) for i in range(1, slabs)]
         slab = F.size(F.filter(F.lit(edges), lambda e: F.col("_place") >= e))
         placed = placed.withColumn("_slab", slab).drop("_place")
         sizes = placed.groupBy("_slab").agg(F.count("*").alias("_size"))

@@ -1,0 +1,109 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from rankforge.operators import diversity, similarity
+
+
+def table(spark, sets):
+    rows = [(i, None if s is None else sorted(s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "pos BIGINT, b ARRAY<INT>")
+    return similarity.add_fingerprint(df, F.col("b")).drop("b")
+
+
+def sim(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def greedy(sets, threshold, keep):
+    kept = []
+    for i, s in enumerate(sets):
+        if s is None:
+            continue
+        if all(sim(s, sets[k]) <= threshold for k in kept):
+            kept.append(i)
+        if len(kept) >= keep:
+            break
+    return kept
+
+
+def near_copies(seed, n=300, hot=100):
+    rng = random.Random(seed)
+    base = set(rng.sample(range(1024), 40))
+    sets = []
+    for i in range(n):
+        if i % 3 == 0:
+            s = set(base)
+            for _ in range(rng.randint(0, 3)):
+                s.discard(rng.choice(sorted(s)))
+        elif i % 17 == 0:
+            s = None
+        elif i % 29 == 0:
+            s = set()
+        else:
+            s = set(rng.sample(range(60), rng.randint(3, 12)))
+        sets.append(s)
+    return sets
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("block,keep", [(1000, 100), (13, 40)])
+def test_equals_plain_greedy(spark, monkeypatch, seed, block, keep):
+    monkeypatch.setattr(diversity, "BLOCK", block)
+    sets = near_copies(seed, 200)
+    threshold = 0.5
+    got = diversity.choose_diverse(table(spark, sets).repartition(5), threshold, keep)
+    assert sorted(r["k_pos"] for r in got.collect()) == greedy(sets, threshold, keep)
+
+
+def test_chain_keeps_both_ends(spark):
+    a = set(range(100))
+    b = set(range(5, 105))
+    c = set(range(12, 112))
+    assert sim(a, b) > 0.8 > sim(a, c)
+    got = diversity.choose_diverse(table(spark, [a, b, c]), 0.8)
+    assert sorted(r["k_pos"] for r in got.collect()) == [0, 2]
+
+
+def test_similarity_equal_to_the_threshold_is_kept(spark):
+    a, b = set(range(10)), set(range(8))
+    assert sim(a, b) == 0.8
+    got = diversity.choose_diverse(table(spark, [a, b]), 0.8)
+    assert got.count() == 2
+
+
+def test_at_most_hundred_and_unchanged_cases(spark):
+    sets = [{i, i + 1, i + 300} for i in range(150)]
+    df = table(spark, sets)
+    kept = diversity.diversity_filter(df, "protac", F.col("pos"), [F.asc("pos")])
+    assert sorted(r["pos"] for r in kept.collect()) == list(range(100))
+    none = table(spark, [None, None])
+    assert diversity.diversity_filter(none, "protac", F.col("pos"), [F.asc("pos")]).count() == 2
+    plain = df.select("pos")
+    assert diversity.diversity_filter(plain, "protac", F.col("pos"), [F.asc("pos")]).count() == 150
+
+
+def test_links_point_to_the_first_chosen_row(spark):
+    a = set(range(50))
+    sets = [a, a | {60}, {200, 201}, a, {200, 201}]
+    got = diversity.near_duplicate_links(table(spark, sets)).collect()
+    assert sorted((r["pos"], r["near_pos"]) for r in got) == [(1, 0), (3, 0), (4, 2)]
+
+
+def query_table(spark, sets):
+    return table(spark, sets).withColumnRenamed("pos", "query_pos").withColumn(
+        "query", F.concat(F.lit("q"), "query_pos"))
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.8, 1.0])
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_search_equals_all_pairs(spark, monkeypatch, threshold, broadcast):
+    monkeypatch.setattr(similarity, "fits_broadcast", lambda df: broadcast)
+    sets = near_copies(3, 120)
+    queries = near_copies(4, 20)
+    got = similarity.find_similar(table(spark, sets), query_table(spark, queries), "pos", threshold)
+    expected = {(f"q{j}", i) for j, q in enumerate(queries) for i, s in enumerate(sets)
+                if q and s and sim(q, s) >= threshold}
+    rows = got.collect()
+    assert {(r["query"], r["pos"]) for r in rows} == expected and len(rows) == len(expected)
