@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rankforge.config import BROADCAST_ROWS
 from rankforge.functions.structures import hbond_acceptors, hbond_donors
 from rankforge.operators.scoring import partner_compatibility
+from rankforge.session import written
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -61,17 +62,22 @@ def merge_features(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def attach_hits(predictions: DataFrame, hits: DataFrame, key: str) -> DataFrame:
-    """Full outer join of predictions with a short hit list.
+    """Full outer join of predictions with hits that have one row per key.
 
-    ``hits`` has one row per key and is a top list, so its size is bounded by the caller.  It is
-    broadcast against the predictions; the hits without a prediction are added at the end.  The
-    predictions are never shuffled, so a key that fills a third of them does no harm.
+    Written as a left join plus the hits without a prediction.  The hits are stored once; while
+    their counted size allows they are broadcast, and the predictions are then never shuffled.
+    Above that size both parts are ordinary joins whose skewed left side Spark can split, which a
+    full outer join does not allow.
     """
-    extra = [c for c in hits.columns if c != key]
-    matched = predictions.join(F.broadcast(hits), key, "left")
-    present = predictions.join(F.broadcast(hits.select(key)), key, "left_semi").select(key).distinct()
-    alone = hits.join(present, key, "left_anti")
-    return matched.unionByName(alone.select(key, *extra), allowMissingColumns=True)
+    hits = written(hits, "hits")
+    small = fits_broadcast(hits)
+    side = F.broadcast(hits) if small else hits
+    matched = predictions.join(side, key, "left")
+    present = predictions.select(key)
+    if small:
+        present = present.join(F.broadcast(hits.select(key)), key, "left_semi")
+    alone = hits.join(present.distinct(), key, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def match_partners(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankforge.operators.ordering import running_totals
+from rankforge.session import written
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -75,9 +76,13 @@ def class_report(df: DataFrame, truth: str = "y_true", guess: str = "y_pred",
 
 
 def score_steps(df: DataFrame, truth: str = "y_true", score: str = "y_prob") -> DataFrame:
-    """Per distinct score: rows of each class at it and below it, and the class totals."""
+    """Per distinct score: rows of each class at it and below it, and the class totals.
+
+    The counts per score are stored once, so the scored table is read in one pass.
+    """
     by_score = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
+    by_score = written(by_score, "scores")
     run = running_totals(by_score, "score", ["pos", "neg"])
     totals = by_score.select(F.struct(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))).scalar()

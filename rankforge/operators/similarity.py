@@ -134,15 +134,16 @@ def cosine_top_k(
     """Most similar vectors per query among the rows that share the ``on`` column.
 
     ``queries`` has one row per value of ``on`` (``query``, ``query_vector``), for example one
-    known active per class.
+    known active per class.  They are broadcast while their counted size allows.
     """
+    side = F.broadcast(queries) if fits_broadcast(queries) else queries
     def dot(a: Column, b: Column) -> Column:
         products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
         return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
     v, q = F.col(vector), F.col("query_vector")
     cosine = F.try_divide(dot(v, q), F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))
-    scored = vectors.join(queries, on).withColumn("similarity", cosine)
+    scored = vectors.join(side, on).withColumn("similarity", cosine)
     return top_per_group(
         scored.select(on, "query", key, "similarity"), [on, "query"],
         best_first("similarity", key), top_k)

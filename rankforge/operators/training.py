@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rankforge.config import SEED
 from rankforge.functions.text import hash_uniform
 from rankforge.operators.ordering import shuffled_rank
+from rankforge.session import written
 
 SMOTE_BLOCK = 2000
 MAX_SLABS = 256
@@ -128,6 +129,7 @@ def oversample_minority(
                         "`_near` array<array<double>>"])
     plain = blocks.select("_block", key, *[F.col(c).cast("double").alias(c) for c in columns])
     near = plain.groupBy("_block").applyInPandas(_neighbours_in_block(columns, key, k), schema)
+    near = written(near, "neighbours")
     each, extra = divmod(missing, small)
     ranked = shuffled_rank(near.withColumn("_one", F.lit(1)), "_one", key, seed)
     copies = F.lit(each) + F.when(F.col("rank") < extra, 1).otherwise(0)

@@ -13,6 +13,7 @@ from rankforge.plans.catalog_generation import FRAGMENT_CTE, THREE_PART_SQL, fra
 from rankforge.plans.catalog_peptides import DESCRIPTOR_SQL, counted
 from rankforge.plans.catalog_structures import BASE_SQL, HYDROXYL_SQL, TABLE_SQL, descriptor_table
 from rankforge.plans.registry import query, rounded, rounded_sql
+from rankforge.session import written
 
 
 def peptide_candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,7 +139,7 @@ FROM (SELECT pep_id, sequence, probability_active,
   1 - abs(length - 25) / 25 AS length_score FROM candidates)"""),
     "hydrophobicity_score charge_score length_score viability_score"))
 def peptide_viability(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = scoring.peptide_viability(peptide_candidates(spark, folder))
+    ranked = scoring.peptide_viability(written(peptide_candidates(spark, folder), "candidates"))
     ranked = ranked.orderBy(*toplists.best_first("viability_score", "sequence"))
     return rounded(ranked.select("pep_id", "sequence", "hydrophobicity_score", "charge_score", "length_score", "viability_score"))
 

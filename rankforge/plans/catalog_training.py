@@ -193,7 +193,6 @@ def regression_forest(spark: SparkSession, folder: str) -> DataFrame:
 @query("t09_grid_search")
 def grid(spark: SparkSession, folder: str) -> DataFrame:
     rows, columns = vector_rows(spark, folder, 16)
-    rows = written(rows, "grid")
     found = models.grid_search(rows, columns, "activity", "vec_id", {"numTrees": [5, 10], "maxDepth": [2, 4]})
     settings = [(str({p.name: v for p, v in m.items()}), float(score))
                 for m, score in zip(found.getEstimatorParamMaps(), found.avgMetrics)]
@@ -204,7 +203,7 @@ def grid(spark: SparkSession, folder: str) -> DataFrame:
 @query("t10_cross_validation")
 def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
     rows, columns = vector_rows(spark, folder, 16)
-    scores = models.cross_validate(written(rows, "folds"), columns, "activity", "vec_id", models.forest(5, 4), 5)
+    scores = models.cross_validate(rows, columns, "activity", "vec_id", models.forest(5, 4), 5)
     return models.score_summary(scores)
 
 
