@@ -197,20 +197,20 @@ def degrader_set(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("g16_u03_labelled_training_rows", rounded_sql(f"""
 WITH joined AS (
-  SELECT o_orderkey, sequence, 1 AS activity FROM ({HELICAL_SQL}) WHERE o_orderkey % 2 = 0
-  UNION ALL SELECT o_orderkey, sequence, 0 FROM ({RANDOM_SQL}) WHERE o_orderkey % 2 = 1)
-SELECT o_orderkey, sequence, activity,
-  CASE WHEN activity = 1 THEN 1.0 + {h('o_orderkey', "'mic'")} / 4294967296.0::DOUBLE * 31.0
-       ELSE 64.0 + {h('o_orderkey', "'mic'")} / 4294967296.0::DOUBLE * 192.0 END AS mic,
-  ['E. coli', 'S. aureus', 'P. aeruginosa', 'B. subtilis', 'K. pneumoniae'][CAST(1 + o_orderkey % 5 AS INT)] AS target
+  SELECT o_orderkey * 2 + 1 AS row_id, sequence, 1 AS activity FROM ({HELICAL_SQL})
+  UNION ALL SELECT o_orderkey * 2, sequence, 0 FROM ({RANDOM_SQL}))
+SELECT row_id, sequence, activity,
+  CASE WHEN activity = 1 THEN 1.0 + {h('row_id', "'mic'")} / 4294967296.0::DOUBLE * 31.0
+       ELSE 64.0 + {h('row_id', "'mic'")} / 4294967296.0::DOUBLE * 192.0 END AS mic,
+  ['E. coli', 'S. aureus', 'P. aeruginosa', 'B. subtilis', 'K. pneumoniae'][CAST(1 + row_id % 5 AS INT)] AS target
 FROM joined""", "mic", 6))
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(G.add_assay(generated_training_rows(spark, folder), "o_orderkey"), 6)
+    return rounded(G.add_assay(generated_training_rows(spark, folder), "row_id"), 6)
 
 
 def generated_training_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Helical sequences for even orders as actives, random ones for odd orders as inactives."""
+    """A helical sequence as an active and a random one as an inactive for every order."""
     rows, k = order_ids(spark, folder), F.col("o_orderkey")
     return G.label_union(
-        rows.filter(k % 2 == 0).withColumn("sequence", S.helical_sequence(k)),
-        rows.filter(k % 2 == 1).withColumn("sequence", S.random_sequence(k)))
+        rows.select((k * 2 + 1).alias("row_id"), S.helical_sequence(k).alias("sequence")),
+        rows.select((k * 2).alias("row_id"), S.random_sequence(k).alias("sequence")))

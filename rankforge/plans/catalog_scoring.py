@@ -24,13 +24,13 @@ def peptide_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 def category_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     m = V.molecules(spark, folder)
-    small = m.select("smiles", "mol_id", "MW", "LogP", "TPSA", "NumHDonors", "NumHAcceptors", "probability_active")
+    small = m.select("smiles", "mol_id", F.col("mol_id").alias("ingest_pos"), "MW", "LogP", "TPSA", "NumHDonors", "NumHAcceptors", "probability_active")
     return {
-        "amp": peptide_candidates(spark, folder),
-        "schiff_base": small.filter(F.col("mol_id") % 4 == 0).withColumnRenamed("smiles", "product"),
-        "repurposed": small.filter(F.col("mol_id") % 4 == 1),
-        "polyphenol": small.filter(F.col("mol_id") % 4 == 2).drop("LogP"),
-        "protac": small.filter(F.col("mol_id") % 4 == 3).drop("probability_active", "NumHDonors"),
+        "amp": peptide_candidates(spark, folder).withColumn("ingest_pos", F.col("pep_id")),
+        "schiff_base": small.withColumnRenamed("smiles", "product"),
+        "repurposed": small,
+        "polyphenol": small.drop("LogP"),
+        "protac": small.drop("probability_active", "NumHDonors"),
     }
 
 
@@ -65,12 +65,12 @@ def rank_sql(k: int, weights: dict[str, float]) -> str:
     """The ranking across categories, written out per category."""
     parts = [f"""SELECT 'amp' AS category, sequence AS structure, pep_id AS id, activity_score, druglikeness_score
     FROM (SELECT *, probability_active AS activity_score, {AMP_DRUG} AS druglikeness_score FROM candidates)
-    ORDER BY 0.5 * activity_score + 0.3 * druglikeness_score + 0.1 DESC, sequence LIMIT {k}"""]
-    for i, (category, drug) in enumerate(DRUG.items()):
+    ORDER BY 0.5 * activity_score + 0.3 * druglikeness_score + 0.1 DESC, sequence, pep_id LIMIT {k}"""]
+    for category, drug in DRUG.items():
         activity = "0.5::DOUBLE" if category == "protac" else "probability_active"
         parts.append(f"""SELECT '{category}' AS category, smiles AS structure, mol_id AS id, activity_score, druglikeness_score
-    FROM (SELECT *, {activity} AS activity_score, {drug} AS druglikeness_score FROM molecules WHERE mol_id % 4 = {i})
-    ORDER BY 0.5 * activity_score + 0.3 * druglikeness_score + 0.1 DESC, smiles LIMIT {k}""")
+    FROM (SELECT *, {activity} AS activity_score, {drug} AS druglikeness_score FROM molecules)
+    ORDER BY 0.5 * activity_score + 0.3 * druglikeness_score + 0.1 DESC, smiles, mol_id LIMIT {k}""")
     union = "\n  UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
     weight = "CASE " + " ".join(f"WHEN category = '{c}' THEN {w}" for c, w in weights.items()) + " ELSE 1.0 END" if weights else "1.0"
     return V.sql("peptides molecules", f"""
@@ -104,7 +104,7 @@ def rank_unweighted(spark: SparkSession, folder: str) -> DataFrame:
 
 def druglike_sql() -> str:
     parts = [f"SELECT 'amp' AS category, pep_id AS id, {AMP_DRUG} AS score FROM candidates"]
-    parts += [f"SELECT '{c}', mol_id, {d} FROM molecules WHERE mol_id % 4 = {i}" for i, (c, d) in enumerate(DRUG.items())]
+    parts += [f"SELECT '{c}', mol_id, {d} FROM molecules" for c, d in DRUG.items()]
     return V.sql("peptides molecules", f"WITH {PEPTIDE_CTE} " + " UNION ALL ".join(parts))
 
 

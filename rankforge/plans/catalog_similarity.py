@@ -70,15 +70,13 @@ def screen(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def probabilities(spark: SparkSession, folder: str) -> DataFrame:
-    """A probability for every document with an even id."""
-    docs = V.read(spark, folder, "documents").select("doc_id", "n_chars")
-    return docs.filter("doc_id % 2 = 0").select(
-        "doc_id", ((F.col("n_chars") * 31 % 997) / 997.0).alias("probability_active"))
+    """A probability for every labelled document."""
+    return V.labelled_scores(spark, folder).select("doc_id", F.col("y_prob").alias("probability_active"))
 
 
 JOINED = """joined AS (
   SELECT doc_id, similarity, reference, probability_active FROM best
-  FULL JOIN (SELECT doc_id, (n_chars * 31 % 997) / 997.0::DOUBLE AS probability_active FROM documents WHERE doc_id % 2 = 0)
+  FULL JOIN (SELECT doc_id, (n_chars * 31 % 997) / 997.0::DOUBLE AS probability_active FROM labels JOIN documents USING (doc_id))
   USING (doc_id))"""
 
 

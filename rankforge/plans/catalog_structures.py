@@ -16,13 +16,13 @@ BASE_SQL = ", ".join(f'd."{c}"' for c in BASE)
 # One descriptor row per structure.
 TABLE_SQL = """descriptors AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY smiles ORDER BY mol_id) AS r FROM molecules)
-  WHERE r = 1 AND mol_id % 5 <> 0)"""
+  WHERE r = 1 AND "MW" <= 1000)"""
 
 
 def descriptor_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Toolkit values keyed by structure; a fifth of the structures have none."""
+    """Toolkit values keyed by structure; structures above a weight of 1000 have none."""
     rows = cleaning.keep_first(V.molecules(spark, folder), ["smiles"], ["mol_id"])
-    return rows.filter(F.col("mol_id") % 5 != 0).select("smiles", *BASE)
+    return rows.filter("MW <= 1000").select("smiles", *BASE)
 
 
 @query("m01_m12_descriptor_join", V.sql("molecules", f"""

@@ -50,12 +50,13 @@ def histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("t03_standard_scaling", rounded_sql(V.sql("molecules", """
-SELECT mol_id, ("MW" - avg("MW") FILTER (WHERE mol_id % 5 <> 0) OVER ()) / stddev_pop("MW") FILTER (WHERE mol_id % 5 <> 0) OVER () AS "MW",
-  ("TPSA" - avg("TPSA") FILTER (WHERE mol_id % 5 <> 0) OVER ()) / stddev_pop("TPSA") FILTER (WHERE mol_id % 5 <> 0) OVER () AS "TPSA",
+SELECT mol_id, ("MW" - avg("MW") FILTER (WHERE brand <= 20) OVER ()) / stddev_pop("MW") FILTER (WHERE brand <= 20) OVER () AS "MW",
+  ("TPSA" - avg("TPSA") FILTER (WHERE brand <= 20) OVER ()) / stddev_pop("TPSA") FILTER (WHERE brand <= 20) OVER () AS "TPSA",
   0.0::DOUBLE AS constant FROM molecules"""), "MW TPSA constant"))
 def scaling(spark: SparkSession, folder: str) -> DataFrame:
-    rows = V.molecules(spark, folder).select("mol_id", "MW", "TPSA", F.lit(3.0).alias("constant"))
-    return rounded(training.scale(rows, rows.filter("mol_id % 5 <> 0"), ["MW", "TPSA", "constant"]))
+    rows = V.molecules(spark, folder).select("mol_id", "brand", "MW", "TPSA", F.lit(3.0).alias("constant"))
+    scaled = training.scale(rows, rows.filter("brand <= 20"), ["MW", "TPSA", "constant"])
+    return rounded(scaled.drop("brand"))
 
 
 @query("t05_class_weights", rounded_sql("""
@@ -196,8 +197,7 @@ def grid(spark: SparkSession, folder: str) -> DataFrame:
     found = models.grid_search(rows, columns, "activity", "vec_id", {"numTrees": [5, 10], "maxDepth": [2, 4]})
     settings = [(str({p.name: v for p, v in m.items()}), float(score))
                 for m, score in zip(found.getEstimatorParamMaps(), found.avgMetrics)]
-    table = spark.createDataFrame(settings, "settings STRING, auc DOUBLE")
-    return table.crossJoin(rows.agg(F.count("*").alias("rows")))
+    return spark.createDataFrame(settings, "settings STRING, auc DOUBLE")
 
 
 @query("t10_cross_validation")
@@ -216,14 +216,14 @@ def importance(spark: SparkSession, folder: str) -> DataFrame:
 @query("t21_train_peptide_model")
 def train(spark: SparkSession, folder: str) -> DataFrame:
     rows = generated_training_rows(spark, folder)
-    return jobs.train_peptides(rows, "activity", "o_orderkey", models.forest(20, 6))[1]
+    return jobs.train_peptides(rows, "activity", "row_id", models.forest(20, 6))[1]
 
 
 @query("s17_s18_saved_model")
 def saved_model(spark: SparkSession, folder: str) -> DataFrame:
     rows = generated_training_rows(spark, folder)
     path = scratch_path(spark, "bundle")
-    jobs.train_peptides(rows, "activity", "o_orderkey", models.forest(5, 4), save_to=path)
+    jobs.train_peptides(rows, "activity", "row_id", models.forest(5, 4), save_to=path)
     model, meta = sinks.load_model(path)
     features = add_descriptors(V.peptides(spark, folder).filter("sequence <> ''"))
     typed = features.withColumns({c: F.col(c).cast("double") for c in meta["feature_columns"]})
