@@ -12,6 +12,9 @@ from rankforge.operators.scoring import partner_compatibility
 from rankforge.session import written
 
 
+FEW = 4
+
+
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether the table has at most ``limit`` rows; looks at no more than one row beyond it."""
     return df.limit(limit + 1).count() <= limit
@@ -27,12 +30,13 @@ def pair_up(left: DataFrame, right: DataFrame, cells: int = 64) -> DataFrame:
 
     The result is the product by definition.  Both sides are dealt over a grid of
     ``cells`` x ``cells`` tasks: a left row goes to one grid line, a right row to one grid column,
-    and they meet in an ordinary equi-join on the cell.  No side is broadcast or held in one task.
-    A right side that is small enough by count is broadcast instead, on one cell.
+    and they meet in an ordinary equi-join on the cell, so no side is held in one task.  A right
+    side that is small enough by count is broadcast instead, with a few lines and one column.
     """
-    if fits_broadcast(right):
-        return (left.withColumn("_cell", F.lit(0))
-                .join(F.broadcast(right.withColumn("_cell", F.lit(0))), "_cell").drop("_cell"))
+    if fits_broadcast(right, BROADCAST_ROWS // FEW):
+        line = F.pmod(F.xxhash64(*left.columns), F.lit(FEW))
+        copies = right.withColumn("_line", F.explode(numbers(FEW)))
+        return left.withColumn("_line", line).join(F.broadcast(copies), "_line").drop("_line")
     line = F.pmod(F.xxhash64(*left.columns), F.lit(cells))
     column = F.pmod(F.xxhash64(*right.columns), F.lit(cells))
     every = F.explode(numbers(cells))

@@ -78,7 +78,7 @@ def test_group_limit_runs_before_the_shuffle(spark):
 
 @pytest.mark.parametrize("small", [True, False])
 def test_pair_up_gives_the_whole_product(spark, monkeypatch, small):
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df: small)
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *a: small)
     left = spark.createDataFrame([(i % 4,) for i in range(12)], "a INT")
     right = spark.createDataFrame([(i % 3,) for i in range(9)], "b INT")
     got = joins.pair_up(left, right, 4)
