@@ -108,31 +108,30 @@ def _terminal_k(default: float, table: dict[str, float], residue: Column) -> Col
     return k
 
 
-def _charge_at(ph: Column) -> Column:
-    """Net charge at a pH by the Henderson-Hasselbalch relation.
+def _charge(t: Column) -> Column:
+    """Net charge by the Henderson-Hasselbalch relation at t = 10^pH.
 
-    With t = 10^pH and K = 10^pK a basic group carries K / (K + t) and an acidic one -t / (K + t),
-    so one power per evaluation is enough.
+    With K = 10^pK a basic group carries K / (K + t) and an acidic one -t / (K + t).
     """
     basic = [(F.col(_count(a)), F.lit(10.0 ** pk)) for a, pk in C.PK_POSITIVE.items()]
     acidic = [(F.col(_count(a)), F.lit(10.0 ** pk)) for a, pk in C.PK_NEGATIVE.items()]
     basic.append((F.lit(1), F.col("_k_n")))
     acidic.append((F.lit(1), F.col("_k_c")))
-
-    def total(t: Column) -> Column:
-        return add_all([n * k / (k + t) for n, k in basic]) - add_all(
-            [n * t / (k + t) for n, k in acidic])
-
-    return bind(F.pow(F.lit(10.0), ph), total)
+    return add_all([n * k / (k + t) for n, k in basic]) - add_all(
+        [n * t / (k + t) for n, k in acidic])
 
 
 def _isoelectric_point(steps: int = 17) -> Column:
     """pH of zero charge inside the usual range by interval halving, to two decimals."""
     low, high = C.PI_RANGE
     widths = [(high - low) / 2 ** i for i in range(1, steps + 1)]
+
+    def halve(lower: Column, width: Column) -> Column:
+        charge = bind(F.pow(F.lit(10.0), lower + width), _charge)
+        return F.when(charge > 0, lower + width).otherwise(lower)
+
     return F.aggregate(
-        F.array(*[F.lit(w) for w in widths]), F.lit(low),
-        lambda lower, w: F.when(_charge_at(lower + w) > 0, lower + w).otherwise(lower),
+        F.array(*[F.lit(w) for w in widths]), F.lit(low), halve,
         lambda lower: F.round(lower + widths[-1] / 2, 2),
     )
 
@@ -152,8 +151,8 @@ def _extended_columns(helix: str, turn: str, sheet: str) -> dict[str, Column]:
         "aromaticity": _per_residue(_sum_counts(C.AROMATIC)),
         "isoelectric_point": F.when(present, _isoelectric_point()),
         "gravy": _per_residue(_weighted(C.HYDROPATHY)),
-        "charge_at_pH7": F.when(present, _charge_at(F.lit(7.0))),
-        "charge_at_pH5": F.when(present, _charge_at(F.lit(5.0))),
+        "charge_at_pH7": F.when(present, _charge(F.lit(10.0 ** 7))),
+        "charge_at_pH5": F.when(present, _charge(F.lit(10.0 ** 5))),
         "helix_frac": _per_residue(_sum_counts(helix)),
         "turn_frac": _per_residue(_sum_counts(turn)),
         "sheet_frac": _per_residue(_sum_counts(sheet)),
