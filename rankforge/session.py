@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder for cut lineage and landed tables, as the session names it.
 
-    Only where the session names none (a local test run) a temporary folder is set.
+    Only a local session that names none (a test run) gets a temporary folder; on a cluster that is an error, since
+    each executor would write to a disk of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="rankforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
