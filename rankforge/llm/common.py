@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns c0, c1, ..., which clash with no name an operator adds, and each column's new name."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def offsets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array without nulls, and where each text begins (one more entry than texts)."""
     texts = texts.cast(pa.large_string())
