@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from rankforge.llm import decontaminate, pieces, repetition, secrets, simhash
+from rankforge.llm import decontaminate, pages, personal, pieces, quality, repetition, secrets, sharding, simhash, urls
 
 QUERIES = {
+    "op1_personal_data": personal.query,
+    "op2_main_text": pages.query,
+    "op3_quality_classifier": quality.query,
     "op4_sentencepiece": pieces.query,
+    "op5_url_filter": urls.query,
     "op6_secret_scan": secrets.query,
     "op7_quality_rules": repetition.query,
+    "op8_sharding": sharding.query,
     "op9_decontamination": decontaminate.query,
     "op10_simhash": simhash.query,
 }
 
+#: The others have no SQL form, or one that is too slow on whole tables; tests/llm holds them against plain versions.
 ORACLES = {
+    "op5_url_filter": urls.SQL,
     "op7_quality_rules": repetition.SQL,
     "op9_decontamination": decontaminate.SQL,
 }

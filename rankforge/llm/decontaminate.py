@@ -240,10 +240,10 @@ def removal_spans(docs: DataFrame, items: DataFrame, carry: list[str], window: i
     words = passes[0].select("_row", "_n_words")
     union = F.aggregate(
         F.array_sort("_spans"), F.expr("cast(array() as array<struct<begin:int,end:int>>)"),
-        lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] >= x["begin"]), F.concat(
+        lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] >= x["begin"]), F.concat(
             F.slice(a, 1, F.size(a) - 1), F.array(F.struct(
-                F.element_at(a, -1)["begin"].alias("begin"),
-                F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))).otherwise(
+                F.try_element_at(a, F.lit(-1))["begin"].alias("begin"),
+                F.greatest(F.try_element_at(a, F.lit(-1))["end"], x["end"]).alias("end"))))).otherwise(
             F.concat(a, F.array(x))))
     return kept.select("_row", *carry).join(words, "_row").join(hit, "_row", "left").select(
         *carry, "_n_words",
@@ -295,8 +295,10 @@ def cut_words(text: str | None, spans: list[dict]) -> str | None:
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """All rows and columns; the words inside benchmark occurrences are cut from the texts."""
-    found = removal_spans(docs, items, docs.columns, window, text)
-    schema = docs.schema
+    plain, names = common.neutral(docs)
+    text = names[text]
+    found = removal_spans(plain, items, plain.columns, window, text)
+    schema = plain.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, text):
@@ -308,7 +310,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "
                                         for t, s in zip(columns[at].to_pylist(), spans)], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

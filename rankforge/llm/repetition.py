@@ -144,7 +144,9 @@ def verdict(max_percent: int = MAX_PERCENT, max_repeat: int = MAX_REPEAT) -> Col
 
 def keep_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that pass, with all their columns."""
-    return rule_figures(docs, docs.columns, text=text).filter(verdict()).select(*docs.columns)
+    plain, names = common.neutral(docs)
+    kept = rule_figures(plain, plain.columns, text=names[text]).filter(verdict())
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

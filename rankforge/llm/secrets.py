@@ -44,7 +44,9 @@ IS_DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 IS_LETTER = np.isin(np.arange(256), list(range(65, 91)) + list(range(97, 123)))
 
 #: Runs shorter than this are not judged; the ratio (nats) that a run must reach, in all and for each character.
-MIN_LENGTH, MIN_RATIO, MIN_RATIO_PER_CHAR = 20, 16.0, 1.9
+MIN_LENGTH, MIN_RATIO, MIN_RATIO_PER_CHAR = 20, 16.0, 2.75
+#: Weight of the characters' own frequencies among those after each character, in counts.
+BACK_OFF = 20.0
 #: The labelled sample: random strings of each of these alphabets, and their lengths.
 SAMPLE_SIZE, SAMPLE_LENGTHS, SEED = 400, (20, 64), 7
 SAMPLE_ALPHABETS = (b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ALPHABET[:64],
@@ -116,8 +118,10 @@ def ratio_table(rows: list) -> np.ndarray:
     counts[1] = sample + (counts[1] * sample.sum() / found if found else 0)
     tables = []
     for each in counts:
-        each = each.reshape(N, N)[:, 1:] + 0.5
-        tables.append(np.log(each / each.sum(axis=1, keepdims=True)))
+        each = each.reshape(N, N)[:, 1:]
+        alone = (each.sum(axis=0) + 0.5) / (each.sum() + 0.5 * (N - 1))
+        # A rare character before falls back on the characters' own frequencies.
+        tables.append(np.log((each + BACK_OFF * alone) / (each.sum(axis=1, keepdims=True) + BACK_OFF)))
     out = np.zeros((N, N))
     out[:, 1:] = tables[1] - tables[0]
     return out
@@ -205,7 +209,9 @@ def redacted(text: str, spans: list[dict], mark: str) -> str:
 
 def redact(docs: DataFrame, ratios: np.ndarray, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns; found spans are replaced by a mark."""
-    schema = docs.schema
+    plain, names = common.neutral(docs)
+    text = names[text]
+    schema = plain.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = schema.names.index(text)
@@ -217,7 +223,7 @@ def redact(docs: DataFrame, ratios: np.ndarray, text: str = "text", mark: str =
                                         for t, s in zip(columns[at].to_pylist(), spans)], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return find_secrets(docs, ratios, docs.columns, text).mapInArrow(run, schema)
+    return find_secrets(plain, ratios, plain.columns, text).mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def joined(spans) -> Column:

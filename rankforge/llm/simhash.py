@@ -242,16 +242,15 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
     Chosen on a thin table of ids and row digests; whole rows meet the chosen keys once, rows that share a chosen key
     are equal in every column and one of them stays.
     """
-    digest = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)),
-                              {"ignoreNullFields": "false"}), 256)
-    marked = docs.withColumn("_digest", digest)
-    thin = written(with_fingerprint(marked, ["doc_id", "_digest"], shingle), "prints")
-    rooted = with_group(thin, distance)
-    chosen = rooted.groupBy("_root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_digest")).alias("k")).select("k._digest")
+    plain, names = common.neutral(docs)
+    digest = F.sha2(F.to_json(F.struct(*plain.columns), {"ignoreNullFields": "false"}), 256)
+    marked = plain.withColumn("_digest", digest)
+    thin = written(with_fingerprint(marked, [names["doc_id"], "_digest"], shingle, names["text"]), "prints")
+    doc_id = F.col(names["doc_id"])
+    chosen = with_group(thin, distance).groupBy("_root").agg(
+        F.min(F.struct(doc_id.isNull().alias("last"), doc_id.alias("id"), "_digest")).alias("k")).select("k._digest")
     kept = marked.join(chosen, "_digest", "left_semi")
-    return kept.groupBy("_digest").agg(*(F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns)).select(
-        *docs.columns)
+    return kept.dropDuplicates(["_digest"]).select(*plain.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
