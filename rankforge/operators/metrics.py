@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankforge.operators.ordering import running_totals
-from rankforge.session import written
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -78,13 +77,13 @@ def class_report(df: DataFrame, truth: str = "y_true", guess: str = "y_pred",
 def score_steps(df: DataFrame, truth: str = "y_true", score: str = "y_prob") -> DataFrame:
     """Per distinct score: rows of each class at it and below it, and the class totals.
 
-    The counts per score are stored once, so the scored table is read in one pass.
+    Rows with a null or NaN score are left out.  The counts per score are stored once, so the scored
+    table is read in one pass.
     """
-    by_score = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
+    by_score = df.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    by_score = written(by_score, "scores")
     run = running_totals(by_score, "score", ["pos", "neg"])
-    totals = by_score.select(F.struct(
+    totals = run.select(F.struct(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))).scalar()
     return run.withColumn("_t", totals).withColumns(
         {"all_pos": F.col("_t.pos"), "all_neg": F.col("_t.neg")}).drop("_t")
@@ -107,24 +106,32 @@ def average_precision(df: DataFrame, truth: str = "y_true", score: str = "y_prob
     return steps.agg(F.sum(gained * found / flagged).alias("average_precision"))
 
 
-def roc_points(df: DataFrame, truth: str = "y_true", score: str = "y_prob") -> DataFrame:
-    """False and true positive rate at every distinct score."""
+def curve_points(df: DataFrame, truth: str = "y_true", score: str = "y_prob") -> DataFrame:
+    """Both curves at every distinct score, and their common end point above all scores.
+
+    At the end point (threshold infinity) nothing is flagged: rates and recall 0, precision 1.
+    """
     steps = score_steps(df, truth, score)
-    return steps.select(
-        F.col("score").alias("threshold"),
-        F.try_divide((F.col("all_neg") - F.col("below_neg")).cast("double"), F.col("all_neg")).alias("fpr"),
-        F.try_divide((F.col("all_pos") - F.col("below_pos")).cast("double"), F.col("all_pos")).alias("tpr"))
+    found = F.col("all_pos") - F.col("below_pos")
+    false = F.col("all_neg") - F.col("below_neg")
+    points = steps.select(
+        F.col("score").cast("double").alias("threshold"),
+        F.try_divide(false.cast("double"), F.col("all_neg")).alias("fpr"),
+        F.try_divide(found.cast("double"), F.col("all_pos")).alias("tpr"),
+        F.try_divide(found.cast("double"), found + false).alias("precision"))
+    end = df.sparkSession.createDataFrame(
+        [(float("inf"), 0.0, 0.0, 1.0)], "threshold DOUBLE, fpr DOUBLE, tpr DOUBLE, precision DOUBLE")
+    return points.unionByName(end).withColumn("recall", F.col("tpr"))
+
+
+def roc_points(df: DataFrame, truth: str = "y_true", score: str = "y_prob") -> DataFrame:
+    """False and true positive rate at every distinct score and at the end point."""
+    return curve_points(df, truth, score).select("threshold", "fpr", "tpr")
 
 
 def precision_recall_points(df: DataFrame, truth: str = "y_true", score: str = "y_prob") -> DataFrame:
-    """Precision and recall at every distinct score."""
-    steps = score_steps(df, truth, score)
-    found = F.col("all_pos") - F.col("below_pos")
-    flagged = found + F.col("all_neg") - F.col("below_neg")
-    return steps.select(
-        F.col("score").alias("threshold"),
-        (found.cast("double") / flagged).alias("precision"),
-        F.try_divide(found.cast("double"), F.col("all_pos")).alias("recall"))
+    """Precision and recall at every distinct score and at the end point."""
+    return curve_points(df, truth, score).select("threshold", "precision", "recall")
 
 
 def evaluate_classification(df: DataFrame, truth: str = "y_true", guess: str = "y_pred",

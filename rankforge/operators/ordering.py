@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankforge.config import SEED
-
-BUCKETS = 64
+from rankforge.session import written
 
 
 def seeded_key(key: str, seed: int = SEED) -> Column:
@@ -37,17 +35,15 @@ def shuffled_rank(df: DataFrame, group: str, key: str, seed: int = SEED, digits:
             .drop("_h", "_b", "_i", "_start"))
 
 
-def running_totals(df: DataFrame, value: str, totals: list[str], buckets: int = BUCKETS) -> DataFrame:
+def running_totals(df: DataFrame, value: str, totals: list[str]) -> DataFrame:
     """``below_<c>``: the sum of each total over all rows with a smaller value.
 
-    ``df`` has one row per distinct value.  Quantiles of the values (a bounded list, computed here)
-    cut the range into buckets; sums per bucket give each bucket's start, and windows run inside
-    the buckets only.
+    ``df`` has one row per distinct value.  It is dealt into ranges of the value and stored with the
+    range number, as many ranges as shuffles have partitions; sums per range give each range's
+    start, and windows run inside the ranges only.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(df.approxQuantile(value, shares, 0.5 / buckets)))
-    splits = [float("-inf"), *edges, float("inf")]
-    marked = Bucketizer(splits=splits, inputCol=value, outputCol="_b").transform(df)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = written(df.repartitionByRange(parts, value).withColumn("_b", F.spark_partition_id()), "ranges")
     sums = marked.groupBy("_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in totals])
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
@@ -56,7 +52,7 @@ def running_totals(df: DataFrame, value: str, totals: list[str], buckets: int =
               .rowsBetween(Window.unboundedPreceding, -1))
     run = marked.withColumns(
         {f"_run_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in totals})
-    # At most ``buckets`` + 1 rows.
+    # At most one row per range.
     out = run.join(F.broadcast(starts), "_b").withColumns(
         {f"below_{c}": F.col(f"_start_{c}") + F.col(f"_run_{c}") for c in totals})
     return out.drop("_b", *[f"_run_{c}" for c in totals], *[f"_start_{c}" for c in totals])
