@@ -1,17 +1,22 @@
-"""Greedy diversity filter and the near-duplicate links behind it."""
+"""Greedy diversity filter, and near-duplicate links of a whole table."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from rankforge.operators.similarity import (
-    FINGERPRINT, WORD_COLUMNS, near_classes, size_class, tanimoto,
+    FINGERPRINT, WORD_COLUMNS, near_classes, size_class, size_edges, tanimoto,
 )
 from rankforge.operators.toplists import top_rows
 from rankforge.session import written
 
 KEEP = 100
 BLOCK = 1000
+PART_SEED = 42
 
 
 def _similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -113,23 +118,72 @@ def diversity_filter(
     return df.withColumn("_pos", order).join(marks, "_pos", "left_semi").drop("_pos")
 
 
-def near_duplicate_links(ranked: DataFrame, threshold: float = 0.8, keep: int = KEEP) -> DataFrame:
-    """For every row the greedy choice rejected: the first chosen row it is too similar to.
+def part_hashes(ranked: DataFrame, threshold: float) -> DataFrame:
+    """``pos``, ``_group`` and ``_parts``: hashes of bit ranges, of which near rows share at least one.
 
-    These are the pairs the greedy choice itself compares and finds similar.  Each rejected row
-    gives one link, so a group of n copies gives n links and not n squared pairs.
+    Sets with similarity above t differ in fewer than (|A| + |B|) (1 - t) / (1 + t) bits.  Cut into
+    that many ranges, two such sets agree on one range.  The number of ranges follows from the
+    largest sizes of a size class and the next one; a row takes part in the group of its own class
+    and in the one below, so near rows of neighbour classes meet.  Bits are dealt over the ranges in
+    a fixed random order.
     """
-    kept = choose_diverse(ranked, threshold, keep)
-    close = _by_class(kept, threshold)
-    rows = ranked.filter("n IS NOT NULL").withColumn("_class", size_class(F.col("n"), threshold))
-    full = kept.count() >= keep
-    if full:
-        end = kept.agg(F.max("k_pos")).first()[0]
-        rows = rows.filter(F.col("pos") <= F.lit(end))
-    pairs = rows.join(
-        close,
-        (rows["_class"] == close["_class"]) & (F.col("k_pos") < F.col("pos"))
-        & (_near_kept() > threshold))
-    return pairs.groupBy("pos").agg(
-        F.min(F.struct("k_pos", _near_kept().alias("similarity"))).alias("_m")
-    ).select("pos", F.col("_m.k_pos").alias("near_pos"), F.col("_m.similarity").alias("similarity"))
+    edges = size_edges(threshold)
+    share = (1 - threshold) / (1 + threshold)
+    rng = np.random.default_rng(PART_SEED)
+    order = rng.permutation(64 * len(WORD_COLUMNS))
+    marks = rng.integers(0, 1 << 63, len(order), dtype=np.uint64)[order]
+    grouped = ranked.withColumn("_class", size_class(F.col("n"), threshold)).withColumn(
+        "_group", F.explode(F.array(F.col("_class") - 1, F.col("_class"))))
+
+    def run(batches):
+        for batch in batches:
+            words = np.stack([batch.column(w).to_numpy() for w in WORD_COLUMNS], axis=1)
+            bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")[:, order]
+            groups = batch.column("_group").to_numpy()
+            parts: list = [None] * len(groups)
+            for group in np.unique(groups):
+                rows = np.flatnonzero(groups == group)
+                largest = edges[min(group + 1, len(edges) - 1)] - 1
+                count = min(max(1, math.ceil(2 * largest * share)), len(order))
+                starts = np.arange(count) * len(order) // count
+                for at in range(0, len(rows), 256):
+                    some = rows[at:at + 256]
+                    sums = np.add.reduceat(bits[some] * marks, starts, axis=1)
+                    for row, values in zip(some, sums.view(np.int64)):
+                        parts[row] = values
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("pos"), batch.column("_group"), pa.array(parts, pa.list_(pa.int64()))],
+                names=["pos", "_group", "_parts"])
+
+    kind = ranked.schema["pos"].dataType.simpleString()
+    return grouped.select("pos", "_group", *WORD_COLUMNS).mapInArrow(
+        run, f"pos {kind}, _group int, _parts array<bigint>")
+
+
+def near_duplicate_links(ranked: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """For every row with an earlier row more similar than the threshold: the first such row.
+
+    All rows of the table take part.  Equal fingerprints are folded first: a copy is linked to
+    the first row of its group, and only that row goes on.  The others meet in an equi-join on a
+    shared bit range (:func:`part_hashes`), so only rows that agree on one are compared; then every
+    candidate is verified.  Each row gives at most one link, so a group of n copies gives n links.
+    """
+    rows = ranked.filter("n > 0").select("pos", *FINGERPRINT)
+    firsts = written(rows.groupBy(*FINGERPRINT).agg(F.min("pos").alias("pos")), "firsts")
+    parts = part_hashes(firsts, threshold).select("pos", "_group", F.posexplode("_parts").alias("_part", "_value"))
+    keys = ["_group", "_part", "_value"]
+    pairs = parts.join(parts.withColumnRenamed("pos", "k_pos"), keys).filter("k_pos < pos").select(
+        "pos", "k_pos").distinct()
+    renamed = firsts.withColumnsRenamed({c: f"k_{c}" for c in ("pos", *FINGERPRINT)})
+    near = pairs.join(firsts, "pos").join(renamed, "k_pos").withColumn("similarity", _near_kept()).filter(
+        F.col("similarity") > threshold)
+    linked = near.groupBy("pos").agg(F.min(F.struct("k_pos", "similarity")).alias("_m")).select(
+        "pos", F.col("_m.k_pos").alias("near_pos"), F.col("_m.similarity").alias("similarity"))
+    # A copy's first near row may also be an earlier one that is no copy of it.
+    folded = rows.join(firsts.withColumnRenamed("pos", "first"), FINGERPRINT).select("pos", "first")
+    first_links = linked.withColumnsRenamed({"pos": "first", "near_pos": "_near", "similarity": "_similarity"})
+    copy = F.col("pos") != F.col("first")
+    earlier = F.col("_near").isNotNull()
+    return folded.join(first_links, "first", "left").filter(copy | earlier).select(
+        "pos", F.when(earlier, F.col("_near")).otherwise(F.col("first")).alias("near_pos"),
+        F.when(earlier, F.col("_similarity")).otherwise(F.lit(1.0)).alias("similarity"))

@@ -13,6 +13,7 @@ WORDS = 16
 WORD_COLUMNS = [f"w{i}" for i in range(WORDS)]
 FINGERPRINT = [*WORD_COLUMNS, "n"]
 SALTS = 64
+QUERY_LIST = 1000
 
 
 def add_fingerprint(df: DataFrame, bits: Column) -> DataFrame:
@@ -129,21 +130,25 @@ def screen(
 
 
 def cosine_top_k(
-    vectors: DataFrame, queries: DataFrame, on: str, key: str, vector: str, top_k: int = 10,
+    vectors: DataFrame, queries: DataFrame, key: str, vector: str, top_k: int = 10,
 ) -> DataFrame:
-    """Most similar vectors per query among the rows that share the ``on`` column.
+    """The most similar vectors of the whole table for each query of a bounded list.
 
-    ``queries`` has one row per value of ``on`` (``query``, ``query_vector``), for example one
-    known active per class.  They are broadcast while their counted size allows.
+    ``queries`` has ``query`` and ``query_vector``, at most ``QUERY_LIST`` rows (checked), for
+    example the known actives.  Each vector meets the list inside its row, and every task keeps its
+    own best rows before anything is shuffled.
     """
-    side = F.broadcast(queries) if fits_broadcast(queries) else queries
+    if not fits_broadcast(queries, QUERY_LIST):
+        raise ValueError(f"more than {QUERY_LIST} queries; search for them in parts")
+    asked = queries.agg(F.collect_list(F.struct("query", "query_vector"))).scalar()
+
     def dot(a: Column, b: Column) -> Column:
         products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
         return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
     v, q = F.col(vector), F.col("query_vector")
     cosine = F.try_divide(dot(v, q), F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))
-    scored = vectors.join(side, on).withColumn("similarity", cosine)
+    met = vectors.withColumn("_asked", asked).withColumn("_q", F.explode("_asked")).drop("_asked")
+    scored = met.select(key, vector, "_q.query", "_q.query_vector").withColumn("similarity", cosine)
     return top_per_group(
-        scored.select(on, "query", key, "similarity"), [on, "query"],
-        best_first("similarity", key), top_k)
+        scored.select("query", key, "similarity"), ["query"], best_first("similarity", key), top_k)

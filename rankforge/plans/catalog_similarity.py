@@ -118,13 +118,14 @@ def diverse(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id")
 
 
-@query("j04_near_duplicate_links", rounded_sql(V.sql("doc_fp", f"""
-WITH {GREEDY}
-SELECT x.doc_id AS pos, min(c.doc_id) AS near_pos,
-  arg_min(bit_count(c.b & x.b) / (c.n + x.n - bit_count(c.b & x.b)), c.doc_id) AS similarity
-FROM final f JOIN ranked x ON x.r <= f.last_r JOIN chosen c ON c.doc_id < x.doc_id
-WHERE bit_count(c.b & x.b) / (c.n + x.n - bit_count(c.b & x.b)) > 0.8
-GROUP BY x.doc_id""", recursive=True), "similarity"))
+@query("j04_near_duplicate_links", rounded_sql(V.sql("doc_fp", """
+WITH packed AS MATERIALIZED (
+  SELECT doc_id, bitstring_agg(CAST(bit AS INT), 0, 1023) AS b, count(*) AS n FROM doc_bits GROUP BY doc_id),
+near AS (
+  SELECT x.doc_id AS pos, c.doc_id AS near_pos, bit_count(c.b & x.b) / (c.n + x.n - bit_count(c.b & x.b)) AS similarity
+  FROM packed x JOIN packed c ON c.doc_id < x.doc_id)
+SELECT pos, min(near_pos) AS near_pos, arg_min(similarity, near_pos) AS similarity FROM near WHERE similarity > 0.8
+GROUP BY pos"""), "similarity"))
 def links(spark: SparkSession, folder: str) -> DataFrame:
     rows = written(V.document_fingerprints(spark, folder), "fingerprints").filter("n > 0")
     rows = rows.withColumnRenamed("doc_id", "pos")
@@ -132,11 +133,11 @@ def links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("x05_vector_similarity", rounded_sql("""
-SELECT e.label, q.vec_id AS query, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity
-FROM embeddings e JOIN (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q USING (label)
-QUALIFY row_number() OVER (PARTITION BY e.label ORDER BY similarity DESC, e.vec_id) <= 10""", "similarity", 6))
+SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity
+FROM embeddings e JOIN (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q ON true
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id) <= 10""", "similarity", 6))
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     rows = V.read(spark, folder, "embeddings")
     first = cleaning.keep_first(rows, ["label"], ["vec_id"])
-    asked = first.select("label", F.col("vec_id").alias("query"), F.col("embedding").alias("query_vector"))
-    return rounded(similarity.cosine_top_k(rows, asked, "label", "vec_id", "embedding", 10), 6)
+    asked = first.select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_vector"))
+    return rounded(similarity.cosine_top_k(rows, asked, "vec_id", "embedding", 10), 6)

@@ -84,13 +84,25 @@ def test_at_most_hundred_and_unchanged_cases(spark):
     assert diversity.diversity_filter(plain, "protac", F.col("pos"), [F.asc("pos")]).count() == 150
 
 
-def test_links_point_to_the_first_chosen_row(spark):
+def test_links_point_to_the_first_near_row(spark):
     a = set(range(50))
     sets = [a, a | {60}, {200, 201}, a, {200, 201}]
     got = diversity.near_duplicate_links(table(spark, sets)).collect()
     assert sorted((r["pos"], r["near_pos"]) for r in got) == [(1, 0), (3, 0), (4, 2)]
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_links_of_all_rows(spark, threshold):
+    sets = [*near_copies(7, 260), {1}, {2}, {1}, set(range(1000)), set(range(1, 1000))]
+    got = diversity.near_duplicate_links(table(spark, sets), threshold).collect()
+    expected = {}
+    for i, s in enumerate(sets):
+        first = next((j for j in range(i) if s and sets[j] and sim(s, sets[j]) > threshold), None)
+        if first is not None:
+            expected[i] = first
+    assert {r["pos"]: r["near_pos"] for r in got} == expected and len(got) == len(expected) > 80
+
+
 def query_table(spark, sets):
     return table(spark, sets).withColumnRenamed("pos", "query_pos").withColumn(
         "query", F.concat(F.lit("q"), "query_pos"))
