@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from rankforge.config import SEED
 from rankforge.operators.metrics import roc_auc
+from rankforge.operators.ordering import shuffled_rank
 from rankforge.operators.scoring import class_from_probability
 from rankforge.operators.toplists import best_first, top_rows
-from rankforge.operators.training import stratified_folds
+from rankforge.operators.training import scaler_statistics, stratified_folds
 from rankforge.session import written
 
 
@@ -38,22 +39,48 @@ def estimator(model_type: str = "rf", **kw):
     raise ValueError(f"unknown model type {model_type}")
 
 
-def feature_stages(columns: list[str], scaled: bool = True) -> list:
-    raw = "raw_features" if scaled else "features"
-    stages = [VectorAssembler(inputCols=columns, outputCol=raw, handleInvalid="keep")]
-    if scaled:
-        stages.append(StandardScaler(inputCol=raw, outputCol="features", withMean=True))
-    return stages
+def scaled_name(column: str) -> str:
+    return f"_z_{column}"
+
+
+def scaling_stage(train: DataFrame, columns: list[str]) -> SQLTransformer:
+    """Standardizing by mean and population deviation of the training rows, as a stage that is saved with a model.
+
+    One small row of statistics comes to the driver.  A constant column is only centred.
+    """
+    stats = train.select(scaler_statistics(train, columns).alias("s")).first()
+    stats = stats["s"].asDict() if stats else {}
+    items = []
+    for c in columns:
+        mean, std = stats[c]["mean"] or 0.0, stats[c]["std"] or 0.0
+        items.append(f"(`{c}` - CAST('{mean!r}' AS DOUBLE)) / CAST('{(std if std > 0 else 1.0)!r}' AS DOUBLE) "
+                     f"AS `{scaled_name(c)}`")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(items)} FROM __THIS__")
+
+
+def assembler(columns: list[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
 
 
 def fit(train: DataFrame, columns: list[str], label: str, model, scaled: bool = True,
         weight: str | None = None) -> PipelineModel:
-    """Fit a tree model on named feature columns; the label is a column of the same row."""
+    """Fit a tree model on named feature columns; the label is a column of the same row.
+
+    With ``scaled`` the fitted pipeline standardizes raw columns itself.
+    """
     model = model.copy().setLabelCol(label)
     if weight:
         model.setWeightCol(weight)
-    needed = [*columns, label, *([weight] if weight else [])]
-    return Pipeline(stages=[*feature_stages(columns, scaled), model]).fit(train.select(*needed))
+    rows = train.select(*columns, label, *([weight] if weight else []))
+    if not scaled:
+        return Pipeline(stages=[assembler(columns), model]).fit(rows)
+    stages = [scaling_stage(rows, columns), assembler([scaled_name(c) for c in columns]), model]
+    return Pipeline(stages=stages).fit(rows)
+
+
+def with_scaling(scaling: SQLTransformer, fitted: PipelineModel) -> PipelineModel:
+    """A pipeline on raw columns from a scaling stage and a pipeline fitted on scaled ones."""
+    return PipelineModel(stages=[scaling, *fitted.stages])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -61,14 +88,15 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     out = model.transform(df)
     out = out.withColumn("probability_active", vector_to_array("probability")[1])
     out = out.withColumn("predicted_activity", class_from_probability(F.col("probability_active")))
-    return out.drop("raw_features", "features", "rawPrediction", "probability", "prediction")
+    made = [c for c in out.columns if c.startswith("_z_") and c not in df.columns]
+    return out.drop("features", "rawPrediction", "probability", "prediction", *made)
 
 
 def fit_regressor(train: DataFrame, columns: list[str], label: str, trees: int = 100,
                   depth: int = 5, seed: int = SEED) -> PipelineModel:
     model = RandomForestRegressor(
         featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[*feature_stages(columns, False), model]).fit(train.select(*columns, label))
+    return Pipeline(stages=[assembler(columns), model]).fit(train.select(*columns, label))
 
 
 def grid_search(train: DataFrame, columns: list[str], label: str, key: str,
@@ -86,10 +114,10 @@ def grid_search(train: DataFrame, columns: list[str], label: str, key: str,
     for name, values in grid.items():
         builder = builder.addGrid(model.getParam(name), values)
     folded = written(stratified_folds(train, label, key, folds, seed), "folds")
-    pipeline = Pipeline(stages=[*feature_stages(columns, False), model])
+    pipeline = Pipeline(stages=[assembler(columns), model])
     return CrossValidator(
         estimator=pipeline, estimatorParamMaps=builder.build(), numFolds=folds, foldCol="fold",
-        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
+        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0),
         parallelism=parallelism, seed=seed,
     ).fit(folded.select(*columns, label, "fold"))
 
@@ -122,3 +150,22 @@ def importance(model: PipelineModel, columns: list[str], n: int = 15) -> DataFra
     table = SparkSession.active().createDataFrame(
         list(zip(columns, values)), "feature STRING, importance DOUBLE")
     return top_rows(table, best_first("importance", "feature"), n)
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], label: str, key: str,
+                           seed: int = SEED) -> DataFrame:
+    """How much the exact AUC falls when one feature's values are dealt anew among the rows.
+
+    Values are exchanged by an equi-join of two seeded orders of the rows, once per feature; ranks
+    are numbered in buckets, so no task holds the table.
+    """
+    rows = written(df.select(key, label, *columns).withColumn("_one", F.lit(1)), "rows")
+    own = shuffled_rank(rows, "_one", key, seed).drop("size")
+    base = roc_auc(predict(model, rows), label, "probability_active").first()["auc_roc"]
+    found = []
+    for i, column in enumerate(columns):
+        other = shuffled_rank(rows.select("_one", key, column), "_one", key, seed + 1 + i)
+        dealt = own.drop(column).join(other.select("rank", column), "rank")
+        score = roc_auc(predict(model, dealt), label, "probability_active").first()["auc_roc"]
+        found.append((column, None if base is None or score is None else base - score))
+    return rows.sparkSession.createDataFrame(found, "feature STRING, fall DOUBLE")

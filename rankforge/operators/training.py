@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankforge.config import SEED
 from rankforge.functions.text import hash_uniform
-from rankforge.operators.ordering import shuffled_rank
+from rankforge.operators.ordering import seeded_key, shuffled_rank
 from rankforge.session import written
 
-SMOTE_BLOCK = 2000
-MAX_SLABS = 256
+#: Rows of one block of the neighbour search, and the most pivots.
+BLOCK = 2000
+PIVOTS = 1024
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = SEED) -> DataFrame:
@@ -67,83 +66,146 @@ def class_weights(df: DataFrame, label: str, classes: tuple = (0, 1)) -> DataFra
 
 
 def add_class_weights(df: DataFrame, label: str, classes: tuple = (0, 1)) -> DataFrame:
-    """Balanced ``weight`` on every row; the weight table has one row per given class."""
+    """Balanced ``weight`` on every row of the given classes; other rows stay and have none.
+
+    The weight table has one row per given class.
+    """
     weights = class_weights(df, label, classes).drop("rows")
-    return df.join(F.broadcast(weights), label)
+    return df.join(F.broadcast(weights), label, "left")
+
 
+def _distances(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    squares = (points ** 2).sum(axis=1)[:, None] + (others ** 2).sum(axis=1)[None, :]
+    return np.sqrt(np.maximum(squares - 2 * points @ others.T, 0.0))
 
-def _neighbours_in_block(columns: list[str], key: str, k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        points = pdf[columns].to_numpy(float)
-        squares = (points ** 2).sum(axis=1)
-        distance = squares[:, None] + squares[None, :] - 2 * points @ points.T
-        np.fill_diagonal(distance, np.inf)
-        width = min(k, len(points) - 1)
-        near = np.argsort(distance, axis=1, kind="stable")[:, :width]
-        out = pdf[[key, *columns]].copy()
-        out["_near"] = [points[row].tolist() for row in near]
-        return out
-    return run
+
+def nearest_neighbours(rows: DataFrame, columns: list[str], key: str, k: int = 5, seed: int = SEED,
+                       block: int = BLOCK) -> DataFrame:
+    """The exact k nearest other rows of every row: ``key``, ``place`` (from 0), ``near`` and its ``_point``.
+
+    Rows are assigned to the nearest of some pivot rows.  A row's k-th neighbour is no further than
+    its distance to a pivot plus that pivot's own k-th member, and by the triangle inequality a cell
+    further away than that, less its radius, holds no neighbour.  A row only meets the cells that
+    are left, in blocks of bounded size, and every size takes the same way.  The driver sees the
+    pivots and one row per cell, at most ``PIVOTS``.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    plain = rows.select(F.col(key).alias("key"),
+                        F.array(*[F.col(c).cast("double") for c in columns]).alias("point"))
+    total = plain.count()
+    chosen = plain.orderBy(seeded_key("key", seed), "key").limit(min(PIVOTS, max(1, -(-total // block)))).collect()
+    if not chosen:
+        return rows.sparkSession.createDataFrame(
+            [], f"`{key}` {kind}, place INT, near {kind}, _point ARRAY<DOUBLE>")
+    pivots = np.array([r["point"] for r in chosen], float).reshape(len(chosen), -1)
+
+    def points_of(column) -> np.ndarray:
+        return column.flatten().to_numpy().reshape(len(column), -1)
+
+    def assign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                far = _distances(points_of(batch.column("point")), pivots)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(far.argmin(axis=1).astype(np.int32)), pa.array(far.min(axis=1))],
+                    names=["key", "point", "cell", "far"])
+
+    placed = written(plain.mapInArrow(assign, f"key {kind}, point array<double>, cell int, far double"), "cells")
+    nth = F.row_number().over(Window.partitionBy("cell").orderBy("far"))
+    reach = placed.select("cell", "far").withColumn("_nth", nth).filter(F.col("_nth") <= k + 1).groupBy("cell").agg(
+        F.max("far").alias("reach"), F.count("*").alias("held"))
+    size = placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("rows"))
+    cells = size.join(reach, "cell").collect()
+    radius, limit = np.full(len(pivots), -np.inf), np.full(len(pivots), np.inf)
+    blocks = np.ones(len(pivots), np.int64)
+    for c in cells:
+        radius[c["cell"]] = c["radius"]
+        blocks[c["cell"]] = -(-c["rows"] // block)
+        if c["held"] > k:
+            limit[c["cell"]] = c["reach"]
+    parts = max(1, -(-total // (10 * block)))
+
+    def visits(batches):
+        for batch in batches:
+            if batch.num_rows:
+                far = _distances(points_of(batch.column("point")), pivots)
+                bound = (far + limit).min(axis=1)[:, None] * (1 + 1e-9) + 1e-9
+                seen = [np.flatnonzero(row) for row in far - radius <= bound]
+                to = [[{"cell": int(c), "block": b} for c in cs for b in range(int(blocks[c]))] for cs in seen]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key"), batch.column("point"),
+                     pa.array(to, pa.list_(pa.struct([("cell", pa.int32()), ("block", pa.int64())])))],
+                    names=["key", "point", "to"])
+
+    asking = placed.select("key", "point").mapInArrow(
+        visits, f"key {kind}, point array<double>, to array<struct<cell:int,block:bigint>>")
+    asking = asking.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).select(
+        F.inline("to"), "part", "key", "point")
+    of_cell = F.get(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell"))
+    members = placed.select("cell", F.pmod(F.xxhash64("key", F.lit(seed)), of_cell).alias("block"), "key", "point",
+                            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
+
+    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = {"key": [], "far": [], "near": [], "point": []}
+        if asked.num_rows and held.num_rows:
+            names, ids = asked["key"].to_pylist(), held["key"].to_pylist()
+            theirs = points_of(held["point"].combine_chunks())
+            mine = points_of(asked["point"].combine_chunks())
+            for at in range(0, len(names), 512):
+                far = _distances(mine[at:at + 512], theirs)
+                wide = min(k + 6, len(ids))
+                some = np.argpartition(far, wide - 1, axis=1)[:, :wide]
+                for row, near in enumerate(some):
+                    point = mine[at + row]
+                    exact = sorted((float(np.sqrt(((point - theirs[j]) ** 2).sum())), ids[j], j)
+                                   for j in near if ids[j] != names[at + row])[:k]
+                    for d, other, j in exact:
+                        out["key"].append(names[at + row])
+                        out["far"].append(d)
+                        out["near"].append(other)
+                        out["point"].append(theirs[j])
+        return pa.table([pa.array(out["key"], asked.schema.field("key").type), pa.array(out["far"], pa.float64()),
+                         pa.array(out["near"], asked.schema.field("key").type),
+                         pa.array(out["point"], pa.list_(pa.float64()))], names=list(out))
+
+    by = ["cell", "block", "part"]
+    found = asking.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(
+        search, f"key {kind}, far double, near {kind}, point array<double>")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("far", "near")) - 1
+    return found.withColumn("place", place).filter(F.col("place") < k).select(
+        F.col("key").alias(key), "place", "near", F.col("point").alias("_point"))
 
 
 def oversample_minority(
     train: DataFrame, columns: list[str], label: str, key: str, k: int = 5, seed: int = SEED,
-    block: int = SMOTE_BLOCK,
 ) -> DataFrame:
     """Add synthetic minority rows until both classes have the same size.
 
     A synthetic row lies at a random place on the line from a minority row to one of its k nearest
-    minority neighbours.  Neighbours are searched inside blocks of about ``block`` minority rows
-    that lie next to each other along one fixed random direction, so no task ever holds more than
-    a block and no pairwise join runs; with up to ``block`` minority rows there is a single block
-    and the search is exact.  Counting the classes and measuring the direction run small jobs.
+    minority neighbours, which are exact at every size.  Counting the classes runs a small job.
     """
     counts = {r[label]: r["n"] for r in
               train.filter(F.col(label).isin(0, 1)).groupBy(label).agg(F.count("*").alias("n")).collect()}
+    plain = train.select(*[F.col(c).cast("double").alias(c) for c in columns], label)
     if len(counts) < 2 or counts[0] == counts[1]:
-        return train.select(*columns, label)
+        return plain
     minority = min(counts, key=counts.get)
     small, missing = counts[minority], abs(counts[0] - counts[1])
-    rows = train.filter(F.col(label) == minority).select(key, *columns)
-    n_blocks = -(-small // block)
-    if n_blocks > 1:
-        direction = np.random.default_rng(seed).normal(size=len(columns))
-        place = sum((F.col(c) * float(d) for c, d in zip(columns, direction)), F.lit(0.0))
-        placed = rows.withColumn("_place", place)
-        slabs = min(n_blocks, MAX_SLABS)
-        middle, width = placed.agg(F.avg("_place"), F.stddev_pop("_place")).first()
-        bell = NormalDist(round(middle, 6), max(round(width, 6), 1e-6))
-        edges = [bell.inv_cdf(i / slabs) for i in range(1, slabs)]
-        slab = F.size(F.filter(F.lit(edges), lambda e: F.col("_place") >= e))
-        placed = placed.withColumn("_slab", slab).drop("_place")
-        sizes = placed.groupBy("_slab").agg(F.count("*").alias("_size"))
-        # At most MAX_SLABS rows. A slab larger than a block is dealt over several blocks.
-        parts = F.ceil(F.col("_size") / F.lit(float(block))).cast("bigint")
-        blocks = placed.join(F.broadcast(sizes), "_slab").withColumn(
-            "_block", F.struct("_slab", F.pmod(F.xxhash64(key), parts).alias("part")))
-    else:
-        blocks = rows.withColumn("_block", F.lit(0))
-    key_type = train.schema[key].dataType.simpleString()
-    schema = ", ".join([f"`{key}` {key_type}", *[f"`{c}` double" for c in columns],
-                        "`_near` array<array<double>>"])
-    plain = blocks.select("_block", key, *[F.col(c).cast("double").alias(c) for c in columns])
-    near = plain.groupBy("_block").applyInPandas(_neighbours_in_block(columns, key, k), schema)
-    near = written(near, "neighbours")
+    rows = written(train.filter(F.col(label) == minority).select(
+        key, *[F.col(c).cast("double").alias(c) for c in columns]), "minority")
+    near = written(nearest_neighbours(rows, columns, key, k, seed), "neighbours")
     each, extra = divmod(missing, small)
-    ranked = shuffled_rank(near.withColumn("_one", F.lit(1)), "_one", key, seed)
+    ranked = shuffled_rank(rows.withColumn("_one", F.lit(1)), "_one", key, seed)
     copies = F.lit(each) + F.when(F.col("rank") < extra, 1).otherwise(0)
-    made = (ranked.withColumn("_copies", copies)
-            .filter((F.col("_copies") > 0) & (F.size("_near") > 0))
+    made = (ranked.withColumn("_copies", copies).filter(F.col("_copies") > 0)
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))
-    pick = F.floor(hash_uniform(0, 1, F.col(key), F.col("_copy"), F.lit("pick"), seed=seed)
-                   * F.size("_near")).cast("int")
+    width = min(k, small - 1)
+    pick = F.floor(hash_uniform(0, 1, F.col(key), F.col("_copy"), F.lit("pick"), seed=seed) * width).cast("int")
     made = made.withColumns({
-        "_to": F.get("_near", pick),
-        "_at": hash_uniform(0, 1, F.col(key), F.col("_copy"), F.lit("at"), seed=seed),
-    })
+        "place": pick, "_at": hash_uniform(0, 1, F.col(key), F.col("_copy"), F.lit("at"), seed=seed),
+    }).join(near.withColumnRenamed("_point", "_to"), [key, "place"])
     synthetic = made.select(*[
         (F.col(c) + F.col("_at") * (F.col("_to")[i] - F.col(c))).alias(c)
         for i, c in enumerate(columns)
     ], F.lit(minority).cast(train.schema[label].dataType).alias(label))
-    return train.select(*[F.col(c).cast("double").alias(c) for c in columns], label).unionByName(synthetic)
+    return plain.unionByName(synthetic)

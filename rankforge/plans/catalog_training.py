@@ -111,11 +111,12 @@ def ap(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("t17_curve_points", rounded_sql(V.sql("labelled", f"""
 WITH {STEPS}
-SELECT y_prob AS threshold, CAST((flagged - tp) / q AS DOUBLE) AS fpr, CAST(tp / p AS DOUBLE) AS tpr, CAST(tp / flagged AS DOUBLE) AS precision, CAST(tp / p AS DOUBLE) AS recall FROM steps"""),
+SELECT y_prob AS threshold, CAST((flagged - tp) / q AS DOUBLE) AS fpr, CAST(tp / p AS DOUBLE) AS tpr, CAST(tp / flagged AS DOUBLE) AS precision, CAST(tp / p AS DOUBLE) AS recall FROM steps
+UNION ALL SELECT 'infinity'::DOUBLE, 0, 0, 1, 0"""),
     "threshold fpr tpr precision recall"))
 def curves(spark: SparkSession, folder: str) -> DataFrame:
     rows = V.labelled_scores(spark, folder)
-    return rounded(metrics.roc_points(rows).join(metrics.precision_recall_points(rows), "threshold"))
+    return rounded(metrics.curve_points(rows))
 
 
 @query("t18_class_report", rounded_sql(V.sql("labelled", """
@@ -162,6 +163,16 @@ def oversampling(spark: SparkSession, folder: str) -> DataFrame:
     return balanced.groupBy("activity").agg(F.count("*").alias("rows"))
 
 
+@query("t04_nearest_minority_rows", """
+WITH small AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label < 3),
+pairs AS (SELECT a.vec_id, b.vec_id AS near, list_distance(a.v, b.v) AS far FROM small a JOIN small b ON a.vec_id <> b.vec_id)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY far, near) - 1 AS INT) AS place, near FROM pairs
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY far, near) <= 5""")
+def nearest(spark: SparkSession, folder: str) -> DataFrame:
+    rows, columns = vector_rows(spark, folder)
+    return training.nearest_neighbours(rows.filter("activity = 1"), columns, "vec_id", block=100).drop("_point")
+
+
 @query("t06_t11_forest_predictions")
 def forest(spark: SparkSession, folder: str) -> DataFrame:
     rows, columns = vector_rows(spark, folder)
@@ -193,7 +204,7 @@ def regression_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("t09_grid_search")
 def grid(spark: SparkSession, folder: str) -> DataFrame:
-    rows, columns = vector_rows(spark, folder, 16)
+    rows, columns = vector_rows(spark, folder)
     found = models.grid_search(rows, columns, "activity", "vec_id", {"numTrees": [5, 10], "maxDepth": [2, 4]})
     settings = [(str({p.name: v for p, v in m.items()}), float(score))
                 for m, score in zip(found.getEstimatorParamMaps(), found.avgMetrics)]
@@ -202,7 +213,7 @@ def grid(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("t10_cross_validation")
 def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
-    rows, columns = vector_rows(spark, folder, 16)
+    rows, columns = vector_rows(spark, folder)
     scores = models.cross_validate(rows, columns, "activity", "vec_id", models.forest(5, 4), 5)
     return models.score_summary(scores)
 
@@ -219,12 +230,18 @@ def train(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.train_peptides(rows, "activity", "row_id", models.forest(20, 6))[1]
 
 
-@query("s17_s18_saved_model")
+@query("s17_s18_saved_model", V.sql("peptides", """
+SELECT pep_id, true AS same, true AS probable FROM peptides WHERE sequence <> ''"""))
 def saved_model(spark: SparkSession, folder: str) -> DataFrame:
     rows = generated_training_rows(spark, folder)
     path = scratch_path(spark, "bundle")
-    jobs.train_peptides(rows, "activity", "row_id", models.forest(5, 4), save_to=path)
+    fitted, _ = jobs.train_peptides(rows, "activity", "row_id", models.forest(5, 4), save_to=path)
     model, meta = sinks.load_model(path)
     features = add_descriptors(V.peptides(spark, folder).filter("sequence <> ''"))
     typed = features.withColumns({c: F.col(c).cast("double") for c in meta["feature_columns"]})
-    return models.predict(model, typed).select("pep_id", "probability_active", "predicted_activity")
+    names = ["probability_active", "predicted_activity"]
+    before = models.predict(fitted, typed.drop(*names)).withColumnsRenamed({n: f"{n}_0" for n in names})
+    both = models.predict(model, before)
+    same = (F.col("probability_active") == F.col("probability_active_0")) & (
+        F.col("predicted_activity") == F.col("predicted_activity_0"))
+    return both.select("pep_id", same.alias("same"), F.col("probability_active").between(0, 1).alias("probable"))

@@ -46,7 +46,7 @@ def test_one_class_and_no_positive_predictions(spark):
 
 def test_running_totals(spark):
     df = spark.range(500).select((F.col("id") / 7).alias("v"), F.lit(1).alias("one"))
-    got = {r["v"]: r["below_one"] for r in running_totals(df, "v", ["one"], 8).collect()}
+    got = {r["v"]: r["below_one"] for r in running_totals(df, "v", ["one"]).collect()}
     assert [got[v] for v in sorted(got)] == list(range(500))
 
 
@@ -81,15 +81,44 @@ def points(spark, n_major, n_minor):
     return spark.createDataFrame(rows, "id BIGINT, a DOUBLE, b DOUBLE, y INT")
 
 
-@pytest.mark.parametrize("block", [2000, 20])
-def test_oversampling_balances_inside_the_minority_range(spark, block):
+@pytest.mark.parametrize("block", [2000, 20, 3])
+def test_neighbours_are_exact_at_every_block_size(spark, block):
+    rng = random.Random(8)
+    rows = [(i, rng.gauss(i % 4 * 9, 1), float(rng.randint(0, 3))) for i in range(130)]
+    df = spark.createDataFrame(rows, "id BIGINT, a DOUBLE, b DOUBLE").repartition(4)
+    got = {}
+    for r in training.nearest_neighbours(df, ["a", "b"], "id", 5, block=block).collect():
+        got.setdefault(r["id"], {})[r["place"]] = r["near"]
+    for i, a, b in rows:
+        order = sorted((((a - x) ** 2 + (b - y) ** 2) ** 0.5, j) for j, x, y in rows if j != i)[:5]
+        assert [got[i][k] for k in range(5)] == [j for _, j in order]
+    few = training.nearest_neighbours(df.limit(3), ["a", "b"], "id", 5, block=block)
+    assert few.count() == 6 and training.nearest_neighbours(df.limit(0), ["a", "b"], "id").count() == 0
+
+
+def test_synthetic_rows_lie_between_neighbours(spark):
+    df = points(spark, 60, 20)
+    rows = {r["id"]: (r["a"], r["b"]) for r in df.collect()}
+    small = [p for i, p in rows.items() if i >= 60]
+    near = {p: sorted(small, key=lambda q: (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2)[1:6] for p in small}
+    made = [tuple(r)[:2] for r in training.oversample_minority(df, ["a", "b"], "y", "id").filter("y = 1").collect()]
+
+    def between(x, p, q):
+        share = (x[0] - p[0]) / (q[0] - p[0])
+        return -1e-9 <= share <= 1 + 1e-9 and abs(p[1] + share * (q[1] - p[1]) - x[1]) < 1e-9
+
+    new = [x for x in made if x not in small]
+    assert len(new) == 40 and all(any(between(x, p, q) for p in small for q in near[p]) for x in new)
+
+
+def test_oversampling_balances_inside_the_minority_range(spark):
     df = points(spark, 300, 90)
-    out = training.oversample_minority(df, ["a", "b"], "y", "id", block=block)
+    out = training.oversample_minority(df, ["a", "b"], "y", "id")
     counts = {r["y"]: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts == {0: 300, 1: 300}
     lo, hi = df.filter("y = 1").agg(F.min("a"), F.max("a")).first()
     assert out.filter("y = 1").filter((F.col("a") < lo) | (F.col("a") > hi)).count() == 0
-    again = training.oversample_minority(df.repartition(5), ["a", "b"], "y", "id", block=block)
+    again = training.oversample_minority(df.repartition(5), ["a", "b"], "y", "id")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
 
 
@@ -100,6 +129,26 @@ def test_scaling_and_weights(spark):
     assert row[0] == pytest.approx(0) and row[1] == pytest.approx(1) and row[2] == 0.0
     weights = {r["y"]: r["weight"] for r in training.class_weights(df, "y").collect()}
     assert weights == {0: pytest.approx(40 / 60), 1: 2.0}
+    odd = spark.createDataFrame([(1, 0), (2, 1), (3, None), (4, 7)], "id INT, y INT")
+    kept = {r["id"]: r["weight"] for r in training.add_class_weights(odd, "y").collect()}
+    assert kept == {1: 1.0, 2: 1.0, 3: None, 4: None}
+
+
+def test_scores_without_rows_or_numbers(spark):
+    empty = spark.createDataFrame([], "y_true INT, y_prob DOUBLE")
+    assert metrics.roc_auc(empty).first()[0] is None and metrics.average_precision(empty).first()[0] is None
+    assert [tuple(r) for r in metrics.roc_points(empty).collect()] == [(float("inf"), 0.0, 0.0)]
+    odd = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, float("nan")), (0, None)], "y_true INT, y_prob DOUBLE")
+    assert metrics.roc_auc(odd).first()[0] == 1.0
+    points_ = sorted(tuple(r) for r in metrics.precision_recall_points(odd).collect())
+    assert points_ == [(0.1, 0.5, 1.0), (0.9, 1.0, 1.0), (float("inf"), 1.0, 0.0)]
+
+
+def test_permutation_importance(spark):
+    df = points(spark, 150, 150).withColumn("noise", F.rand(3))
+    model = models.fit(df, ["a", "noise"], "y", models.forest(5, 4))
+    fall = {r["feature"]: r["fall"] for r in models.permutation_importance(model, df, ["a", "noise"], "y", "id").collect()}
+    assert fall["a"] > 0.3 and abs(fall["noise"]) < 0.05
 
 
 def test_forest_learns_and_repeats(spark):
