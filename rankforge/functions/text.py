@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rankforge.config import SEED
 
@@ -91,3 +91,9 @@ def pick_letter(letters: str, number: Column) -> Column:
 
 def add_all(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
+
+
+def normalize_nan(df: DataFrame) -> DataFrame:
+    """NaN becomes null in every floating column, so that comparisons with it are false."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: nan_to_null(F.col(c)) for c in floats}) if floats else df

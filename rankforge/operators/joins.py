@@ -55,14 +55,15 @@ def literal_rows(rows: list[tuple], names: list[str]) -> Column:
 def merge_features(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Join two feature tables with one row per key; the right side wins on shared columns.
 
-    A key found on one side only keeps that side's values.
+    Wherever the right side has a row its values win, nulls too; a key found on one side only keeps
+    that side's values.
     """
     shared = [c for c in right.columns if c in left.columns and c != key]
-    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in shared})
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in shared}).withColumn("_right", F.lit(True))
     joined = left.join(renamed, key, "full_outer")
     return joined.withColumns(
-        {c: F.coalesce(F.col(f"_right_{c}"), F.col(c)) for c in shared}
-    ).drop(*[f"_right_{c}" for c in shared])
+        {c: F.when(F.col("_right"), F.col(f"_right_{c}")).otherwise(F.col(c)) for c in shared}
+    ).drop("_right", *[f"_right_{c}" for c in shared])
 
 
 def attach_hits(predictions: DataFrame, hits: DataFrame, key: str) -> DataFrame:

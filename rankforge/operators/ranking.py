@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankforge import config as C
+from rankforge.functions.text import normalize_nan
 from rankforge.operators.scoring import score_category
 from rankforge.operators.toplists import best_first, top_rows
 
@@ -19,7 +20,7 @@ def category_order(df: DataFrame, category: str, score: str = "composite_score")
 
 
 def rank_category(df: DataFrame, category: str, weights: dict | None = None) -> DataFrame:
-    scored = score_category(df, category, weights)
+    scored = score_category(normalize_nan(df), category, weights)
     return scored.orderBy(*category_order(scored, category))
 
 
@@ -28,7 +29,7 @@ def rank_categories(
 ) -> DataFrame:
     """Best ``top_k`` of every category, put on one scale and ranked together.
 
-    Each category is cut to ``top_k`` rows before the union, so the steps after it see at most
+    NaN counts as missing in every column. Each category is cut to ``top_k`` rows before the union, so the steps after it see at most
     ``top_k`` rows per category however large the inputs are.
     """
     weights = weights or {}
@@ -38,7 +39,7 @@ def rank_categories(
             "category": F.lit(category),
             "category_weight": F.lit(float(weights.get(category, 1.0))),
         })
-        scored = score_category(tagged, category)
+        scored = score_category(normalize_nan(tagged), category)
         parts.append(top_rows(scored, category_order(scored, category), top_k))
     combined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     best = F.max("activity_score").over(Window.partitionBy())

@@ -126,14 +126,16 @@ def scaffold(spark: SparkSession, folder: str) -> DataFrame:
 @query("j06_merge_features", V.sql("molecules", f"""
 WITH {TABLE_SQL},
 extra AS (
-  SELECT smiles, any_value("MW") + 1 AS "MW", min("TPSA") AS "TPSA", max(brand) AS brand
+  SELECT smiles, any_value("MW") + 1 AS "MW", CASE WHEN max(brand) % 2 = 0 THEN min("TPSA") END AS "TPSA", max(brand) AS brand
   FROM (SELECT smiles, 100.0::DOUBLE AS "MW", "TPSA", brand FROM molecules) GROUP BY smiles HAVING max(brand) > 5)
-SELECT smiles, coalesce(e."MW", d."MW") AS "MW", coalesce(e."TPSA", d."TPSA") AS "TPSA", d."LogP", e.brand
+SELECT smiles, CASE WHEN e.brand IS NOT NULL THEN e."MW" ELSE d."MW" END AS "MW",
+  CASE WHEN e.brand IS NOT NULL THEN e."TPSA" ELSE d."TPSA" END AS "TPSA", d."LogP", e.brand
 FROM (SELECT smiles, "MW", "LogP", "TPSA" FROM descriptors) d FULL JOIN extra e USING (smiles)"""))
 def merge(spark: SparkSession, folder: str) -> DataFrame:
     left = descriptor_table(spark, folder).select("smiles", "MW", "LogP", "TPSA")
     right = V.molecules(spark, folder).groupBy("smiles").agg(
-        F.lit(101.0).alias("MW"), F.min("TPSA").alias("TPSA"), F.max("brand").alias("brand"))
+        F.lit(101.0).alias("MW"), F.when(F.max("brand") % 2 == 0, F.min("TPSA")).alias("TPSA"),
+        F.max("brand").alias("brand"))
     return joins.merge_features(left, right.filter("brand > 5"), "smiles")
 
 

@@ -12,7 +12,8 @@ from rankforge import config as C
 from rankforge.functions.structures import hashed_bits
 from rankforge.functions.sequences import clean_sequence
 from rankforge.operators.similarity import add_fingerprint
-from rankforge.sources.tables import normalize_nan, spread_small
+from rankforge.functions.text import normalize_nan
+from rankforge.sources.tables import spread_small
 
 TAILS = ["", "C(=O)N", "C(=O)O", "NC(=O)C", "OC", "CCl", "N", "c1ccncc1"]
 LIGANDS = ["O=CC1=CC=CC=C1", "O=CC1=CC=CC=C1O", "O=CCC", "NC1=CC=CC=C1"]

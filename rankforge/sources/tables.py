@@ -1,10 +1,13 @@
-"""File sources. Every source carries ``ingest_pos``, a sortable mark of the input order."""
+"""File sources. Text sources carry ``ingest_pos``, a sortable mark of the input order; parquet on request."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankforge.functions.text import nan_to_null
+from rankforge.functions.text import normalize_nan
+
+#: Tables of at most so many bytes may be dealt over the cores.
+SMALL_BYTES = 64 << 20
 REACTANTS = "type STRING, name STRING, smiles STRING"
 PEPTIDES = "sequence STRING, mic DOUBLE, target STRING, activity STRING"
 MOLECULES = (
@@ -19,19 +22,13 @@ LANDED_LOOKUPS = (
 )
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal a table that comes in fewer pieces than there are cores over all cores.
+def spread_small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """Deal a small table, by the size its files state, over all cores; a larger one is left as it is.
 
-    A larger table already has enough pieces and is left as it is, without a shuffle.
+    A single small file is one task otherwise.  The bound keeps this from ever shuffling a large table.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def normalize_nan(df: DataFrame) -> DataFrame:
-    """NaN becomes null in every floating column, so that comparisons with it are false."""
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: nan_to_null(F.col(c)) for c in floats}) if floats else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit else df
 
 
 def add_ingest_pos(df: DataFrame) -> DataFrame:
@@ -55,8 +52,16 @@ def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return normalize_nan(add_ingest_pos(raw))
 
 
-def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return normalize_nan(add_ingest_pos(spark.read.parquet(path)))
+def scan_parquet(spark: SparkSession, path: str, with_pos: bool = False) -> DataFrame:
+    """Parquet with NaN as null; ``ingest_pos`` (file, row in the file) only on request.
+
+    The position comes from the file's own row numbers, so filters and columns still reach the scan.
+    """
+    rows = spark.read.parquet(path)
+    if with_pos:
+        rows = rows.withColumn("ingest_pos", F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    return normalize_nan(rows)
 
 
 def scan_fasta(spark: SparkSession, path: str, with_length: bool = True) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from rankforge.operators.scoring import score_category
-from rankforge.session import scratch_path
 
 
 def stream_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -19,9 +18,12 @@ def stream_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def score_stream(candidates: DataFrame, category: str, target: str) -> StreamingQuery:
-    """Score arriving candidates and append them to a table; runs until the present files are done."""
-    spark = candidates.sparkSession
+def score_stream(candidates: DataFrame, category: str, target: str, progress: str) -> StreamingQuery:
+    """Score arriving candidates and append them to a table; runs until the present files are done.
+
+    ``progress`` is the folder that remembers which files were read.  A later call with the same
+    target and progress goes on where the last one ended; both belong to the shared storage.
+    """
     return (score_category(candidates, category).writeStream.format("parquet")
-            .option("path", target).option("checkpointLocation", scratch_path(spark, "score-stream"))
+            .option("path", target).option("checkpointLocation", progress)
             .outputMode("append").trigger(availableNow=True).start())

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from rankforge.operators import models
 from rankforge.plans import jobs
+from rankforge.session import shared_folder
 from rankforge.sources import sinks, tables
 from rankforge.streaming import scoring as stream
 
@@ -48,6 +49,11 @@ def test_model_bundle(spark, tmp_path):
     fitted, report = jobs.train_and_evaluate(
         df, ["a"], "y", "id", models.forest(3, 2), save_to=str(tmp_path / "m"))
     model, meta = sinks.load_model(str(tmp_path / "m"))
+    # The bundle scales raw rows itself: what is loaded predicts as what was fitted, and well.
+    key = ["id", "probability_active", "predicted_activity"]
+    loaded = sorted(map(tuple, models.predict(model, df).select(*key).collect()))
+    assert loaded == sorted(map(tuple, models.predict(fitted, df).select(*key).collect()))
+    assert sum(r[2] == (r[0] > 30) for r in loaded) > 55
     assert meta["feature_columns"] == ["a"] and meta["metrics"]["auc_roc"] > 0.9 and meta["training_date"]
     assert models.predict(model, df).count() == 60 and report.count() == 1
 
@@ -57,8 +63,35 @@ def test_scoring_a_stream_equals_the_batch(spark, tmp_path):
                                  "smiles STRING, MW DOUBLE, LogP DOUBLE, probability_active DOUBLE")
     rows.write.parquet(str(tmp_path / "in"))
     source = stream.stream_files(spark, str(tmp_path / "in"), rows.schema)
-    stream.score_stream(source, "repurposed", str(tmp_path / "out")).awaitTermination(120)
+    where = str(tmp_path / "out"), str(tmp_path / "progress")
+    stream.score_stream(source, "repurposed", *where).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     from rankforge.operators.scoring import score_category
     expected = score_category(rows, "repurposed")
     assert got.count() == 100 and got.exceptAll(expected).count() == 0
+    rows.limit(30).write.mode("append").parquet(str(tmp_path / "in"))
+    stream.score_stream(source, "repurposed", *where).awaitTermination(120)
+    assert spark.read.parquet(where[0]).count() == 130
+
+
+def test_filters_reach_the_parquet_scan(spark):
+    path = "/root/testdata/sf0.001/part.parquet"
+    plan = tables.scan_parquet(spark, path).filter("p_size = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(p_size,3)" in plan
+    marked = tables.scan_parquet(spark, path, with_pos=True).filter("p_size = 3")
+    assert "EqualTo(p_size,3)" in marked._jdf.queryExecution().executedPlan().toString()
+    assert marked.select("ingest_pos").distinct().count() == marked.count() > 0
+
+
+def test_no_temporary_folder_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Session:
+        conf = Conf
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared_folder(Session)
+
+
