@@ -187,3 +187,9 @@ def shuffled_rules(rules: list[tuple[str, str]], *parts, **kw) -> Column:
         for i, (target, replacement) in enumerate(rules)
     ]
     return F.sort_array(F.array(*entries))
+
+
+def add_structure_record(df: DataFrame, structure: str = "smiles") -> DataFrame:
+    """Set bits of the 1,024-bit fingerprint and the found keys next to a row's descriptors."""
+    c = F.col(structure)
+    return df.withColumns({"bits": structure_bits(c), "keys": structure_keys(c)})

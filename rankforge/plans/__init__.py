@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CATALOGS = ["sources", "cleaning", "peptides", "structures", "generation", "scoring", "similarity", "training"]
+CATALOGS = ["sources", "cleaning", "peptides", "structures", "generation", "scoring", "similarity", "training", "models"]
 
 
 
