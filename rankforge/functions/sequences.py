@@ -121,19 +121,27 @@ def _charge(t: Column) -> Column:
         [n * t / (k + t) for n, k in acidic])
 
 
-def _isoelectric_point(steps: int = 17) -> Column:
-    """pH of zero charge inside the usual range by interval halving, to two decimals."""
+PI_STEPS = 17
+
+
+def _with_isoelectric_point(counted: DataFrame, steps: int = PI_STEPS) -> DataFrame:
+    """``_ph``: the lower end of the last interval around the pH of zero charge, by interval halving.
+
+    Each step is a projection of plain columns, so all of them are compiled code.
+    """
     low, high = C.PI_RANGE
-    widths = [(high - low) / 2 ** i for i in range(1, steps + 1)]
+    out = counted.withColumn("_ph", F.lit(low))
+    for i in range(1, steps + 1):
+        width = (high - low) / 2 ** i
+        out = out.withColumn("_t", F.pow(F.lit(10.0), F.col("_ph") + width))
+        out = out.withColumn("_ph", F.when(_charge(F.col("_t")) > 0, F.col("_ph") + width).otherwise(F.col("_ph")))
+    return out.drop("_t")
 
-    def halve(lower: Column, width: Column) -> Column:
-        charge = bind(F.pow(F.lit(10.0), lower + width), _charge)
-        return F.when(charge > 0, lower + width).otherwise(lower)
 
-    return F.aggregate(
-        F.array(*[F.lit(w) for w in widths]), F.lit(low), halve,
-        lambda lower: F.round(lower + widths[-1] / 2, 2),
-    )
+def _isoelectric_point(steps: int = PI_STEPS) -> Column:
+    """The middle of the last interval, to two decimals."""
+    low, high = C.PI_RANGE
+    return F.round(F.col("_ph") + (high - low) / 2 ** steps / 2, 2)
 
 
 def _extended_columns(helix: str, turn: str, sheet: str) -> dict[str, Column]:
@@ -176,16 +184,16 @@ def add_extended_descriptors(
     Expects cleaned sequences. The helix, turn and sheet letters are parameters because
     published sets differ.
     """
-    counted = _with_terminal_k(_with_counts(df, sequence))
+    counted = _with_isoelectric_point(_with_terminal_k(_with_counts(df, sequence)))
     return _drop_counts(
-        counted.withColumns(_extended_columns(helix, turn, sheet))).drop("_k_n", "_k_c")
+        counted.withColumns(_extended_columns(helix, turn, sheet))).drop("_k_n", "_k_c", "_ph")
 
 
 def featurize(df: DataFrame, sequence: str = "sequence") -> DataFrame:
     """All peptide features of one sequence; the letters are counted once for both sets."""
-    counted = _with_terminal_k(_with_counts(df, sequence))
+    counted = _with_isoelectric_point(_with_terminal_k(_with_counts(df, sequence)))
     both = _descriptor_columns() | _extended_columns(C.HELIX, C.TURN, C.SHEET)
-    return _drop_counts(counted.withColumns(both)).drop("_k_n", "_k_c")
+    return _drop_counts(counted.withColumns(both)).drop("_k_n", "_k_c", "_ph")
 
 
 def one_hot_indices(c: Column, max_length: int = 50) -> Column:
