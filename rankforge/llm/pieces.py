@@ -33,7 +33,7 @@ from rankforge.llm import common
 #: Where the query and the pipeline take the vocabulary from.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts encoded together, in bytes: more of them share more words.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 3 << 20
 #: A vocabulary file sent to the tasks may have so many bytes.
 MODEL_BYTES = 64 << 20
 MARK = "▁"
