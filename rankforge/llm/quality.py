@@ -6,7 +6,7 @@ they scale the indicators, each row is brought to length one, and a linear hinge
 of the rows by dual coordinate descent. A sigmoid over margins of rows that a half model has not seen turns margins into
 scores.
 
-Texts are read once: their indicator sets are stored (16-bit numbers) and serve training and scoring.
+Texts are read once: their indicator sets are stored (about a byte for each indicator) and serve training and scoring.
 
 Defined results: a null or empty text has the one indicator "empty"; rows without an id are scored but never learned
 from; of several labels for one id the largest counts, labels other than 0 and 1 are ignored; without labels of both
@@ -64,6 +64,22 @@ def indicator_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def packed(found: np.ndarray) -> bytes:
+    """Sorted numbers as the gaps between them, a byte each; 255 adds to the gap that follows."""
+    gaps = np.diff(found.astype(np.int64), prepend=-1) - 1
+    many, rest = gaps // 255, (gaps % 255).astype(np.uint8)
+    out = np.full(int(many.sum()) + len(gaps), 255, np.uint8)
+    out[np.cumsum(many + 1) - 1] = rest
+    return out.tobytes()
+
+
+def unpacked(raw: bytes | pa.Buffer) -> np.ndarray:
+    """The numbers that :func:`packed` wrote."""
+    steps = np.frombuffer(raw, np.uint8)
+    ends = np.flatnonzero(steps != 255)
+    return np.cumsum(steps, dtype=np.int64)[ends] + np.arange(len(ends))
+
+
 def longest_seen_runs(texts: pa.Array) -> np.ndarray:
     """The longest run of words that all stood before in their text."""
     words, owner = common.word_arrays(texts)
@@ -81,14 +97,14 @@ def longest_seen_runs(texts: pa.Array) -> np.ndarray:
 
 
 def with_indicators(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
-    """``carry`` and ``_set`` (the indicator numbers as 16-bit numbers); one row in, one row out."""
+    """``carry`` and ``_set`` (the indicator numbers, packed); one row in, one row out."""
     given = docs.select(*dict.fromkeys([*carry, text]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*carry).schema.fields),
                         "_set binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, text):
-            sets = [s.tobytes() for s in indicator_sets(common.texts_of(part, text))]
+            sets = [packed(s) for s in indicator_sets(common.texts_of(part, text))]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(sets, pa.binary())],
                                              names=[*carry, "_set"])
 
@@ -103,7 +119,7 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         total = np.zeros(2, np.int64)
         for batch in batches:
             for label, raw in zip(batch.column("label").to_pylist(), batch.column("_set").to_pylist()):
-                counts[label, np.frombuffer(raw, np.uint16)] += 1
+                counts[label, unpacked(raw)] += 1
                 total[label] += 1
         at = np.flatnonzero(counts.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[0, at], total[0])),
@@ -204,7 +220,7 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | float:
                                                 b.column("_set").to_pylist())]
         held.sort()
         labels = np.array([x[1] for x in held], np.int64)
-        model = fit_sample(labels, [np.frombuffer(x[2], np.uint16) for x in held], ratios, total)
+        model = fit_sample(labels, [unpacked(x[2]) for x in held], ratios, total)
         yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()], pa.binary())], names=["model"])
 
     sample = picked.select(F.xxhash64("doc_id").alias("key"), "label", "_set").coalesce(1)
@@ -225,7 +241,7 @@ def score(rows: DataFrame, model: tuple[np.ndarray, np.ndarray] | float, carry:
         for batch in batches:
             margins = np.zeros(batch.num_rows)
             for i, raw in enumerate(batch.column("_set")):
-                found = np.frombuffer(raw.as_buffer(), np.uint16)
+                found = unpacked(raw.as_buffer())
                 margins[i] = weights[found].sum() / max(np.sqrt(squares[found].sum()), 1e-300) + bias
             scores = 1 / (1 + np.exp(-np.clip(slope * margins + offset, -500, 500)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(scores)],

@@ -292,6 +292,11 @@ def test_quality_without_labels_and_odd_rows(spark, tmp_path):
     assert quality.train(sets.selectExpr("doc_id", "1 AS label", "_set")) == 0.5
 
 
+def test_packed_sets():
+    for found in ([], [0], [65535], [0, 1, 255, 256, 511, 65535], list(range(0, 65536, 255)), list(range(0, 65536, 256))):
+        assert quality.unpacked(quality.packed(np.array(found, np.uint16))).tolist() == found
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(1)
     sets = [np.sort(rng.choice(50, 10, replace=False)) + (100 if i % 2 else 0) for i in range(40)]
