@@ -204,6 +204,20 @@ def fit_sample(labels: np.ndarray, sets: list[np.ndarray], ratios: np.ndarray, t
     return np.append(hinge_by_dual_descent(sets, values, signs, cost), [slope, offset])
 
 
+def smallest_hashes(rows: DataFrame, total: int) -> DataFrame:
+    """The ``SAMPLE_PER_CLASS`` rows with the smallest hash of their id.
+
+    A bound on the hash that about four times as many rows pass comes first, so that what meets in one task does not
+    grow with the input. Where ids repeat so much that too few rows pass it, all rows are candidates.
+    """
+    share = min(1.0, 4 * SAMPLE_PER_CLASS / total)
+    key = F.xxhash64("doc_id")
+    some = rows.where(key <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 2048))))
+    if some.count() < min(SAMPLE_PER_CLASS, total):
+        some = rows
+    return some.orderBy(key, "doc_id", "_set").limit(SAMPLE_PER_CLASS)
+
+
 def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | float:
     """Ratios and model from ``doc_id``, ``label`` (0 or 1) and ``_set``; a plain share if a class is missing."""
     total, counts = class_counts(rows)
@@ -212,7 +226,7 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | float:
     ratios = log_count_ratios(counts)
     picked = None
     for label in (0, 1):
-        part = rows.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "_set").limit(SAMPLE_PER_CLASS)
+        part = smallest_hashes(rows.where(F.col("label") == label), int(total[label]))
         picked = part if picked is None else picked.unionByName(part)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
