@@ -1,42 +1,52 @@
 """Main text of web pages by wrapper induction.
 
-For each host a few pages are parsed to trees and aligned with the first one by simple tree matching. Blocks whose text
-is the same in all aligned pages are the host's template; blocks that vary are slots, and the element that holds most of
-the slots' text is the host's content element. A page's text is what stands in its article (its ``article`` or ``main``
-elements, else the host's content element, else the page), without template blocks and without elements whose tag, role
-or class says that they are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments.
-
-Alignment sees at most ``PAGES_PER_HOST`` pages of a host (the smallest hashes), a documented sample; every page of every
-host is extracted, whole. Wrappers are a few kilobytes for each host; they are broadcast while their counted size stays
-below ``BROADCAST_BYTES``, beyond that they are joined, where Spark splits a hot host.
-
-Defined results: null or empty html gives the empty text; a null url shares the empty host; hosts with under
-``MIN_ALIGNED`` different pages have no template; broken markup is closed as browsers do; repeated rows get equal
-results; an empty table gives no rows; further columns are ignored.
+Every page of a host is aligned with one of them, its pivot, by simple tree matching. Blocks with the same text in at
+least ``SHARED`` of a host's different pages are the host's template; what varies are slots, and the content element is
+the deepest one that holds most of the slots' text over all pages. A page's text is what stands in its article (its
+``article`` or ``main`` elements, else the host's content element, else the page), without template blocks and without elements whose tag, role or class says that they are menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles or comments.
+
+Pages are matched where they are read; what is shuffled are paths, hashes and sizes of their blocks, counted per task
+first. Copies, and near copies whose longest blocks agree, count as one page. Pivots and wrappers are a few kilobytes for
+each host; they are broadcast while their counted size stays below ``BROADCAST_BYTES``, beyond that they are joined, and
+a host of very many pages is dealt over several tasks.
+
+Defined results: null or empty html gives the empty text; a null url shares the empty host; a host with fewer than
+``MIN_ALIGNED`` different pages, or whose pages share more text than varies, has no wrapper; broken markup is closed as
+browsers do; repeated rows get equal results; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import json
 import re
 import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.llm import common
 from rankforge.llm.urls import host_of
 from rankforge.session import written
 
-PAGES_PER_HOST, MIN_ALIGNED = 6, 4
+#: Different pages that a wrapper needs, and the share of them that has a template block.
+MIN_ALIGNED, SHARED = 2, 0.8
+#: Share of the slots' text that the content element holds at least.
+CONTENT_SHARE = 0.7
+#: Longest blocks that tell different pages from near copies.
+LONGEST = 3
 BROADCAST_BYTES = 8 << 20
-#: Pairs of children that a tree matching may compare at one node; beyond, they are aligned in order.
-MAX_CELLS = 40_000
+#: Pages of a host that one task of a join should get.
+PAGES_PER_TASK = 5_000
+#: Characters of pivots whose trees a worker keeps, and shapes of trees and their sizes.
+KEPT_CHARS, KEPT_SHAPES = 4 << 20, 100_000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
                  re.DOTALL)
@@ -63,6 +73,7 @@ DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertisement
                           "sharing social related comment comments respond disqus widget widgets pagination pager "
                           "login signup search skip toolbar".split())
 ARTICLE_TAGS = ("article", "main")
+ITEMS = pa.list_(pa.struct([("path", pa.int64()), ("text", pa.int64()), ("size", pa.int64())]))
 
 
 class Element:
@@ -75,7 +86,7 @@ class Element:
         self.key = tag + "".join("." + w for w in sorted(names.get("class", "").split()))
         self.items: list[Element | str] = []
         words = set(re.split(r"[\s_-]+", names.get("class", "") + " " + names.get("id", "")))
-        self.main = tag in ARTICLE_TAGS or names.get("role") in ("main", "article")
+        self.main = tag in ARTICLE_TAGS or names.get("role") in ARTICLE_TAGS
         self.dropped = (tag in DROPPED_TAGS or names.get("role") in DROPPED_ROLES or "hidden" in names
                         or names.get("aria-hidden") == "true"
                         or not self.main and tag != "body" and not DROPPED_WORDS.isdisjoint(words))
@@ -186,18 +197,26 @@ def blocks(root: Element, content: int | None = None) -> list[Block]:
     return out
 
 
-def own_text(element: Element) -> str:
-    """Text of an element outside its block children."""
-    out, todo = [], list(reversed(element.items))
-    while todo:
-        x = todo.pop()
+def through(element: Element) -> bool:
+    """Whether an element is part of the block around it."""
+    return element.tag in INLINE and not element.dropped and not element.main
+
+
+def own_texts(element: Element) -> list[str]:
+    """Texts of an element between its block children, as :func:`blocks` gives them."""
+    out, run, todo = [], [], list(reversed(element.items))
+    while todo or run:
+        x = todo.pop() if todo else None
         if isinstance(x, str):
-            out.append(x)
-        elif x.tag in INLINE:
+            run.append(x)
+        elif x is not None and through(x):
             todo += reversed(x.items)
-        else:
-            out.append(" ")
-    return " ".join(entities.unescape("".join(out)).split())
+        elif run:
+            text = " ".join(entities.unescape("".join(run)).split())
+            run.clear()
+            if text:
+                out.append(text)
+    return out
 
 
 def children(element: Element) -> list[Element]:
@@ -207,127 +226,276 @@ def children(element: Element) -> list[Element]:
         x = todo.pop()
         if isinstance(x, str):
             continue
-        if x.tag in INLINE and not x.dropped:
+        if through(x):
             todo += reversed(x.items)
         else:
             out.append(x)
     return out
 
 
+_SHAPES: dict[tuple, int] = {}
+_SIZES: dict[tuple[int, int], int] = {}
+_NUMBERS = itertools.count()
+
+
 class Tree:
-    """An element with its block children and path, ready for matching."""
+    """An element with its block children and path, ready for matching; trees of equal ``shape`` have equal keys."""
 
-    __slots__ = ("key", "path", "above", "depth", "text", "kids", "dropped")
+    __slots__ = ("key", "path", "above", "depth", "texts", "kids", "dropped", "main", "shape", "size")
 
     def __init__(self, element: Element, above: Tree | None = None) -> None:
-        self.key, self.above = element.key, above
+        self.key, self.above, self.main = element.key, above, element.main
         self.path = path_below(above.path if above else 0, element.key)
         self.depth = above.depth + 1 if above else 0
-        self.text = own_text(element)
+        self.texts = own_texts(element)
         self.dropped = element.dropped or above is not None and above.dropped
         self.kids = [] if element.tag in RAW else [Tree(x, self) for x in children(element)]
+        self.size = 1 + sum(k.size for k in self.kids)
+        if len(_SHAPES) > KEPT_SHAPES:  # numbers are never used again, so trees of before stay right
+            _SHAPES.clear()
+        shape = (self.key, *(k.shape for k in self.kids))
+        self.shape = _SHAPES.get(shape)
+        if self.shape is None:
+            self.shape = _SHAPES[shape] = next(_NUMBERS)
+
+    def walk(self) -> Iterator[Tree]:
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += reversed(node.kids)
+
+
+def match_size(a: Tree, b: Tree) -> int:
+    """Size of the largest order-keeping match of two trees."""
+    if a.key != b.key:
+        return 0
+    if a.shape == b.shape:
+        return a.size
+    if not a.kids or not b.kids:
+        return 1
+    pair = (a.shape, b.shape)
+    found = _SIZES.get(pair)
+    if found is None:
+        found = 1
+        for row in match_rows(a, b):
+            found = 1 + int(row[-1])
+        if len(_SIZES) > KEPT_SHAPES:
+            _SIZES.clear()
+        _SIZES[pair] = found
+    return found
+
+
+def match_rows(a: Tree, b: Tree) -> Iterator[np.ndarray]:
+    """For each child of ``a`` the best sizes of matches of the children up to it with those of ``b`` up to each."""
+    first: dict[int, int] = {}
+    which = np.array([first.setdefault(y.shape, len(first)) for y in b.kids])
+    some = [b.kids[i] for i in np.unique(which, return_index=True)[1]]
+    row = np.zeros(len(b.kids) + 1, np.int64)
+    for x in a.kids:
+        gain = np.array([match_size(x, y) for y in some])[which]
+        # A child that cannot match adds nothing, so its diagonal is never the only best.
+        row = np.concatenate([[0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gain))])
+        yield row
 
 
 def matching(a: Tree, b: Tree) -> tuple[int, list[tuple[Tree, Tree]]]:
     """Simple tree matching: size of the largest order-keeping match of two trees with equal roots, and its pairs."""
-    if a.key != b.key:
-        return 0, []
-    n, m = len(a.kids), len(b.kids)
-    pairs = [(a, b)]
-    if n * m > MAX_CELLS:
-        total, j = 1, 0
-        for x in a.kids:
-            at = next((k for k in range(j, m) if b.kids[k].key == x.key), None)
-            if at is not None:
-                size, inner = matching(x, b.kids[at])
-                total, j = total + size, at + 1
-                pairs += inner
-        return total, pairs
-    inner = {}
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i, x in enumerate(a.kids, 1):
-        for j, y in enumerate(b.kids, 1):
-            size = 0
-            if x.key == y.key:
-                inner[i, j] = matching(x, y)
-                size = best[i - 1][j - 1] + inner[i, j][0]
-            best[i][j] = max(best[i][j - 1], best[i - 1][j], size)
-    i, j = n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs += inner[i, j][1]
-            i, j = i - 1, j - 1
-    return 1 + best[n][m], pairs
-
-
-def induce(pages: list[str]) -> dict:
-    """The wrapper of a host: constant ``(path, text)`` blocks and the path of the content element (or null)."""
-    pages = list(dict.fromkeys(pages))
-    if len(pages) < MIN_ALIGNED:
-        return {"template": [], "content": None}
+    size, pairs = match_size(a, b), []
+    todo = [(a, b)] if size else []
+    while todo:
+        x, y = todo.pop()
+        pairs.append((x, y))
+        if x.shape == y.shape:
+            todo += zip(x.kids, y.kids)
+            continue
+        if not x.kids or not y.kids:
+            continue
+        # Of each row only where it equals the one above and its own last entry is kept, as bits.
+        before, steps = np.zeros(len(y.kids) + 1, np.int64), []
+        for row in match_rows(x, y):
+            steps.append((np.packbits(row == before), np.packbits(np.concatenate([[False], row[1:] == row[:-1]]))))
+            before = row
+        i, j = len(x.kids), len(y.kids)
+        while i and j:
+            up, left = (bits[j >> 3] >> (7 - (j & 7)) & 1 for bits in steps[i - 1])
+            if up:
+                i -= 1
+            elif left:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                todo.append((x.kids[i], y.kids[j]))
+    return size, pairs
+
+
+def hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1 or 1
+
+
+def tree_of(html: str) -> Tree:
     # Trees are walked by plain recursion, and pages may be nested very deeply.
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
-    trees = [Tree(parse(p)) for p in pages]
-    pivot, others = trees[0], trees[1:]
+    return Tree(parse(html))
+
+
+def observed(pivot: Tree, page: Tree) -> tuple[int, list[tuple[int, int, int]]]:
+    """What a page tells about its host: what it is known by, and ``(path, text hash, length)`` of its blocks.
+
+    Blocks that match none of the pivot count for the nearest element that does, with hash 0.
+    """
+    matched = {id(y): x for x, y in matching(pivot, page)[1]}
+    out: dict[tuple[int, int], int] = {}
+    texts: set[str] = set()
+    todo = [(page, pivot.path)]
+    while todo:
+        node, path = todo.pop()
+        if node.dropped:
+            continue
+        own = id(node) in matched
+        path = node.path if own else path
+        for text in node.texts:
+            texts.add(text)
+            key = (path, hashed(text) if own else 0)
+            out[key] = out.get(key, 0) + len(text)
+        todo += ((k, path) for k in node.kids)
+    longest = sorted(texts, key=lambda t: (-len(t), t))[:LONGEST]
+    return hashed("\0".join(longest)), [(*key, size) for key, size in out.items()]
+
+
+def induce(pivot: Tree, shared: list[tuple[int, int, int]], varying: dict[int, int]) -> dict:
+    """The wrapper of a host: constant ``(path, text hash)`` blocks and the path of the content element (or null).
+
+    ``shared`` has path, hash and total length of the template's blocks, ``varying`` the length of the slots by path.
+    """
+    held: dict[int, list] = {}
+    constant: dict[int, int] = {}
+    done = set()
     same: dict[int, int] = {}
-    nodes: dict[int, Tree] = {}
-    for other in others:
-        for x, y in matching(pivot, other)[1]:
-            nodes[id(x)] = x
-            same[id(x)] = same.get(id(x), 0) + (x.text == y.text)
-    template, mass = [], {}
-    for key, node in nodes.items():
-        if not node.text:
+    for path, _, size in shared:
+        same[path] = same.get(path, 0) + size
+    for node in pivot.walk():
+        if node.path in done or node.dropped:
+            continue
+        done.add(node.path)
+        size, template = varying.get(node.path, 0), same.get(node.path, 0)
+        if not size and not template:
             continue
-        if same[key] == len(others):
-            template.append([node.path, node.text])
-        elif not node.dropped:
-            above = node.above
-            while above is not None and above.depth:  # elements that hold the slot
-                size, _ = mass.get(above.path, (0, 0))
-                mass[above.path] = (size + len(node.text), above.depth)
-                above = above.above
-    most = max((size for size, _ in mass.values()), default=0)
-    # The deepest element that holds most of the slots' text.
-    content = max(((depth, p) for p, (size, depth) in mass.items() if size >= 0.7 * most), default=(0, None))[1]
-    return {"template": template, "content": content}
+        # A block of text is held by the elements above it, a page's whole by itself.
+        above = node if node.kids or not node.above else node.above
+        while above is not None:
+            each = held.setdefault(above.path, [0, above.depth, False])
+            each[0] += size
+            each[2] |= above.main
+            constant[above.path] = constant.get(above.path, 0) + template
+            above = above.above
+    total = sum(varying.values())
+    found = [(depth, path) for path, (size, depth, main) in held.items()
+             if depth and size and size >= CONTENT_SHARE * total]
+    content = max(found, default=(0, None))[1]
+    if content is None or constant[content] > held[content][0]:
+        return {"template": [], "content": None}  # near copies, or nothing that varies
+    return {"template": [[path, text] for path, text, _ in shared], "content": content}
 
 
 def main_text(html: str, wrapper: dict | None) -> str:
     """The page's main text under its host's wrapper."""
     found = blocks(parse(html), wrapper and wrapper["content"])
-    template = {tuple(x) for x in wrapper["template"]} if wrapper else set()
-    if any(b.main for b in found):
-        found = [b for b in found if b.main]
-    else:
-        found = [b for b in found if b.inside] or found
-    return " ".join(b.text for b in found if not b.dropped and (b.path, b.text) not in template)
+    template = wrapper["template"] if wrapper else ()
+    found = [b for b in found if b.main] or [b for b in found if b.inside] or found
+    return " ".join(b.text for b in found if not b.dropped and (not template or (b.path, hashed(b.text)) not in template))
+
+
+def beside(pages: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """Pages with their host's ``column`` of ``known`` (``_host``, ``column``, ``_pages``), null where it has none."""
+    size = known.agg(F.coalesce(F.sum(F.octet_length(column) + F.octet_length("_host")), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(known.drop("_pages")), "_host", "left")
+    parts = F.floor(F.col("_pages") / PAGES_PER_TASK) + 1
+    dealt = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_pages")
+    # At most one host for each PAGES_PER_TASK pages.
+    hot = known.where(F.col("_pages") >= PAGES_PER_TASK).select("_host", parts.alias("_parts"))
+    salted = pages.join(F.broadcast(hot), "_host", "left").withColumn("_salt", F.pmod(
+        F.xxhash64("_html", F.spark_partition_id()), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    return salted.join(dealt, ["_host", "_salt"], "left").drop("_salt")
+
+
+class Pivots:
+    """Trees of the pivots that a worker met last."""
+
+    def __init__(self) -> None:
+        self.trees: dict[str, Tree] = {}
+        self.chars = 0
+
+    def of(self, html: str) -> Tree:
+        if html not in self.trees:
+            if self.chars > KEPT_CHARS:
+                self.trees.clear()
+                self.chars = 0
+            self.trees[html] = tree_of(html)
+            self.chars += len(html)
+        return self.trees[html]
+
+
+def pivots(pages: DataFrame) -> DataFrame:
+    """``_host``, ``_pivot`` (the html with the smallest hash) and ``_pages`` of hosts with several different pages."""
+    keyed = pages.where("_html <> ''").withColumn("_digest", F.xxhash64("_html"))
+    hosts = written(keyed.groupBy("_host").agg(
+        F.min("_digest").alias("_digest"), F.max("_digest").alias("_last"), F.count("*").alias("_pages")).where(
+        "_digest <> _last").drop("_last"), "hosts")
+    return written(keyed.join(hosts, ["_host", "_digest"]).groupBy("_host").agg(
+        F.min("_html").alias("_pivot"), F.first("_pages").alias("_pages")), "pivots")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``_host`` and ``_wrapper`` (JSON) of each host, from ``_host`` and ``_html``."""
-    order = Window.partitionBy("_host").orderBy("_order")
-    sample = pages.where("_html <> ''").withColumn("_order", F.xxhash64("_html")).withColumn(
-        "_at", F.row_number().over(order)).where(F.col("_at") <= PAGES_PER_HOST)
+    """``_host``, ``_wrapper`` (JSON) and ``_pages`` of each host, from ``_host`` and ``_html`` of all its pages."""
+    known = pivots(pages)
+    both = beside(pages.where("_html <> ''"), known, "_pivot").where("_pivot is not null").select(
+        "_host", "_html", "_pivot")
 
-    def learn(group: pa.Table) -> pa.Table:
-        wrapper = induce([h for _, h in sorted(zip(group["_order"].to_pylist(), group["_html"].to_pylist()))])
-        return pa.table({"_host": group["_host"].slice(0, 1), "_wrapper": [json.dumps(wrapper)]})
-
-    return sample.select("_host", "_order", "_html").groupBy("_host").applyInArrow(
-        learn, "_host string, _wrapper string")
+    def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Pivots()
+        for part in common.slices(batches, "_html"):
+            names, items = [], []
+            for page, pivot in zip(part.column("_html").to_pylist(), part.column("_pivot").to_pylist()):
+                name, each = observed(trees.of(pivot), tree_of(page))
+                names.append(name)
+                items.append([{"path": p, "text": t, "size": n} for p, t, n in each])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("_host"), pa.array(names, pa.int64()), pa.array(items, ITEMS)],
+                names=["_host", "page", "items"])
+
+    seen = both.mapInArrow(observe, "_host string, page bigint, items array<struct<path:bigint,text:bigint,size:bigint>>")
+    blocks_of = written(seen.select("_host", "page", F.explode_outer("items").alias("x")).select(
+        "_host", "page", "x.*").groupBy("_host", "path", "text", "page").agg(F.max("size").alias("size")), "blocks")
+    different = blocks_of.select("_host", "page").distinct().groupBy("_host").agg(F.count("*").alias("n")).where(
+        F.col("n") >= MIN_ALIGNED)
+    texts = blocks_of.where("path is not null").groupBy("_host", "path", "text").agg(
+        F.count("*").alias("pages"), F.sum("size").alias("size"))
+    constant = (F.col("text") != 0) & (F.col("pages") >= SHARED * F.col("n"))
+    # Of each path: at most 1 / SHARED as many texts as a page has there, and the length of all others.
+    slots = texts.join(different, "_host").groupBy("_host", "path", F.when(constant, F.col("text")).alias("text")).agg(
+        F.sum("size").alias("size"))
+    facts = slots.groupBy("_host").agg(F.collect_list(F.struct("path", "text", "size")).alias("_facts"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for pivot, each in zip(batch.column("_pivot").to_pylist(), batch.column("_facts").to_pylist()):
+                shared = sorted((x["path"], x["text"], x["size"]) for x in each if x["text"] is not None)
+                out.append(json.dumps(induce(tree_of(pivot), shared, {
+                    x["path"]: x["size"] for x in each if x["text"] is None})))
+            yield pa.RecordBatch.from_arrays([batch.column("_host"), pa.array(out, pa.string()), batch.column("_pages")],
+                                             names=["_host", "_wrapper", "_pages"])
+
+    return known.join(facts, "_host").select("_host", "_pivot", "_pages", "_facts").mapInArrow(
+        learn, "_host string, _wrapper string, _pages bigint")
 
 
 def extract(pages: DataFrame, carry: list[str], html: str = "html", url: str = "url") -> DataFrame:
     """``carry`` and ``text``: the main text of every page."""
     rows = pages.select(*carry, host_of(F.col(url)).alias("_host"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
-    learned = written(wrappers(rows.select("_host", "_html")), "wrappers")
-    total = learned.agg(F.coalesce(F.sum(F.octet_length("_wrapper") + F.octet_length("_host")), F.lit(0))).first()[0]
-    joined = rows.join(F.broadcast(learned) if total <= BROADCAST_BYTES else learned, "_host", "left")
+    joined = beside(rows, written(wrappers(rows.select("_host", "_html")), "wrappers"), "_wrapper")
     given = joined.select(*carry, "_html", "_wrapper")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*carry).schema.fields),
                         "text string"])
@@ -341,6 +509,7 @@ def extract(pages: DataFrame, carry: list[str], html: str = "html", url: str = "
                     if len(known) >= 1000:
                         known.clear()
                     known[wrapper] = json.loads(wrapper)
+                    known[wrapper]["template"] = {tuple(x) for x in known[wrapper]["template"]}
                 texts.append(main_text(page, known.get(wrapper)))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(texts, pa.string())],
                                              names=[*carry, "text"])

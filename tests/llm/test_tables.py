@@ -370,3 +370,34 @@ def test_stages_keep_the_columns(spark, tmp_path):
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns and out.count() > 0, name
         assert stage(spark, X.empty(spark), folder).count() == 0, name
+
+
+def texts_of_pages(spark, hosts: dict) -> dict:
+    rows = [(f"{host}{i}", f"http://{host}.com/{i}", html) for host, each in hosts.items() for i, html in enumerate(each)]
+    table = spark.createDataFrame(rows, "page_id STRING, url STRING, html STRING").repartition(3)
+    return {r["page_id"]: r["text"] for r in pages.extract(table, ["page_id"]).collect()}
+
+
+def test_wrappers_of_all_pages(spark, monkeypatch):
+    page = "<body><div class=top>Welcome here</div><div class=body><p>{0}</p><p>{1}</p></div><p>All rights</p></body>"
+    long = "A long paragraph that many near copies share word for word"
+    copies = [page.format(f"Story {i} " * 5, f"end {i}") for i in range(5)]
+    hosts = {"copies": [*copies, *[copies[k] for k in range(5) for _ in range(20)]], "two": copies[:2],
+             "near": [*(page.format(long + " again and again", f"{long} on day") + f"<p>{i}</p>" for i in range(30)),
+                      *(page.format(f"Other {i} " * 9, f"last {i}") for i in range(10))]}
+    for size in (pages.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(pages, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(pages, "PAGES_PER_TASK", 7)
+        got = texts_of_pages(spark, hosts)
+        for i in range(5):
+            assert got[f"copies{i}"] == f"{'Story %d ' % i * 5}end {i}"
+        assert got["two0"] == "Story 0 " * 5 + "end 0"
+        assert got["near0"] == f"{long} again and again {long} on day"
+        assert got["near35"] == "Other 5 " * 9 + "last 5"
+
+
+def test_matching_of_long_lists():
+    tree = lambda n, other: pages.Tree(pages.parse("<ul>" + "<li><p>x</p></li>" * n + other + "</ul>"))
+    a, b = tree(300, "<h1>a</h1>"), tree(299, "<li><div>y</div></li><h1>b</h1>")
+    size, pairs = pages.matching(a, b)
+    assert size == len(pairs) == 2 + 299 * 2 + 1 + 1
