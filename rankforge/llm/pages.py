@@ -2,8 +2,9 @@
 
 Every page of a host is aligned with one of them, its pivot, by simple tree matching. Blocks with the same text in at
 least ``SHARED`` of a host's different pages are the host's template; what varies are slots, and the content element is
-the deepest one that holds most of the slots' text over all pages. A page's text is what stands in its article (its
-``article`` or ``main`` elements, else the host's content element, else the page), without template blocks and without elements whose tag, role or class says that they are menus, headers,
+the one that holds most of the slots' text over all pages, an ``article`` or ``main`` where several do. A page's text is
+what stands in the content element (where the page or the host has none, in its ``article`` or ``main`` elements, else in
+the page), without template blocks and without elements whose tag, role or class says that they are menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles or comments.
 
 Pages are matched where they are read; what is shuffled are paths, hashes and sizes of their blocks, counted per task
@@ -89,7 +90,8 @@ class Element:
         self.main = tag in ARTICLE_TAGS or names.get("role") in ARTICLE_TAGS
         self.dropped = (tag in DROPPED_TAGS or names.get("role") in DROPPED_ROLES or "hidden" in names
                         or names.get("aria-hidden") == "true"
-                        or not self.main and tag != "body" and not DROPPED_WORDS.isdisjoint(words))
+                        or tag not in ("main", "body") and names.get("role") != "main"
+                        and not DROPPED_WORDS.isdisjoint(words))
 
 
 def parse(html: str) -> Element:
@@ -390,9 +392,9 @@ def induce(pivot: Tree, shared: list[tuple[int, int, int]], varying: dict[int, i
             constant[above.path] = constant.get(above.path, 0) + template
             above = above.above
     total = sum(varying.values())
-    found = [(depth, path) for path, (size, depth, main) in held.items()
+    found = [(main, depth, path) for path, (size, depth, main) in held.items()
              if depth and size and size >= CONTENT_SHARE * total]
-    content = max(found, default=(0, None))[1]
+    content = max(found, default=(False, 0, None))[2]
     if content is None or constant[content] > held[content][0]:
         return {"template": [], "content": None}  # near copies, or nothing that varies
     return {"template": [[path, text] for path, text, _ in shared], "content": content}
@@ -402,8 +404,9 @@ def main_text(html: str, wrapper: dict | None) -> str:
     """The page's main text under its host's wrapper."""
     found = blocks(parse(html), wrapper and wrapper["content"])
     template = wrapper["template"] if wrapper else ()
-    found = [b for b in found if b.main] or [b for b in found if b.inside] or found
-    return " ".join(b.text for b in found if not b.dropped and (not template or (b.path, hashed(b.text)) not in template))
+    found = ([b for b in found if b.inside and not b.dropped] or [b for b in found if b.main and not b.dropped]
+             or [b for b in found if not b.dropped])
+    return " ".join(b.text for b in found if not template or (b.path, hashed(b.text)) not in template)
 
 
 def beside(pages: DataFrame, known: DataFrame, column: str) -> DataFrame:

@@ -401,3 +401,17 @@ def test_matching_of_long_lists():
     a, b = tree(300, "<h1>a</h1>"), tree(299, "<li><div>y</div></li><h1>b</h1>")
     size, pairs = pages.matching(a, b)
     assert size == len(pairs) == 2 + 299 * 2 + 1 + 1
+
+
+def test_slots_choose_the_content_over_article_tags(spark):
+    cards = "<article class=card><p>Card {0}</p></article>" * 2
+    body = ("<body><div class=story><h1>Title {0}</h1><p>" + "Body {0} text " * 20 + "</p>"
+            "<article class=comment><p>I like {0}</p></article></div><div class=more>" + cards + "</div>")
+    tagged = ("<body><div class=x><article class=post><h1>Head {0}</h1><div><p>" + "Long {0} text " * 9 + "</p></div></article>"
+              "<article class='related'><p>Other {0} " + "and more " * 9 + "</p></article></div>")
+    got = texts_of_pages(spark, {"div": [body.format(i) for i in range(5)], "tag": [tagged.format(i) for i in range(5)],
+                                 "one": [tagged.format(7)]})
+    for i in range(5):
+        assert got[f"div{i}"] == f"Title {i} " + f"Body {i} text " * 19 + f"Body {i} text"
+        assert got[f"tag{i}"] == f"Head {i} " + f"Long {i} text " * 8 + f"Long {i} text"
+    assert got["one0"] == "Head 7 " + "Long 7 text " * 8 + "Long 7 text"
