@@ -2,8 +2,9 @@
 
 Two first-order models over the characters of identifiers are trained: one on random strings (the values that the fixed
 patterns find in the corpus, and a seeded labelled sample of random strings over usual alphabets), one on ordinary
-identifiers (every other run of such characters in the corpus). A run of letters and digits that the first model
-explains better by far is reported with kind ``markov`` unless a fixed pattern has it.
+identifiers (every other run of such characters in the corpus). What fixed patterns leave of a run of such characters is
+reported with kind ``markov`` if the first model explains it better by far; else the segments of it are that it explains
+better, so that a random value is found behind an ordinary name or path.
 
 Counts are taken over all texts, per task first; what reaches the driver is one table of character pairs.
 
@@ -45,6 +46,9 @@ IS_LETTER = np.isin(np.arange(256), list(range(65, 91)) + list(range(97, 123)))
 
 #: Runs shorter than this are not judged; the ratio (nats) that a run must reach, in all and for each character.
 MIN_LENGTH, MIN_RATIO, MIN_RATIO_PER_CHAR = 20, 16.0, 2.75
+#: Characters that may end a name or a value inside a run, and how far a segment's ratio may fall before it ends.
+IS_MARK = np.isin(np.arange(256), list(b"+/_=-"))
+MAX_FALL = 8.0
 #: Weight of the characters' own frequencies among those after each character, in counts.
 BACK_OFF = 20.0
 #: The labelled sample: random strings of each of these alphabets, and their lengths.
@@ -131,9 +135,12 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     return ratio_table(count_pairs(docs, text).collect())
 
 
-def unlikely_runs(raw: np.ndarray, ends: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of the runs that the model of random strings explains better."""
+def unlikely_runs(raw: np.ndarray, ends: np.ndarray, ratios: np.ndarray,
+                  taken: list[tuple[int, int]] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (bytes), outside ``taken``, of what the model of random strings explains better."""
     codes = CODE[raw]
+    for a, b in taken:
+        codes[a:b] = 0
     inside = codes > 0
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -147,11 +154,68 @@ def unlikely_runs(raw: np.ndarray, ends: np.ndarray, ratios: np.ndarray) -> tupl
     at = np.searchsorted(gap, start)
     stop = np.minimum(stop, np.append(gap, len(raw))[at])
     long = stop - start >= MIN_LENGTH
-    start, stop = start[long], stop[long]
-    keep = [i for i, (a, b) in enumerate(zip(start, stop))
-            if IS_DIGIT[raw[a:b]].any() and IS_LETTER[raw[a:b]].any() and _ratio(codes[a:b], ratios) >= max(
-                MIN_RATIO, MIN_RATIO_PER_CHAR * (b - a))]
-    return start[keep], stop[keep]
+    found = [(a + x, a + y) for a, b in zip(start[long].tolist(), stop[long].tolist())
+             for x, y in unlikely_parts(raw[a:b], codes[a:b], ratios)]
+    return np.array([a for a, _ in found], np.int64), np.array([b for _, b in found], np.int64)
+
+
+def mixed(raw: np.ndarray) -> bool:
+    return len(raw) >= MIN_LENGTH and bool(IS_DIGIT[raw].any() and IS_LETTER[raw].any())
+
+
+def unlikely_parts(raw: np.ndarray, codes: np.ndarray, ratios: np.ndarray) -> list[tuple[int, int]]:
+    """The whole run if it reaches the ratio, else its segments that do."""
+    if not mixed(raw):
+        return []
+    each = ratios[np.concatenate([[0], codes[:-1]]), codes]
+    if each.sum() >= max(MIN_RATIO, MIN_RATIO_PER_CHAR * len(raw)):
+        return [(0, len(raw))]
+    total = np.concatenate([[0.0], np.cumsum(each)])
+    least = max(MIN_RATIO, MIN_RATIO_PER_CHAR * MIN_LENGTH)
+    if (total - np.minimum.accumulate(total)).max() < least:
+        return []
+    out, at, n = [], 0, len(raw)
+    over = (each - MIN_RATIO_PER_CHAR).tolist()
+    while at < n:
+        if over[at] <= 0:
+            at += 1
+            continue
+        run, best, end, i = 0.0, 0.0, at, at
+        while i < n:
+            run += over[i]
+            i += 1
+            if run > best:
+                best, end = run, i
+            elif run <= 0 or run < best - MAX_FALL:
+                break
+        a, b = widened(total, at, end, raw, out[-1][1] if out else 0)
+        if total[b] - total[a] >= least and mixed(raw[a:b]):
+            out.append((a, b))
+            at = max(b, end)
+        else:
+            at = end
+    return out
+
+
+def widened(total: np.ndarray, a: int, b: int, raw: np.ndarray, low: int) -> tuple[int, int]:
+    """A segment with the neighbours that raise its ratio, then whole up to the marks around it."""
+    i = best = b
+    while i < len(raw) and total[i] > total[best] - MAX_FALL:
+        i += 1
+        best = i if total[i] > total[best] else best
+    b = best
+    i = best = a
+    while i > low and total[i] < total[best] + MAX_FALL:
+        i -= 1
+        best = i if total[i] < total[best] else best
+    a = best
+    while a < b and IS_MARK[raw[a]]:
+        a += 1
+    while a > low and not IS_MARK[raw[a - 1]]:
+        a -= 1
+    while b < len(raw) and not IS_MARK[raw[b]] and not IS_MARK[raw[b - 1]]:
+        b += 1
+    return a, b
 
 
 def _ratio(codes: np.ndarray, ratios: np.ndarray) -> float:
@@ -175,13 +239,11 @@ def find_secrets(docs: DataFrame, ratios: np.ndarray, carry: list[str], text: st
             for i in hinted(texts):
                 found[int(i)] = [s[:3] for s in base_spans(texts[int(i)].as_buffer().to_pybytes())]
             if len(raw):
-                starts, stops = unlikely_runs(raw, ends, ratios)
+                taken = [(int(ends[doc]) + a, int(ends[doc]) + b) for doc, each in found.items() for a, _, b in each]
+                starts, stops = unlikely_runs(raw, ends, ratios, taken)
                 for a, b, doc in zip(starts.tolist(), stops.tolist(),
                                      (np.searchsorted(ends, starts, side="right") - 1).tolist()):
-                    a, b = a - int(ends[doc]), b - int(ends[doc])
-                    known = found.setdefault(doc, [])
-                    if all(e <= a or s >= b for s, _, e in known):
-                        known.append((a, len(KINDS), b))
+                    found.setdefault(doc, []).append((a - int(ends[doc]), len(KINDS), b - int(ends[doc])))
             spans = [[]] * len(texts)
             for doc, each in found.items():
                 points = code_points(raw[ends[doc]:ends[doc + 1]])

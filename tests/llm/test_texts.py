@@ -165,6 +165,18 @@ def test_unseen_kind_of_secret_is_found(spark):
     assert spans == {1: [("markov", 7, 34)], 2: []}
 
 
+def test_secrets_inside_longer_runs_are_found(spark):
+    words = spark.createDataFrame([(" ".join(X.WORDS * 50) + " company/reports/download deploy_production_account_key",)] * 20,
+                                  "text STRING")
+    value, other = "gh7Qp2ZkX9vLmT4bRw8NcYs1", "Xk29fQmZ7Lw0Tb4VnP6sJd8HyR3cGe5uWa1oKi2N"
+    hidden = ["deploy_production_account_key=" + value, "/company/reports/download/" + value, "0123456789abcdef" * 2 + "/" + other,
+              "AKIAABCDEFGHIJKL/" + other, "alpha_beta=" + value + "/company/reports/download/company/reports/" + other]
+    table = spark.createDataFrame([(i, f"look {t} here") for i, t in enumerate(hidden)], "doc_id INT, text STRING")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(table, secrets.train(words)).collect()}
+    assert all(value[4:] not in t and other[4:] not in t for t in out.values()), out
+    assert "deploy_production_account_key=" in out[0]
+
+
 def test_redaction_keeps_all_else(spark):
     table = X.clashing(spark, SECRETS)
     out = secrets.redact(table, secrets.train(table))
