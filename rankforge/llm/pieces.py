@@ -39,6 +39,8 @@ MODEL_BYTES = 64 << 20
 MARK = "▁"
 #: Characters that end a marked word wherever no piece holds them.
 CUTS = "\n\t"
+#: Stands for a piece where a character goes as its bytes.
+BYTES = -1
 #: Scores below this mark pieces that are not for use.
 UNUSED = -1e8
 
@@ -110,7 +112,8 @@ class Pieces:
 
     def encode_sorted(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all given words, which must be sorted, end to end, and how many each has."""
-        best, path, nodes, last = [0.0], [()], [self.root], ""
+        # Of each character read: the best score, and the last piece of the best path and its length.
+        best, piece_at, size_at, nodes, last = [0.0], [0], [0], [self.root], ""
         ids, sizes = array("i"), []
         collecting = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and there are very many small objects
@@ -121,7 +124,7 @@ class Pieces:
                     if a != b:
                         break
                     shared += 1
-                del best[shared + 1:], path[shared + 1:], nodes[shared + 1:]
+                del best[shared + 1:], piece_at[shared + 1:], size_at[shared + 1:], nodes[shared + 1:]
                 node = nodes[-1]
                 for c in word[shared:] if shared else word:
                     node = node.after.get(c) or self.step(node, c)
@@ -130,18 +133,23 @@ class Pieces:
                         this = best[-length] + gain
                         if this > score:
                             score, size, found = this, length, piece
-                    if node.out and node.out[-1][0] == 1:
-                        path.append((*path[-size], found))
-                    elif score >= best[-1] + self.unknown_score:
-                        path.append((*path[-size], found))
-                    else:
-                        score = best[-1] + self.unknown_score
-                        path.append(path[-1] + self.byte_ids(c))
+                    if not (node.out and node.out[-1][0] == 1) and score < best[-1] + self.unknown_score:
+                        score, size, found = best[-1] + self.unknown_score, 1, BYTES
                     best.append(score)
+                    piece_at.append(found)
+                    size_at.append(size)
                     nodes.append(node)
                 last = word
-                ids.extend(path[-1])
-                sizes.append(len(path[-1]))
+                at, back = len(word), []
+                while at:
+                    if piece_at[at] == BYTES:
+                        back += self.byte_ids(word[at - 1])[::-1]
+                    else:
+                        back.append(piece_at[at])
+                    at -= size_at[at]
+                back.reverse()
+                ids.extend(back)
+                sizes.append(len(back))
         finally:
             if collecting:
                 gc.enable()

@@ -1,7 +1,9 @@
 """Operators on single texts, each against a plain version."""
 
 import hashlib
+import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -261,6 +263,17 @@ def test_pieces_equal_the_library_in_unigram_mode():
         assert score(ids) >= score(theirs) - 1e-3, (word, ids, theirs)
 
 
+def test_long_text_without_spaces(vocabulary):
+    rng = random.Random(5)
+    text = "".join(rng.choices("漢字仮名交文あいうえお、。𠮷Aβ9+/", k=100_000))
+    tracemalloc.start()
+    ids = pieces.encode_slice(pa.array([text]), vocabulary)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pieces.decode_slice(ids, pa.array(vocabulary.output, pa.binary())).to_pylist() == [text]
+    assert peak < 100 << 20, peak
+
+
 def test_pieces_round_trip(spark, vocabulary, tmp_path):
     output = pa.array(vocabulary.output, pa.binary())
     ids = pieces.encode_slice(pa.array(TEXTS), vocabulary)
