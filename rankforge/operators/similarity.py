@@ -132,23 +132,31 @@ def screen(
 def cosine_top_k(
     vectors: DataFrame, queries: DataFrame, key: str, vector: str, top_k: int = 10,
 ) -> DataFrame:
-    """The most similar vectors of the whole table for each query of a bounded list.
+    """The most similar vectors of the whole table for each query.
 
-    ``queries`` has ``query`` and ``query_vector``, at most ``QUERY_LIST`` rows (checked), for
-    example the known actives.  Each vector meets the list inside its row, and every task keeps its
-    own best rows before anything is shuffled.
+    ``queries`` has ``query`` and ``query_vector``, any number of rows.  Up to ``QUERY_LIST`` of
+    them go along with every vector as one list.  More are dealt into blocks of about that many by
+    hash, and vectors into ``SALTS`` parts; each block meets each part in one task by an equi-join.
+    Every task keeps its own best rows before they are merged by query.
     """
-    if not fits_broadcast(queries, QUERY_LIST):
-        raise ValueError(f"more than {QUERY_LIST} queries; search for them in parts")
-    asked = queries.agg(F.collect_list(F.struct("query", "query_vector"))).scalar()
-
     def dot(a: Column, b: Column) -> Column:
         products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
         return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
+    asked = queries.select("query", "query_vector")
     v, q = F.col(vector), F.col("query_vector")
     cosine = F.try_divide(dot(v, q), F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))
-    met = vectors.withColumn("_asked", asked).withColumn("_q", F.explode("_asked")).drop("_asked")
-    scored = met.select(key, vector, "_q.query", "_q.query_vector").withColumn("similarity", cosine)
-    return top_per_group(
-        scored.select("query", key, "similarity"), ["query"], best_first("similarity", key), top_k)
+    best = best_first("similarity", key)
+    if fits_broadcast(queries, QUERY_LIST):
+        listed = asked.agg(F.collect_list(F.struct("query", "query_vector"))).scalar()
+        met = vectors.withColumn("_asked", listed).withColumn("_q", F.explode("_asked")).drop("_asked")
+        scored = met.select(key, vector, "_q.query", "_q.query_vector").withColumn("similarity", cosine)
+        return top_per_group(scored.select("query", key, "similarity"), ["query"], best, top_k)
+    count = -(-queries.count() // QUERY_LIST)
+    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(count))).withColumn(
+        "_part", F.explode(numbers(SALTS)))
+    parts = vectors.select(key, vector).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(SALTS))).withColumn(
+        "_block", F.explode(numbers(count)))
+    scored = parts.join(dealt, ["_block", "_part"]).withColumn("similarity", cosine)
+    within = top_per_group(scored.select("query", key, "similarity", "_part"), ["query", "_part"], best, top_k)
+    return top_per_group(within.drop("_part"), ["query"], best, top_k)

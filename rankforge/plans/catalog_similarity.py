@@ -141,3 +141,13 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     first = cleaning.keep_first(rows, ["label"], ["vec_id"])
     asked = first.select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_vector"))
     return rounded(similarity.cosine_top_k(rows, asked, "vec_id", "embedding", 10), 6)
+
+
+@query("x05_vector_search", rounded_sql("""
+SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity
+FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q ON true
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id) <= 10""", "similarity", 6))
+def vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    rows = V.read(spark, folder, "embeddings")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_vector"))
+    return rounded(similarity.cosine_top_k(rows, asked, "vec_id", "embedding", 10), 6)

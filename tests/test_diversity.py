@@ -119,3 +119,16 @@ def test_search_equals_all_pairs(spark, monkeypatch, threshold, broadcast):
                 if q and s and sim(q, s) >= threshold}
     rows = got.collect()
     assert {(r["query"], r["pos"]) for r in rows} == expected and len(rows) == len(expected)
+
+
+def test_vector_search_of_many_queries(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
+    table = spark.createDataFrame(rows, "vec_id BIGINT, v ARRAY<DOUBLE>")
+    asked = table.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("query_vector"))
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    expected = {(q, i) for q, w in rows[::5] for _, i in sorted((-cosine(v, w), i) for i, v in rows)[:10]}
+    for limit in (7, 1000):
+        monkeypatch.setattr(similarity, "QUERY_LIST", limit)
+        got = similarity.cosine_top_k(table, asked, "vec_id", "v", 10).collect()
+        assert {(r["query"], r["vec_id"]) for r in got} == expected and len(got) == len(expected)
