@@ -160,15 +160,13 @@ def part_hashes(ranked: DataFrame, threshold: float) -> DataFrame:
         run, f"pos {kind}, _group int, _parts array<bigint>")
 
 
-def near_duplicate_links(ranked: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """For every row with an earlier row more similar than the threshold: the first such row.
+def near_firsts(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The first row of every distinct fingerprint, and all pairs of them above the threshold.
 
-    All rows of the table take part.  Equal fingerprints are folded first: a copy is linked to
-    the first row of its group, and only that row goes on.  The others meet in an equi-join on a
-    shared bit range (:func:`part_hashes`), so only rows that agree on one are compared; then every
-    candidate is verified.  Each row gives at most one link, so a group of n copies gives n links.
+    Pairs are ``pos``, ``k_pos`` (the earlier one) and ``similarity``.  Rows meet in an equi-join on
+    a shared bit range (:func:`part_hashes`), so only rows that agree on one are compared; then
+    every candidate is verified.
     """
-    rows = ranked.filter("n > 0").select("pos", *FINGERPRINT)
     firsts = written(rows.groupBy(*FINGERPRINT).agg(F.min("pos").alias("pos")), "firsts")
     parts = part_hashes(firsts, threshold).select("pos", "_group", F.posexplode("_parts").alias("_part", "_value"))
     keys = ["_group", "_part", "_value"]
@@ -177,6 +175,31 @@ def near_duplicate_links(ranked: DataFrame, threshold: float = 0.8) -> DataFrame
     renamed = firsts.withColumnsRenamed({c: f"k_{c}" for c in ("pos", *FINGERPRINT)})
     near = pairs.join(firsts, "pos").join(renamed, "k_pos").withColumn("similarity", _near_kept()).filter(
         F.col("similarity") > threshold)
+    return firsts, near.select("pos", "k_pos", "similarity")
+
+
+def near_duplicate_pairs(ranked: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """All links of the table: ``pos``, ``near_pos`` (earlier) and ``similarity``.
+
+    Every pair of distinct fingerprints above the threshold, between their first rows, and every
+    copy with the first row of its fingerprint, which has all the copy's other links.
+    """
+    rows = ranked.filter("n > 0").select("pos", *FINGERPRINT)
+    firsts, near = near_firsts(rows, threshold)
+    copies = rows.join(firsts.withColumnRenamed("pos", "near_pos"), FINGERPRINT).filter("pos > near_pos")
+    return near.withColumnRenamed("k_pos", "near_pos").unionByName(
+        copies.select("pos", "near_pos", F.lit(1.0).alias("similarity")))
+
+
+def near_duplicate_links(ranked: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """For every row with an earlier row more similar than the threshold: the first such row.
+
+    All rows of the table take part.  Equal fingerprints are folded first: a copy is linked to
+    the first row of its group, and only that row goes on (:func:`near_firsts`).  Each row gives at
+    most one link, so a group of n copies gives n links; :func:`near_duplicate_pairs` has the others.
+    """
+    rows = ranked.filter("n > 0").select("pos", *FINGERPRINT)
+    firsts, near = near_firsts(rows, threshold)
     linked = near.groupBy("pos").agg(F.min(F.struct("k_pos", "similarity")).alias("_m")).select(
         "pos", F.col("_m.k_pos").alias("near_pos"), F.col("_m.similarity").alias("similarity"))
     # A copy's first near row may also be an earlier one that is no copy of it.

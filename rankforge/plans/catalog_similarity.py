@@ -132,6 +132,20 @@ def links(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(diversity.near_duplicate_links(rows))
 
 
+@query("j04_near_duplicate_pairs", rounded_sql(V.sql("doc_fp", """
+WITH packed AS MATERIALIZED (
+  SELECT doc_id, bitstring_agg(CAST(bit AS INT), 0, 1023) AS b, count(*) AS n FROM doc_bits GROUP BY doc_id),
+folded AS MATERIALIZED (SELECT *, min(doc_id) OVER (PARTITION BY CAST(b AS VARCHAR)) AS first FROM packed),
+near AS (
+  SELECT x.doc_id AS pos, c.doc_id AS near_pos, bit_count(c.b & x.b) / (c.n + x.n - bit_count(c.b & x.b)) AS similarity
+  FROM folded x JOIN folded c ON c.doc_id < x.doc_id WHERE x.first = x.doc_id AND c.first = c.doc_id)
+SELECT * FROM near WHERE similarity > 0.8
+UNION ALL SELECT doc_id, first, 1.0::DOUBLE FROM folded WHERE first < doc_id"""), "similarity"))
+def all_links(spark: SparkSession, folder: str) -> DataFrame:
+    rows = written(V.document_fingerprints(spark, folder), "fingerprints").filter("n > 0")
+    return rounded(diversity.near_duplicate_pairs(rows.withColumnRenamed("doc_id", "pos")))
+
+
 @query("x05_vector_similarity", rounded_sql("""
 SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity
 FROM embeddings e JOIN (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q ON true

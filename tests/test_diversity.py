@@ -103,6 +103,19 @@ def test_links_of_all_rows(spark, threshold):
     assert {r["pos"]: r["near_pos"] for r in got} == expected and len(got) == len(expected) > 80
 
 
+def test_no_link_between_different_sets_is_lost(spark):
+    a, c = set(range(20)), set(range(1, 21))
+    b = set(range(2, 22))
+    for sets in ([a, b, c, c, a], [*near_copies(8, 150)]):
+        got = {(r["pos"], r["near_pos"]) for r in diversity.near_duplicate_pairs(table(spark, sets), 0.85).collect()}
+        first = {i: sets.index(s) for i, s in enumerate(sets) if s}
+        expected = {(i, first[i]) for i in first if first[i] < i} | {
+            (i, j) for i in first for j in first if j < i and first[i] == i and first[j] == j and sim(sets[i], sets[j]) > 0.85}
+        assert got == expected
+        if len(sets) == 5:
+            assert got == {(2, 0), (2, 1), (3, 2), (4, 0)}
+
+
 def query_table(spark, sets):
     return table(spark, sets).withColumnRenamed("pos", "query_pos").withColumn(
         "query", F.concat(F.lit("q"), "query_pos"))
