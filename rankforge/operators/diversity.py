@@ -2,98 +2,171 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from rankforge.operators.similarity import (
-    FINGERPRINT, WORD_COLUMNS, near_classes, size_class, size_edges, tanimoto,
-)
+from rankforge.operators import overlaps
+from rankforge.operators.joins import beside
+from rankforge.operators.similarity import FINGERPRINT, WORD_COLUMNS, size_class, size_edges
 from rankforge.operators.toplists import top_rows
-from rankforge.session import written
+from rankforge.session import scratch_path, written
 
 KEEP = 100
-BLOCK = 1000
-PART_SEED = 42
-
-
-def _similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    return tanimoto([a[w] for w in WORD_COLUMNS], a["n"], [b[w] for w in WORD_COLUMNS], b["n"])
-
-
-def _fields(struct: Column) -> dict[str, Column]:
-    return {c: struct[c] for c in FINGERPRINT}
+#: Rows of one range of the diversity filter, and of one block of the near-duplicate join.
+RANGE_ROWS, BLOCK_ROWS = 100_000, 8192
+#: Rows that one look at the local choices brings to the driver.
+LOOK_ROWS = 2000
+POS_FINGERPRINT = ["pos", *FINGERPRINT]
+
+
+def plain_position(pos: object) -> object:
+    """A position from Spark or Arrow as one that can be looked up."""
+    return tuple(pos.values() if isinstance(pos, dict) else pos) if isinstance(pos, (dict, tuple)) else pos
+
+
+class Kept:
+    """The chosen rows, at most ``KEEP``."""
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+        self.words, self.sizes = np.zeros((0, len(WORD_COLUMNS)), np.uint64), np.zeros(0, np.int64)
+        self.empty: set = set()  # positions of chosen rows without bits, which are near nothing, themselves included
+
+    def add(self, pos: object, words: np.ndarray, n: int) -> None:
+        self.words, self.sizes = np.vstack([self.words, words]), np.append(self.sizes, n)
+        if not n:
+            self.empty.add(plain_position(pos))
+
+    def open_rows(self, table: pa.Table) -> pa.Table:
+        """The rows without those among the chosen ones that have no bits."""
+        if not self.empty:
+            return table
+        there = [n == 0 and plain_position(p) in self.empty
+                 for n, p in zip(table.column("n").to_pylist(), table.column("pos").to_pylist())]
+        return table.filter(pa.array([not x for x in there]))
+
+    def near(self, words: np.ndarray, n: int) -> bool:
+        return bool((overlaps.tanimoto_to(words, n, self.words, self.sizes) > self.threshold).any())
+
+    def far(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Places of the rows that are near none of the chosen ones."""
+        left = np.arange(len(sizes))
+        for chosen, n in zip(self.words, self.sizes):
+            left = left[overlaps.tanimoto_to(chosen, n, words[left], sizes[left]) <= self.threshold]
+        return left
+
+
+def first_choices(words: np.ndarray, sizes: np.ndarray, kept: Kept, room: int) -> list[tuple[int, int]]:
+    """The greedy choice among rows in order after ``kept``: places, and how many later rows each one rules out."""
+    left, out = kept.far(words, sizes), []
+    while len(left) and len(out) < room:
+        first = left[0]
+        apart = overlaps.tanimoto_to(words[first], sizes[first], words[left], sizes[left]) <= kept.threshold
+        apart[0] = False
+        out.append((int(first), int(len(left) - 1 - apart.sum())))
+        left = left[apart]
+    return out
+
+
+def ordered_ranges(ranked: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with a fingerprint, stored in ranges of ``pos`` (``_range`` is a folder each), and the number of ranges."""
+    rows = ranked.filter("n IS NOT NULL").select(*POS_FINGERPRINT)
+    parts = max(1, -(-rows.count() // RANGE_ROWS))
+    path = scratch_path(ranked.sparkSession, "ranges")
+    (rows.repartitionByRange(parts, "pos").sortWithinPartitions("pos").withColumn("_range", F.spark_partition_id())
+     .write.partitionBy("_range").parquet(path))
+    kinds = rows.withColumn("_range", F.lit(0)).schema
+    return ranked.sparkSession.read.schema(kinds).parquet(path), parts
+
+
+def local_choices(ranges: DataFrame, kept: Kept, room: int) -> DataFrame:
+    """Of each range (each part of one that a task reads) its own greedy choice after ``kept``."""
+    kind = ranges.schema["pos"].dataType.simpleString()
+    schema = f"pos {kind}, {', '.join(f'{w} bigint' for w in WORD_COLUMNS)}, n int, _range int, _ruled_out bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and held[0].column("_range")[0] != batch.column("_range")[0]:
+                yield from choose(held)
+                held = []
+            at = np.flatnonzero(np.diff(batch.column("_range").to_numpy())) + 1
+            cuts = [0, *at.tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and a:
+                    yield from choose(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from choose(held)
+
+    def choose(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = kept.open_rows(pa.Table.from_batches(held).combine_chunks())
+        found = first_choices(overlaps.words_of(table, WORD_COLUMNS), table.column("n").to_numpy(), kept, room)
+        if found:
+            places, out = (pa.array(x) for x in zip(*found))
+            yield table.select([*POS_FINGERPRINT, "_range"]).take(places).append_column("_ruled_out", out).combine_chunks(
+                ).to_batches()[0]
+
+    return ranges.select(*POS_FINGERPRINT, "_range").mapInArrow(run, schema)
 
 
-def _greedy(block: DataFrame, threshold: float, room: int) -> Row:
-    """Choose from one block of at most BLOCK rows in order, inside one task.
+def choose_diverse(ranked: DataFrame, threshold: float = 0.8, keep: int = KEEP) -> DataFrame:
+    """The greedy choice over a table with ``pos`` (sortable, unique) and a fingerprint.
 
-    Returns the chosen rows, the number of rows in the block and its last position.
+    Going by ``pos``, a row is chosen unless an earlier chosen row is more similar than the
+    threshold; at most ``keep`` rows are chosen.  Rows are stored in ranges of ``pos``.  In a round
+    every range makes its own greedy choice among its rows that are near no row chosen so far.
+    Taken in order, these choices are the global ones until one is near a choice of the same round
+    and had ruled out rows of its range, whose fate is then open; the next round begins there.
+    Rounds look at one range first, then at four times as many, so ranges beyond the last choice
+    are seldom read.  Only local choices, ``LOOK_ROWS`` a round, come to the driver.
     """
-    rows = F.sort_array(F.collect_list(F.struct("pos", *FINGERPRINT)))
-
-    def take(kept: Column, row: Column) -> Column:
-        close = F.exists(kept, lambda k: _similarity(_fields(k), _fields(row)) > threshold)
-        return F.when((F.size(kept) >= room) | close, kept).otherwise(
-            F.array_append(kept, row))
-
-    chosen = block.agg(rows.alias("rows")).select(
-        F.aggregate("rows", F.slice("rows", 1, 0), take).alias("kept"), F.size("rows").alias("n"),
-        F.array_max(F.transform("rows", lambda r: r["pos"])).alias("last"))
-    return chosen.first()
+    return _kept_table(ranked, rounds_of_choice(ranked, threshold, keep)[0])
+
+
+def rounds_of_choice(ranked: DataFrame, threshold: float, keep: int) -> tuple[list, int]:
+    """The chosen rows, and the number of rounds."""
+    ranges, parts = ordered_ranges(ranked)
+    kept, chosen = Kept(threshold), []
+    at, width, rounds = 0, 1, 0
+    while at < parts and len(chosen) < keep:
+        rounds += 1
+        end = min(at + width, parts)
+        some = ranges.where((F.col("_range") >= at) & (F.col("_range") < end))
+        local = local_choices(some, kept, keep - len(chosen)).orderBy("pos").limit(LOOK_ROWS).collect()
+        at, open_at = end, None
+        for row in local:
+            words = np.array([row[w] for w in WORD_COLUMNS], np.int64).view(np.uint64)
+            if kept.near(words, row["n"]):
+                if row["_ruled_out"]:
+                    open_at = row["_range"]
+                    break
+            else:
+                kept.add(row["pos"], words, row["n"])
+                chosen.append(row)
+                if len(chosen) == keep:
+                    break
+        if open_at is None and len(local) == LOOK_ROWS:
+            open_at = local[-1]["_range"]
+        if open_at is not None:
+            at = open_at
+        else:
+            width *= 4
+    return chosen, rounds
 
 
 def _kept_table(ranked: DataFrame, kept: list) -> DataFrame:
     """The chosen rows (at most KEEP) as a table with their place in the list."""
-    schema = ranked.select("pos", *FINGERPRINT).schema
-    data = [tuple(r[c] for c in ("pos", *FINGERPRINT)) for r in kept]
+    schema = ranked.select(*POS_FINGERPRINT).schema
+    data = [tuple(r[c] for c in POS_FINGERPRINT) for r in kept]
     table = ranked.sparkSession.createDataFrame(data, schema)
-    return table.withColumnsRenamed({c: f"k_{c}" for c in ("pos", *FINGERPRINT)})
-
-
-def _near_kept() -> Column:
-    left = {c: F.col(c) for c in FINGERPRINT}
-    right = {c: F.col(f"k_{c}") for c in FINGERPRINT}
-    return _similarity(left, right)
-
-
-def _by_class(kept: DataFrame, threshold: float) -> DataFrame:
-    plain = kept.withColumn("n", F.col("k_n"))
-    return F.broadcast(near_classes(plain, threshold).drop("n"))
-
-
-def choose_diverse(ranked: DataFrame, threshold: float = 0.8, keep: int = KEEP) -> DataFrame:
-    """The greedy choice over a table with ``pos`` (sortable, unique) and a fingerprint.
-
-    Going by ``pos``, a row is chosen unless an earlier chosen row is more similar than the
-    threshold; at most ``keep`` rows are chosen.  Rows are taken in blocks of fixed size.  After
-    each block one distributed pass removes every row that is similar to a chosen one, so large
-    groups of near copies vanish together, and each pass chooses at least one more row.  Only the
-    chosen rows, at most ``keep``, come to the driver.
-    """
-    open_rows = ranked.filter("n IS NOT NULL").withColumn(
-        "_class", size_class(F.col("n"), threshold))
-    kept: list = []
-    last = None
-    while len(kept) < keep:
-        rest = open_rows
-        if kept:
-            close = _by_class(_kept_table(ranked, kept), threshold)
-            rest = rest.filter(F.col("pos") > last)
-            rest = rest.join(
-                close, (rest["_class"] == close["_class"]) & (_near_kept() > threshold),
-                "left_anti")
-        block = rest.select("pos", *FINGERPRINT).orderBy("pos").limit(BLOCK)
-        found = _greedy(block, threshold, keep - len(kept))
-        if not found["n"]:
-            break
-        kept += found["kept"]
-        last = F.lit(found["last"])
-        if found["n"] < BLOCK:
-            break
-    return _kept_table(ranked, kept)
+    return table.withColumnsRenamed({c: f"k_{c}" for c in POS_FINGERPRINT})
 
 
 def diversity_filter(
@@ -118,64 +191,106 @@ def diversity_filter(
     return df.withColumn("_pos", order).join(marks, "_pos", "left_semi").drop("_pos")
 
 
-def part_hashes(ranked: DataFrame, threshold: float) -> DataFrame:
-    """``pos``, ``_group`` and ``_parts``: hashes of bit ranges, of which near rows share at least one.
+def dealt_blocks(firsts: DataFrame, threshold: float) -> DataFrame:
+    """Rows once for each task they take part in: ``_task`` and ``_side`` (0 the first block, 1 the second, 2 both).
 
-    Sets with similarity above t differ in fewer than (|A| + |B|) (1 - t) / (1 + t) bits.  Cut into
-    that many ranges, two such sets agree on one range.  The number of ranges follows from the
-    largest sizes of a size class and the next one; a row takes part in the group of its own class
-    and in the one below, so near rows of neighbour classes meet.  Bits are dealt over the ranges in
-    a fixed random order.
+    Near sets lie in one size class or in neighbour classes.  Each class is dealt by hash into blocks
+    of about ``BLOCK_ROWS`` rows; a task is a pair of blocks of one class or of neighbour classes.
     """
-    edges = size_edges(threshold)
-    share = (1 - threshold) / (1 + threshold)
-    rng = np.random.default_rng(PART_SEED)
-    order = rng.permutation(64 * len(WORD_COLUMNS))
-    marks = rng.integers(0, 1 << 63, len(order), dtype=np.uint64)[order]
-    grouped = ranked.withColumn("_class", size_class(F.col("n"), threshold)).withColumn(
-        "_group", F.explode(F.array(F.col("_class") - 1, F.col("_class"))))
-
-    def run(batches):
-        for batch in batches:
-            words = np.stack([batch.column(w).to_numpy() for w in WORD_COLUMNS], axis=1)
-            bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")[:, order]
-            groups = batch.column("_group").to_numpy()
-            parts: list = [None] * len(groups)
-            for group in np.unique(groups):
-                rows = np.flatnonzero(groups == group)
-                largest = edges[min(group + 1, len(edges) - 1)] - 1
-                count = min(max(1, math.ceil(2 * largest * share)), len(order))
-                starts = np.arange(count) * len(order) // count
-                for at in range(0, len(rows), 256):
-                    some = rows[at:at + 256]
-                    sums = np.add.reduceat(bits[some] * marks, starts, axis=1)
-                    for row, values in zip(some, sums.view(np.int64)):
-                        parts[row] = values
+    classed = firsts.withColumn("_class", size_class(F.col("n"), threshold))
+    # At most one row for each class, and there are a few dozen classes.
+    sizes = {r["_class"]: r["rows"] for r in classed.groupBy("_class").agg(F.count("*").alias("rows")).collect()}
+    blocks = {c: -(-rows // BLOCK_ROWS) for c, rows in sizes.items()}
+    known = F.create_map(*[F.lit(x) for c, b in blocks.items() for x in (c, b)]) if blocks else F.lit(None).cast("map<int,int>")
+    own, block = F.col("_class"), F.col("_block")
+    dealt = classed.withColumn("_block", F.pmod(F.xxhash64("pos"), known[own]).cast("int"))
+
+    def tasks(other: Column, count: Column, make) -> Column:
+        numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda j: make(other, j))
+
+    def task(a: Column, i: Column, b: Column, j: Column, side: Column) -> Column:
+        return F.struct(F.concat_ws(":", a, i, b, j).alias("_task"), side.alias("_side"))
+
+    def count(c: Column) -> Column:
+        return F.coalesce(known[c], F.lit(0))
+
+    same = tasks(own, count(own), lambda c, j: task(
+        c, F.least(block, j), c, F.greatest(block, j),
+        F.when(block == j, 2).when(block < j, 0).otherwise(1)))
+    above = tasks(own + 1, count(own + 1), lambda c, j: task(own, block, c, j, F.lit(0)))
+    below = tasks(own - 1, count(own - 1), lambda c, j: task(c, j, own, block, F.lit(1)))
+    return dealt.withColumn("_x", F.explode(F.concat(same, above, below))).select(
+        *firsts.columns, "_x._task", "_x._side")
+
+
+def sides(table: pa.Table) -> tuple[pa.Table, overlaps.Sized, pa.Table, overlaps.Sized, bool]:
+    """Both blocks of a task, and whether they are one."""
+    side = table.column("_side").to_numpy()
+    parts = [table.take(pa.array(np.flatnonzero((side == s) | (side == 2)))) for s in (0, 1)]
+    sized = [overlaps.Sized(overlaps.words_of(p, WORD_COLUMNS), p.column("n").to_numpy()) for p in parts]
+    return parts[0], sized[0], parts[1], sized[1], bool((side == 2).any())
+
+
+def near_in_blocks(firsts: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of distinct fingerprints above the threshold: ``pos``, ``k_pos`` (the earlier one), ``similarity``.
+
+    Blocks meet in tasks of bounded size, where the overlaps of all their rows of like size are
+    matrix products, strip by strip; a pair becomes a row once it is above the threshold.
+    """
+    kind = firsts.schema["pos"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, by_left, right, by_right, one = sides(pa.Table.from_batches(list(batches)))
+        for x, y, found in overlaps.near(by_left, by_right, threshold, strict=True):
+            if one:
+                once = x < y
+                x, y, found = x[once], y[once], found[once]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("pos"), batch.column("_group"), pa.array(parts, pa.list_(pa.int64()))],
-                names=["pos", "_group", "_parts"])
+                [overlaps.whole(left.column("pos").take(pa.array(x))), overlaps.whole(right.column("pos").take(pa.array(y))),
+                 pa.array(found)], names=["a", "b", "similarity"])
+
+    pairs = dealt_blocks(firsts.select(*POS_FINGERPRINT), threshold).groupBy("_task").applyInArrow(
+        run, f"a {kind}, b {kind}, similarity double")
+    return pairs.select(F.greatest("a", "b").alias("pos"), F.least("a", "b").alias("k_pos"), "similarity")
+
+
+def links_in_blocks(firsts: DataFrame, threshold: float) -> DataFrame:
+    """``pos`` and ``near``: how many rows have a fingerprint near that of ``pos``, ``copies`` counted; parts of the sum."""
+    kind = firsts.schema["pos"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, by_left, right, by_right, one = sides(pa.Table.from_batches(list(batches)))
+        copies = [t.column("copies").to_numpy() for t in (left, right)]
+        counts = [np.zeros(len(c), np.int64) for c in copies]
+        for x, y, _ in overlaps.near(by_left, by_right, threshold, strict=True):
+            if one:
+                other = x != y
+                x, y = x[other], y[other]
+            np.add.at(counts[0], x, copies[1][y])
+            if not one:
+                np.add.at(counts[1], y, copies[0][x])
+        for table, count in ((left, counts[0]), (right, counts[1])):
+            some = pa.array(np.flatnonzero(count))
+            yield pa.RecordBatch.from_arrays(
+                [overlaps.whole(table.column("pos").take(some)), pa.array(count).take(some)], names=["pos", "near"])
+            if one:
+                break
 
-    kind = ranked.schema["pos"].dataType.simpleString()
-    return grouped.select("pos", "_group", *WORD_COLUMNS).mapInArrow(
-        run, f"pos {kind}, _group int, _parts array<bigint>")
+    dealt = dealt_blocks(firsts.select(*POS_FINGERPRINT, "copies"), threshold)
+    return dealt.groupBy("_task").applyInArrow(run, f"pos {kind}, near bigint")
 
 
-def near_firsts(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The first row of every distinct fingerprint, and all pairs of them above the threshold.
+def distinct_fingerprints(rows: DataFrame) -> DataFrame:
+    """Every distinct fingerprint with its first row's ``pos`` and its ``copies``."""
+    return written(rows.groupBy(*FINGERPRINT).agg(F.min("pos").alias("pos"), F.count("*").alias("copies")), "firsts")
 
-    Pairs are ``pos``, ``k_pos`` (the earlier one) and ``similarity``.  Rows meet in an equi-join on
-    a shared bit range (:func:`part_hashes`), so only rows that agree on one are compared; then
-    every candidate is verified.
-    """
-    firsts = written(rows.groupBy(*FINGERPRINT).agg(F.min("pos").alias("pos")), "firsts")
-    parts = part_hashes(firsts, threshold).select("pos", "_group", F.posexplode("_parts").alias("_part", "_value"))
-    keys = ["_group", "_part", "_value"]
-    pairs = parts.join(parts.withColumnRenamed("pos", "k_pos"), keys).filter("k_pos < pos").select(
-        "pos", "k_pos").distinct()
-    renamed = firsts.withColumnsRenamed({c: f"k_{c}" for c in ("pos", *FINGERPRINT)})
-    near = pairs.join(firsts, "pos").join(renamed, "k_pos").withColumn("similarity", _near_kept()).filter(
-        F.col("similarity") > threshold)
-    return firsts, near.select("pos", "k_pos", "similarity")
+
+def with_first(rows: DataFrame, firsts: DataFrame, *columns: str) -> DataFrame:
+    """Rows with ``columns`` of their fingerprint's entry; a fingerprint with very many copies is dealt over tasks."""
+    named = F.struct(*[F.col(c).alias(f"first_{c}") for c in ("pos", *columns)])
+    known = firsts.select(*FINGERPRINT, named.alias("_first"), F.col("copies").alias("_rows"))
+    return beside(rows, known, FINGERPRINT, F.col("pos")).select("pos", "_first.*")
 
 
 def near_duplicate_pairs(ranked: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -184,29 +299,24 @@ def near_duplicate_pairs(ranked: DataFrame, threshold: float = 0.8) -> DataFrame
     Every pair of distinct fingerprints above the threshold, between their first rows, and every
     copy with the first row of its fingerprint, which has all the copy's other links.
     """
-    rows = ranked.filter("n > 0").select("pos", *FINGERPRINT)
-    firsts, near = near_firsts(rows, threshold)
-    copies = rows.join(firsts.withColumnRenamed("pos", "near_pos"), FINGERPRINT).filter("pos > near_pos")
-    return near.withColumnRenamed("k_pos", "near_pos").unionByName(
-        copies.select("pos", "near_pos", F.lit(1.0).alias("similarity")))
+    rows = ranked.filter("n > 0").select(*POS_FINGERPRINT)
+    firsts = distinct_fingerprints(rows)
+    copies = with_first(rows, firsts).filter("pos > first_pos").withColumnRenamed("first_pos", "near_pos")
+    return near_in_blocks(firsts, threshold).withColumnRenamed("k_pos", "near_pos").unionByName(
+        copies.withColumn("similarity", F.lit(1.0)))
 
 
 def near_duplicate_links(ranked: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """For every row with an earlier row more similar than the threshold: the first such row.
+    """A row for every row with a fingerprint: ``pos``, ``class_id`` and ``n_links``.
 
-    All rows of the table take part.  Equal fingerprints are folded first: a copy is linked to
-    the first row of its group, and only that row goes on (:func:`near_firsts`).  Each row gives at
-    most one link, so a group of n copies gives n links; :func:`near_duplicate_pairs` has the others.
+    Rows of equal fingerprints are a class, named by its first row; ``n_links`` counts the other
+    rows of the table, copies too, that are more similar than the threshold.  Links are counted in
+    the tasks that find them, so a group of n near rows gives n rows, not n * n.
     """
-    rows = ranked.filter("n > 0").select("pos", *FINGERPRINT)
-    firsts, near = near_firsts(rows, threshold)
-    linked = near.groupBy("pos").agg(F.min(F.struct("k_pos", "similarity")).alias("_m")).select(
-        "pos", F.col("_m.k_pos").alias("near_pos"), F.col("_m.similarity").alias("similarity"))
-    # A copy's first near row may also be an earlier one that is no copy of it.
-    folded = rows.join(firsts.withColumnRenamed("pos", "first"), FINGERPRINT).select("pos", "first")
-    first_links = linked.withColumnsRenamed({"pos": "first", "near_pos": "_near", "similarity": "_similarity"})
-    copy = F.col("pos") != F.col("first")
-    earlier = F.col("_near").isNotNull()
-    return folded.join(first_links, "first", "left").filter(copy | earlier).select(
-        "pos", F.when(earlier, F.col("_near")).otherwise(F.col("first")).alias("near_pos"),
-        F.when(earlier, F.col("_similarity")).otherwise(F.lit(1.0)).alias("similarity"))
+    rows = ranked.filter("n > 0").select(*POS_FINGERPRINT)
+    firsts = distinct_fingerprints(rows)
+    near = links_in_blocks(firsts, threshold).groupBy("pos").agg(F.sum("near").alias("near"))
+    counted = firsts.join(near, "pos", "left").withColumn(
+        "links", F.coalesce("near", F.lit(0)) + F.col("copies") - 1)
+    return with_first(rows, counted, "links").select(
+        "pos", F.col("first_pos").alias("class_id"), F.col("first_links").alias("n_links"))

@@ -13,6 +13,8 @@ from rankforge.session import written
 
 
 FEW = 4
+#: Bytes that :func:`beside` broadcasts, and rows of one key that it leaves to one task.
+BESIDE_BYTES, KEY_ROWS = 8 << 20, 20_000
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -20,6 +22,28 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def beside(
+    rows: DataFrame, known: DataFrame, keys: list[str], spread: Column, limit: int | None = None,
+) -> DataFrame:
+    """Rows left-joined with ``known``: one row for a key, and ``_rows``, how many rows ask for it.
+
+    A table of up to ``limit`` bytes is broadcast.  Beyond that it is joined, and keys that
+    ``KEY_ROWS`` rows or more ask for (at most one key for so many rows) are dealt by ``spread``.
+    """
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in known.schema.fields
+             if f.dataType.simpleString() in ("string", "binary")]
+    each = reduce(lambda a, b: a + b, texts, F.lit(32 + 8 * len(known.columns)))
+    size = known.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
+    if size <= (BESIDE_BYTES if limit is None else limit):
+        return rows.join(F.broadcast(known.drop("_rows")), keys, "left")
+    parts = F.floor(F.col("_rows") / KEY_ROWS) + 1
+    hot = known.where(F.col("_rows") >= KEY_ROWS).select(*keys, parts.alias("_parts"))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    dealt = known.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_rows")
+    return salted.join(dealt, [*keys, "_salt"], "left").drop("_salt")
+
+
 def numbers(n: int) -> Column:
     """The array 0 to n - 1 of 64-bit numbers."""
     return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))

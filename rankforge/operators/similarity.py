@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankforge.functions.text import add_all
+from rankforge.operators import overlaps
 from rankforge.operators.joins import attach_hits, fits_broadcast, numbers
 from rankforge.operators.scoring import combined_screen_score
 from rankforge.operators.toplists import best_first, top_per_group, top_rows
@@ -60,10 +62,13 @@ def size_class(n: Column, threshold: float) -> Column:
     return add_all([F.when(n >= e, 1).otherwise(0) for e in size_edges(threshold)])
 
 
-def near_classes(df: DataFrame, threshold: float) -> DataFrame:
-    """Each row once for its own size class and once for either neighbour class."""
-    own = size_class(F.col("n"), threshold)
-    return df.withColumn("_class", F.explode(F.array(own - 1, own, own + 1)))
+def searched(database: DataFrame, queries: DataFrame, key: str) -> tuple[DataFrame, DataFrame, str]:
+    """Both sides with a fingerprint only, and the schema of their hits."""
+    rows = database.filter("n IS NOT NULL").select(key, *FINGERPRINT)
+    asked = queries.filter("n IS NOT NULL").select("query", "query_pos", *FINGERPRINT)
+    names = [*asked.select("query", "query_pos").schema.fields, *rows.select(key).schema.fields]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
+    return rows, asked, schema + ", similarity double"
 
 
 def find_similar(
@@ -72,32 +77,58 @@ def find_similar(
     """All (query, database row) pairs with similarity >= threshold.
 
     ``database`` has ``key`` and a fingerprint; ``queries`` has ``query``, ``query_pos`` and a
-    fingerprint.  Rows without a fingerprint never match.  Both meet in an equi-join on the size
-    class, so pairs whose sizes rule out a match are never compared.  The query side is broadcast
-    while its counted size allows; above that, database rows are salted inside their class so that
-    a class with many rows is spread over many tasks.
+    fingerprint.  Rows without a fingerprint never match.  Queries go to the tasks in passes of
+    bounded size, so the database is never shuffled; each task gets the overlaps of its rows with
+    all queries of like size at once, and only pairs that reach the threshold become rows.
     """
-    words = [F.col(w) for w in WORD_COLUMNS]
-    db = database.select(
-        key, *FINGERPRINT, size_class(F.col("n"), threshold).alias("_class"))
-    asked = near_classes(queries.select("query", "query_pos", *FINGERPRINT), threshold)
-    asked = asked.withColumnsRenamed({c: f"q_{c}" for c in FINGERPRINT})
-    if fits_broadcast(queries):
-        pairs = db.join(F.broadcast(asked), "_class")
-    else:
-        db = db.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-        asked = asked.withColumn("_salt", F.explode(numbers(SALTS)))
-        pairs = db.join(asked, ["_class", "_salt"])
-    similarity = tanimoto(words, F.col("n"), [F.col(f"q_{w}") for w in WORD_COLUMNS], F.col("q_n"))
-    return (pairs.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold)
-            .select("query", "query_pos", key, "similarity"))
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
+    rows, asked, schema = searched(database, queries, key)
+
+    def search(part):
+        names = [overlaps.whole(part.column(c)) for c in ("query", "query_pos")]
+        right = overlaps.Sized(overlaps.words_of(part, WORD_COLUMNS), part.column("n").to_numpy())
+
+        def run(batches):
+            for batch in batches:
+                left = overlaps.Sized(overlaps.words_of(batch, WORD_COLUMNS), batch.column("n").to_numpy())
+                for x, y, found in overlaps.near(left, right, threshold):
+                    yield pa.RecordBatch.from_arrays(
+                        [*(n.take(pa.array(y)) for n in names), batch.column(key).take(pa.array(x)), pa.array(found)],
+                        names=["query", "query_pos", key, "similarity"])
+
+        return run
+
+    return overlaps.map_passes(rows, asked, "query", search, schema)
 
 
 def top_similar(
     database: DataFrame, queries: DataFrame, key: str, top_k: int = 10, threshold: float = 0.3,
 ) -> DataFrame:
-    """The most similar database rows per query, ties in key order."""
-    hits = find_similar(database, queries, key, threshold)
+    """The most similar database rows per query, ties in key order.
+
+    A task keeps the best rows of each query over all its rows, and leaves out classes of row sizes
+    that allow nothing better (:func:`overlaps.bounded_search`); the few that are left are merged.
+    """
+    rows, asked, schema = searched(database, queries, key)
+    edges = size_edges(max(threshold, 0.5))
+
+    def search(part):
+        names = [overlaps.whole(part.column(c)) for c in ("query", "query_pos")]
+        words, sizes = overlaps.words_of(part, WORD_COLUMNS), part.column("n").to_numpy()
+
+        def run(batches):
+            hits, kind = overlaps.TopHits(len(sizes), top_k, threshold), None
+            for batch in batches:
+                kind = batch.column(key).type
+                overlaps.bounded_search(overlaps.words_of(batch, WORD_COLUMNS), batch.column("n").to_numpy(),
+                                        batch.column(key), words, sizes, hits, edges)
+            if kind is not None:
+                yield overlaps.emitted(hits, names, [kind], ["query", "query_pos", key, "similarity"])
+
+        return run
+
+    hits = overlaps.map_passes(rows, asked, "query", search, schema)
     return top_per_group(hits, ["query", "query_pos"], best_first("similarity", key), top_k)
 
 

@@ -118,18 +118,18 @@ def diverse(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id")
 
 
-@query("j04_near_duplicate_links", rounded_sql(V.sql("doc_fp", """
+@query("j04_near_duplicate_links", V.sql("doc_fp", """
 WITH packed AS MATERIALIZED (
   SELECT doc_id, bitstring_agg(CAST(bit AS INT), 0, 1023) AS b, count(*) AS n FROM doc_bits GROUP BY doc_id),
 near AS (
-  SELECT x.doc_id AS pos, c.doc_id AS near_pos, bit_count(c.b & x.b) / (c.n + x.n - bit_count(c.b & x.b)) AS similarity
-  FROM packed x JOIN packed c ON c.doc_id < x.doc_id)
-SELECT pos, min(near_pos) AS near_pos, arg_min(similarity, near_pos) AS similarity FROM near WHERE similarity > 0.8
-GROUP BY pos"""), "similarity"))
+  SELECT x.doc_id, count(*) AS n_links
+  FROM packed x JOIN packed c ON c.doc_id <> x.doc_id
+  WHERE bit_count(c.b & x.b) / (c.n + x.n - bit_count(c.b & x.b)) > 0.8 GROUP BY ALL)
+SELECT doc_id AS pos, min(doc_id) OVER (PARTITION BY CAST(b AS VARCHAR)) AS class_id, coalesce(n_links, 0) AS n_links
+FROM packed LEFT JOIN near USING (doc_id)"""))
 def links(spark: SparkSession, folder: str) -> DataFrame:
     rows = written(V.document_fingerprints(spark, folder), "fingerprints").filter("n > 0")
-    rows = rows.withColumnRenamed("doc_id", "pos")
-    return rounded(diversity.near_duplicate_links(rows))
+    return diversity.near_duplicate_links(rows.withColumnRenamed("doc_id", "pos"))
 
 
 @query("j04_near_duplicate_pairs", rounded_sql(V.sql("doc_fp", """

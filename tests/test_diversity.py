@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rankforge.operators import diversity, similarity
+from rankforge.operators import diversity, joins, overlaps, similarity
 
 
 def table(spark, sets):
@@ -48,15 +50,36 @@ def near_copies(seed, n=300, hot=100):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("block,keep", [(1000, 100), (13, 40)])
-def test_equals_plain_greedy(spark, monkeypatch, seed, block, keep):
-    monkeypatch.setattr(diversity, "BLOCK", block)
-    sets = near_copies(seed, 200)
+@pytest.mark.parametrize("rows,look,keep", [(100_000, 2000, 100), (13, 2000, 40), (13, 3, 40), (1, 2000, 9)])
+def test_equals_plain_greedy(spark, monkeypatch, seed, rows, look, keep):
+    monkeypatch.setattr(diversity, "RANGE_ROWS", rows)
+    monkeypatch.setattr(diversity, "LOOK_ROWS", look)
+    sets = near_copies(seed, 200 if rows > 1 else 40)
     threshold = 0.5
     got = diversity.choose_diverse(table(spark, sets).repartition(5), threshold, keep)
     assert sorted(r["k_pos"] for r in got.collect()) == greedy(sets, threshold, keep)
 
 
+def chain(n):
+    return [set(range(5 * i, 5 * i + 100)) for i in range(n)]
+
+
+def copies_of(groups, n, seed=5):
+    """Near copies of a few sets, in mixed order."""
+    rng = random.Random(seed)
+    bases = [set(rng.sample(range(1024), 60)) for _ in range(groups)]
+    return [set(rng.choice(bases)) - {rng.randrange(1024)} for _ in range(n)]
+
+
+@pytest.mark.parametrize("sets,rounds", [
+    (chain(180), 40), ([{i, i + 1, i + 300} for i in range(700)], 3), (copies_of(12, 400), 5), (copies_of(1, 300), 3)])
+def test_few_rounds_choose_all(spark, monkeypatch, sets, rounds):
+    monkeypatch.setattr(diversity, "RANGE_ROWS", 20)
+    found, taken = diversity.rounds_of_choice(table(spark, sets), 0.8, 100)
+    assert [r["pos"] for r in found] == greedy(sets, 0.8, 100)
+    assert taken <= rounds
+
+
 def test_chain_keeps_both_ends(spark):
     a = set(range(100))
     b = set(range(5, 105))
@@ -84,29 +107,61 @@ def test_at_most_hundred_and_unchanged_cases(spark):
     assert diversity.diversity_filter(plain, "protac", F.col("pos"), [F.asc("pos")]).count() == 150
 
 
-def test_links_point_to_the_first_near_row(spark):
+def plain_links(sets, threshold):
+    """Class and number of links of every row with bits."""
+    return {i: (sets.index(s), sum(1 for j, t in enumerate(sets) if t and j != i and sim(s, t) > threshold))
+            for i, s in enumerate(sets) if s}
+
+
+def test_links_count_copies_and_near_rows(spark):
     a = set(range(50))
-    sets = [a, a | {60}, {200, 201}, a, {200, 201}]
-    got = diversity.near_duplicate_links(table(spark, sets)).collect()
-    assert sorted((r["pos"], r["near_pos"]) for r in got) == [(1, 0), (3, 0), (4, 2)]
+    sets = [a, a | {60}, {200, 201}, a, {200, 201}, None, set()]
+    got = {r["pos"]: (r["class_id"], r["n_links"]) for r in diversity.near_duplicate_links(table(spark, sets)).collect()}
+    assert got == {0: (0, 2), 1: (1, 2), 2: (2, 1), 3: (0, 2), 4: (2, 1)}
+
+
+def long_sets(n=60):
+    """Sets of 400 bits and more, in groups around the threshold."""
+    rng = random.Random(11)
+    base = [set(rng.sample(range(1024), size)) for size in (410, 430, 600, 950)]
+    out = []
+    for i in range(n):
+        s = set(rng.choice(base))
+        for _ in range(rng.randint(0, 60)):
+            s ^= {rng.randrange(1024)}
+        out.append(s)
+    return out
 
 
-@pytest.mark.parametrize("threshold", [0.6, 0.8])
-def test_links_of_all_rows(spark, threshold):
-    sets = [*near_copies(7, 260), {1}, {2}, {1}, set(range(1000)), set(range(1, 1000))]
+@pytest.mark.parametrize("threshold,block", [(0.6, 8192), (0.8, 8192), (0.8, 16)])
+def test_links_of_all_rows(spark, monkeypatch, threshold, block):
+    monkeypatch.setattr(diversity, "BLOCK_ROWS", block)
+    sets = [*near_copies(7, 200), {1}, {2}, {1}, set(range(1000)), set(range(1, 1000)), *long_sets()]
     got = diversity.near_duplicate_links(table(spark, sets), threshold).collect()
-    expected = {}
-    for i, s in enumerate(sets):
-        first = next((j for j in range(i) if s and sets[j] and sim(s, sets[j]) > threshold), None)
-        if first is not None:
-            expected[i] = first
-    assert {r["pos"]: r["near_pos"] for r in got} == expected and len(got) == len(expected) > 80
+    expected = plain_links(sets, threshold)
+    assert {r["pos"]: (r["class_id"], r["n_links"]) for r in got} == expected and len(got) == len(expected)
+
+
+def test_copies_of_one_fingerprint_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BESIDE_BYTES", 0)
+    monkeypatch.setattr(joins, "KEY_ROWS", 10)
+    sets = [{1, 2, 3}] * 95 + [{4}, {5}, {4}] + [{1, 2, 3, 9}] * 3
+    got = diversity.near_duplicate_links(table(spark, sets), 0.7).collect()
+    assert {r["pos"]: (r["class_id"], r["n_links"]) for r in got} == plain_links(sets, 0.7) and len(got) == len(sets)
+
+
+def test_rows_that_meet_grow_with_the_table(spark):
+    """Every row goes to its own class's task and to two neighbours', however many rows are near."""
+    for n in (200, 800):
+        sets = [frozenset(random.Random(i).sample(range(1024), 20 + i % 200)) for i in range(n)]
+        firsts = diversity.distinct_fingerprints(table(spark, sets))
+        assert n <= diversity.dealt_blocks(firsts.drop("copies"), 0.8).count() <= 3 * n
 
 
 def test_no_link_between_different_sets_is_lost(spark):
     a, c = set(range(20)), set(range(1, 21))
     b = set(range(2, 22))
-    for sets in ([a, b, c, c, a], [*near_copies(8, 150)]):
+    for sets in ([a, b, c, c, a], [*near_copies(8, 150)], long_sets()):
         got = {(r["pos"], r["near_pos"]) for r in diversity.near_duplicate_pairs(table(spark, sets), 0.85).collect()}
         first = {i: sets.index(s) for i, s in enumerate(sets) if s}
         expected = {(i, first[i]) for i in first if first[i] < i} | {
@@ -122,9 +177,9 @@ def query_table(spark, sets):
 
 
 @pytest.mark.parametrize("threshold", [0.2, 0.5, 0.8, 1.0])
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_search_equals_all_pairs(spark, monkeypatch, threshold, broadcast):
-    monkeypatch.setattr(similarity, "fits_broadcast", lambda df: broadcast)
+@pytest.mark.parametrize("rows", [16_384, 7])
+def test_search_equals_all_pairs(spark, monkeypatch, threshold, rows):
+    monkeypatch.setattr(overlaps, "PASS_ROWS", rows)
     sets = near_copies(3, 120)
     queries = near_copies(4, 20)
     got = similarity.find_similar(table(spark, sets), query_table(spark, queries), "pos", threshold)
@@ -134,6 +189,42 @@ def test_search_equals_all_pairs(spark, monkeypatch, threshold, broadcast):
     assert {(r["query"], r["pos"]) for r in rows} == expected and len(rows) == len(expected)
 
 
+@pytest.mark.parametrize("rows,batch", [(16_384, 10_000), (7, 11)])
+def test_top_hits_equal_all_pairs_with_ties(spark, monkeypatch, rows, batch):
+    monkeypatch.setattr(overlaps, "PASS_ROWS", rows)
+    sets = [*near_copies(3, 150), *near_copies(3, 150)]
+    queries = near_copies(4, 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = similarity.top_similar(table(spark, sets).repartition(3), query_table(spark, queries), "pos", 4, 0.1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = set()
+    for j, q in enumerate(queries):
+        hits = sorted((-sim(q, s), i) for i, s in enumerate(sets) if q and s and sim(q, s) >= 0.1)[:4]
+        expected |= {(f"q{j}", i) for _, i in hits}
+    assert {(r["query"], r["pos"]) for r in got} == expected and len(got) == len(expected) > 40
+
+
+def test_search_ends_before_all_size_classes():
+    rng = random.Random(2)
+    sets = [set(rng.sample(range(1024), n)) for n in range(10, 900) for _ in range(2)]
+    asked = [set(s) ^ {rng.randrange(1024)} for s in sets[::50]]
+
+    def packed(rows):
+        plain = np.zeros((len(rows), 1024), np.uint8)
+        for i, s in enumerate(rows):
+            plain[i, list(s)] = 1
+        return np.packbits(plain, axis=1, bitorder="little").view(np.uint64), plain.sum(axis=1).astype(int)
+
+    edges = similarity.size_edges(0.5)
+    hits = overlaps.TopHits(len(asked), 1, 0.0)
+    visited = overlaps.bounded_search(*packed(sets), pa.array(range(len(sets))), *packed(asked), hits, edges)
+    best = [max((sim(q, s), -i) for i, s in enumerate(sets)) for q in asked]
+    assert [(h[0][0], -h[0][1]) for h in hits.best] == best
+    assert len(asked) <= visited < 0.3 * len(asked) * len(edges)
+
+
 def test_vector_search_of_many_queries(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
