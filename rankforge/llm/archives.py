@@ -7,8 +7,8 @@ breaks after a WARC record, so Spark's commit protocol holds for archives on any
 is run again leaves no second copy. Chunks end inside every ``WARC/1.`` of a payload, so that this text starts records only.
 
 Reading. The separator of lines is the end of a record with the start of the next one, so files are read as streams,
-compressed or not, and no file is held in memory. In each file a record that is shorter than its declared length goes on
-in the next line (payloads of other writers may hold the separator). Continuation records are grouped by the identifier
+compressed or not, and no file is held in memory. In each file records are cut by their declared lengths, so a payload may
+hold the separator, and one that the reader misses between two of its buffers costs no record. Continuation records are grouped by the identifier
 of their origin, ordered by segment number, and checked: numbers 1, 2, ... to the one that declares the total length, and
 that length. Then the chunked framing is decoded. A record that fails a check has a ``problem`` and no payload.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,21 +31,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.llm import common
+from rankforge.operators.joins import beside
 from rankforge.session import scratch_path, written
 
 #: Fixed values of the format.
 START, BREAK = b"WARC/1.", b"\r\n"
 LINE_END = "\r\n\r\n"
+SEPARATOR = LINE_END.encode() + START
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
 ANSWER = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 BASE32, BASE32_HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 #: Bytes of a chunk, and of a record's block before it goes on in a continuation record.
 CHUNK, SEGMENT = 4096, 8192
-#: Bytes of keys and identifiers that are broadcast; more are joined.
-BROADCAST_BYTES = 8 << 20
-#: Rows of one key that a task of a join should get.
-KEY_ROWS = 20_000
 RECORD = ("kind string, record_id string, origin string, segment int, total bigint, page_id string, target_uri string, "
           "refers_to string, payload_digest string, block binary, problem string")
 FIELDS = [f.split()[0] for f in RECORD.split(", ")]
@@ -57,23 +56,6 @@ def digest(payload: Column) -> Column:
     return F.translate(F.concat(*fives), BASE32_HEX, BASE32)
 
 
-def beside(rows: DataFrame, known: DataFrame, key: str, spread: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Rows left-joined with ``known``, which has a row for a key and ``_rows``, how many rows ask for it.
-
-    Up to ``limit`` bytes are broadcast. Beyond that, keys that over ``KEY_ROWS`` rows ask for are dealt by ``spread``.
-    """
-    size = known.agg(F.coalesce(F.sum(F.octet_length(key) + 32), F.lit(0))).first()[0]
-    if size <= limit:
-        return rows.join(F.broadcast(known.drop("_rows")), key, "left")
-    parts = F.floor(F.col("_rows") / KEY_ROWS) + 1
-    # At most one key for each KEY_ROWS rows, of a few bytes.
-    hot = known.where(F.col("_rows") >= KEY_ROWS).select(key, parts.alias("_parts"))
-    salted = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1)))).drop("_parts")
-    dealt = known.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_rows")
-    return salted.join(dealt, [key, "_salt"], "left").drop("_salt")
-
-
 def header(fields: list[tuple[str, object]], block: bytes) -> bytes:
     lines = [START + b"1", *(f"{k}: {v}".encode() for k, v in fields if v is not None),
              b"Content-Length: %d" % len(block)]
@@ -137,7 +119,7 @@ def records_of(page_id: str | None, url: str | None, payload: bytes, code: str,
 
 
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html",
-          segment: int = SEGMENT, compression: str = "gzip", limit: int = BROADCAST_BYTES) -> None:
+          segment: int = SEGMENT, compression: str = "gzip") -> None:
     """Write a record for every page to archives below ``path``."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"),
                         F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).withColumn(
@@ -145,7 +127,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     # Payloads of one page need no keeper. Counts and largest ids are taken by partial aggregation.
     shared = written(rows.groupBy("code").agg(F.max("page_id").alias("keeper"), F.count("*").alias("_rows")).where(
         F.col("_rows") > 1), "payloads")
-    joined = beside(rows, shared, "code", F.col("page_id"), limit)
+    joined = beside(rows, shared, ["code"], F.col("page_id"))
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     given = joined.select(F.col("page_id").cast("string"), "url", "payload", "code", F.col("keeper").cast("string"),
                           revisit.alias("revisit"))
@@ -187,47 +169,87 @@ def parsed(record: bytes) -> dict:
 
 def wanted(record: bytes) -> int:
     """How long a record is by its own words; its present length if it has none."""
-    head, gap, _ = record.partition(BREAK + BREAK)
+    head = record.partition(BREAK + BREAK)[0]
     said = re.search(rb"(?im)^content-length:[ \t]*([0-9]+)", head)
-    return len(head) + len(gap) + int(said[1]) if said else len(record)
+    return len(head) + len(BREAK + BREAK) + int(said[1]) if said else len(record)
+
+
+class Lines:
+    """The lines of one file as records, by their declared lengths.
+
+    A line that holds a further separator is several records. One that is too short goes on in the next lines if a record
+    of its length ends where one of them does; else it is a damaged record of its own.
+    """
+
+    def __init__(self) -> None:
+        self.open: deque[bytes] = deque()
+        self.need = self.length = 0
+
+    def add(self, line: bytes) -> Iterator[bytes]:
+        self.open.append(line if self.open else line.removeprefix(START))
+        self.length += len(self.open[-1]) + len(SEPARATOR) * (len(self.open) > 1)
+        if len(self.open) == 1:
+            self.need = wanted(self.open[0])
+        return self.take(False)
+
+    def begin(self) -> None:
+        if self.open:
+            self.need, self.length = wanted(self.open[0]), sum(map(len, self.open)) + len(SEPARATOR) * (len(self.open) - 1)
+
+    def take(self, ended: bool) -> Iterator[bytes]:
+        while self.open:
+            if self.length < self.need and not ended:
+                return
+            # So many lines reach the declared length.
+            count, length = 1, len(self.open[0])
+            while length < self.need and count < len(self.open):
+                length += len(SEPARATOR) + len(self.open[count])
+                count += 1
+            lines = [self.open.popleft() for _ in range(count)]
+            whole_lines = SEPARATOR.join(lines)
+            rest = whole_lines[self.need:]
+            if count > 1 and (length < self.need or rest not in (b"", LINE_END.encode()) and not rest.startswith(SEPARATOR)):
+                self.open.extendleft(reversed(lines[1:]))
+                yield lines[0]
+            else:
+                yield whole_lines[:self.need]
+                if rest.startswith(SEPARATOR):
+                    self.open.appendleft(rest.removeprefix(SEPARATOR))
+            self.begin()
+        self.length = 0
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives below ``path``, with the columns of ``RECORD``."""
-    separator = LINE_END + START.decode()
-    lines = spark.read.option("lineSep", separator).text(path).select(
+    lines = spark.read.option("lineSep", SEPARATOR.decode()).text(path).select(
         F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
-        """Lines as records: the first line of a file still has its start, its last one the end."""
-        file, parts, length, need = None, [], 0, 0
+        file, lines = None, Lines()
         for part in common.slices(batches, "value"):
             for at, value in zip(part.column("file").to_pylist(), part.column("value").to_pylist()):
-                if parts and (at != file or length >= need):
-                    yield b"".join(parts)
-                    parts = []
-                file = at
-                if parts:
-                    parts += [separator.encode(), value]
-                    length += len(separator) + len(value)
-                else:
-                    parts = [value.removeprefix(START)]
-                    length, need = len(parts[0]), wanted(parts[0])
-        if parts:
-            yield b"".join(parts)
+                if at != file:
+                    yield from lines.take(True)
+                    file, lines = at, Lines()
+                yield from lines.add(value)
+        yield from lines.take(True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"segment": pa.int32(), "total": pa.int64(), "block": pa.binary()}
+
+        def batch(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[f] for r in rows], kinds.get(f, pa.string())) for f in FIELDS], names=FIELDS)
+
         rows, size = [], 0
-        schema = pa.schema([(f, {"segment": pa.int32(), "total": pa.int64(), "block": pa.binary()}.get(f, pa.string()))
-                            for f in FIELDS])
         for record in joined(batches):
             rows.append(parsed(record))
             size += len(record)
             if size >= common.SLICE_BYTES:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield batch(rows)
                 rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield batch(rows)
 
     return lines.mapInArrow(run, RECORD)
 
@@ -276,22 +298,26 @@ def payloads(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size, done = [], 0, 0
             for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                kind, problem = one.column("kind")[0].as_py(), one.column("problem")[0].as_py()
+                problem = batch.column("problem")[at].as_py()
                 payload = None
-                if kind != "revisit" and problem is None:
-                    block, problem = whole(one.column("parts")[0].as_py())
+                if batch.column("kind")[at].as_py() != "revisit" and problem is None:
+                    block, problem = whole(batch.column("parts")[at].as_py())
                     if problem is None:
                         payload, problem = decoded(block)
-                yield pa.RecordBatch.from_arrays(
-                    [*(one.column(c) for c in columns), pa.array([payload], pa.binary()),
-                     pa.array([problem], pa.string())], names=[*columns, "payload", "problem"])
+                held.append((payload, problem))
+                size += len(payload or b"")
+                if size >= common.SLICE_BYTES or at + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c).slice(done, len(held)) for c in columns), pa.array([h[0] for h in held], pa.binary()),
+                         pa.array([h[1] for h in held], pa.string())], names=[*columns, "payload", "problem"])
+                    held, size, done = [], 0, at + 1
 
     return rows.mapInArrow(run, schema)
 
 
-def resolved(found: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def resolved(found: DataFrame) -> DataFrame:
     """Each row of :func:`payloads` with size and digest of its full payload, of revisits that of the response."""
     thin = written(found.withColumns({
         "payload_bytes": F.octet_length("payload").cast("bigint"), "found_digest": digest(F.col("payload"))}).drop(
@@ -301,8 +327,8 @@ def resolved(found: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
         F.max(F.struct("payload_bytes", "found_digest", F.col("page_id").alias("origin_id"))).alias("seen"))
     known = written(asked.join(answers, "record_id").select(
         F.col("record_id").alias("refers_to"), "seen", "_rows"), "answers")
-    revisits = beside(thin.where("kind = 'revisit'").drop("payload_bytes", "found_digest"), known, "refers_to",
-                      F.col("record_id"), limit)
+    revisits = beside(thin.where("kind = 'revisit'").drop("payload_bytes", "found_digest"), known, ["refers_to"],
+                      F.col("record_id"))
     revisits = revisits.select("*", "seen.*").drop("seen")
     rows = thin.where("kind is distinct from 'revisit'").withColumn("origin_id", F.lit(None).cast("string")).unionByName(revisits)
     wrong = F.when(F.col("found_digest").isNull(), F.lit("no answer for a revisit")).when(
