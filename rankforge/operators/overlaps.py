@@ -81,16 +81,16 @@ def near(left: Sized, right: Sized, threshold: float, strict: bool = False,
 
 
 class TopHits:
-    """The best hits of each query over all rows met so far, ties in key order."""
+    """The best hits of each query over all rows met so far, ties in key order; ``threshold`` may be one for each query."""
 
-    def __init__(self, queries: int, k: int, threshold: float = -np.inf) -> None:
-        self.k, self.threshold = k, threshold
+    def __init__(self, queries: int, k: int, threshold: float | np.ndarray = -np.inf) -> None:
+        self.k, self.threshold = k, np.broadcast_to(threshold, queries)
         self.best: list[list[tuple]] = [[] for _ in range(queries)]
 
     def bar(self, query: int) -> float:
         """What a similarity must reach to matter."""
         best = self.best[query]
-        return max(self.threshold, best[-1][0]) if len(best) == self.k else self.threshold
+        return max(self.threshold[query], best[-1][0]) if len(best) == self.k else self.threshold[query]
 
     def add(self, query: int, found: np.ndarray, keys: pa.Array, rank: np.ndarray, places: np.ndarray) -> None:
         """Hits of one query: similarities, and the places of their rows; ``rank`` is the place of each key in order."""

@@ -7,15 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankforge.functions.text import add_all
 from rankforge.operators import overlaps
-from rankforge.operators.joins import attach_hits, fits_broadcast, numbers
+from rankforge.operators.joins import attach_hits
 from rankforge.operators.scoring import combined_screen_score
 from rankforge.operators.toplists import best_first, top_per_group, top_rows
+from rankforge.operators.vector_index import cosine_hits
 
 WORDS = 16
 WORD_COLUMNS = [f"w{i}" for i in range(WORDS)]
 FINGERPRINT = [*WORD_COLUMNS, "n"]
-SALTS = 64
-QUERY_LIST = 1000
 
 
 def add_fingerprint(df: DataFrame, bits: Column) -> DataFrame:
@@ -163,31 +162,14 @@ def screen(
 def cosine_top_k(
     vectors: DataFrame, queries: DataFrame, key: str, vector: str, top_k: int = 10,
 ) -> DataFrame:
-    """The most similar vectors of the whole table for each query.
+    """The most similar vectors of the whole table for each query, without an index.
 
-    ``queries`` has ``query`` and ``query_vector``, any number of rows.  Up to ``QUERY_LIST`` of
-    them go along with every vector as one list.  More are dealt into blocks of about that many by
-    hash, and vectors into ``SALTS`` parts; each block meets each part in one task by an equi-join.
-    Every task keeps its own best rows before they are merged by query.
+    ``queries`` has ``query`` and ``query_vector``, any number of rows.  They go to the tasks in
+    passes of bounded size; a task keeps the best rows of each query over all its rows, by matrix
+    products, before they are merged by query.  :mod:`vector_index` reads fewer rows.
     """
-    def dot(a: Column, b: Column) -> Column:
-        products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
-    asked = queries.select("query", "query_vector")
-    v, q = F.col(vector), F.col("query_vector")
-    cosine = F.try_divide(dot(v, q), F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))
-    best = best_first("similarity", key)
-    if fits_broadcast(queries, QUERY_LIST):
-        listed = asked.agg(F.collect_list(F.struct("query", "query_vector"))).scalar()
-        met = vectors.withColumn("_asked", listed).withColumn("_q", F.explode("_asked")).drop("_asked")
-        scored = met.select(key, vector, "_q.query", "_q.query_vector").withColumn("similarity", cosine)
-        return top_per_group(scored.select("query", key, "similarity"), ["query"], best, top_k)
-    count = -(-queries.count() // QUERY_LIST)
-    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(count))).withColumn(
-        "_part", F.explode(numbers(SALTS)))
-    parts = vectors.select(key, vector).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(SALTS))).withColumn(
-        "_block", F.explode(numbers(count)))
-    scored = parts.join(dealt, ["_block", "_part"]).withColumn("similarity", cosine)
-    within = top_per_group(scored.select("query", key, "similarity", "_part"), ["query", "_part"], best, top_k)
-    return top_per_group(within.drop("_part"), ["query"], best, top_k)
+    found = None
+    for part in overlaps.passes_of(queries.select("query", "query_vector"), "query"):
+        hits = cosine_hits(vectors, key, vector, part, top_k)
+        found = hits if found is None else found.unionByName(hits)
+    return top_per_group(found, ["query"], best_first("similarity", key), top_k)

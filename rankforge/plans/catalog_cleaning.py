@@ -148,6 +148,15 @@ def distribution(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(metrics.distribution(rows, "length"), 6)
 
 
+@query("a03_event_values", rounded_sql("""
+SELECT count(value) AS "count", avg(value) AS mean, stddev_samp(value) AS std, min(value) AS "min",
+  quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75, max(value) AS "max"
+FROM events""", "mean std q25 q50 q75", 6))
+def event_values(spark: SparkSession, folder: str) -> DataFrame:
+    """A column of nearly all different values."""
+    return rounded(metrics.distribution(V.read(spark, folder, "events").select("value"), "value"), 6)
+
+
 @query("a06_c03_symbol_counts", V.sql("peptides molecules", """
 SELECT 'pep' AS kind, pep_id AS id, CAST(length(sequence) - length(replace(sequence, 'K', '')) AS INT) AS n1,
   CAST(length(sequence) - length(replace(replace(sequence, 'A', ''), 'L', '')) AS INT) AS n2 FROM peptides

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankforge.operators import cleaning, diversity, joins, similarity
+from rankforge.operators import cleaning, diversity, joins, similarity, vector_index
 from rankforge.operators.toplists import best_first, top_rows
 from rankforge.plans import standins as V
 from rankforge.plans.registry import query, rounded, rounded_sql
@@ -164,4 +164,5 @@ QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec
 def vector_search(spark: SparkSession, folder: str) -> DataFrame:
     rows = V.read(spark, folder, "embeddings")
     asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_vector"))
-    return rounded(similarity.cosine_top_k(rows, asked, "vec_id", "embedding", 10), 6)
+    index = vector_index.build_index(rows, "vec_id", "embedding")
+    return rounded(vector_index.search_index(index, asked, 10)[0], 6)

@@ -119,6 +119,19 @@ def curves(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(metrics.curve_points(rows))
 
 
+@query("t17_roc_curve", rounded_sql(V.sql("labelled", f"""
+WITH {STEPS},
+bends AS (
+  SELECT *, flagged - tp AS fp, lag(pos) OVER w AS low_pos, lag(rows) OVER w AS low_rows, lead(pos) OVER w AS high_pos
+  FROM (SELECT s.*, n AS rows FROM steps s JOIN (SELECT y_prob, count(*) AS n FROM labelled GROUP BY y_prob) USING (y_prob))
+  WINDOW w AS (ORDER BY y_prob))
+SELECT y_prob AS threshold, CAST(fp / q AS DOUBLE) AS fpr, CAST(tp / p AS DOUBLE) AS tpr FROM bends
+WHERE low_pos IS NULL OR high_pos IS NULL OR pos <> low_pos OR rows - pos <> low_rows - low_pos
+UNION ALL SELECT 'infinity'::DOUBLE, 0, 0"""), "threshold fpr tpr"))
+def roc_curve(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(metrics.roc_points(V.labelled_scores(spark, folder)))
+
+
 @query("t18_class_report", rounded_sql(V.sql("labelled", """
 WITH per AS (
   SELECT c, count(*) FILTER (WHERE y_true = c AND y_pred = c) AS hit, count(*) FILTER (WHERE y_pred = c) AS said,

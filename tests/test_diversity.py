@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rankforge.operators import diversity, joins, overlaps, similarity
+from rankforge.operators import diversity, joins, overlaps, similarity, vector_index
 
 
 def table(spark, sets):
@@ -233,6 +233,42 @@ def test_vector_search_of_many_queries(spark, monkeypatch):
     cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
     expected = {(q, i) for q, w in rows[::5] for _, i in sorted((-cosine(v, w), i) for i, v in rows)[:10]}
     for limit in (7, 1000):
-        monkeypatch.setattr(similarity, "QUERY_LIST", limit)
+        monkeypatch.setattr(overlaps, "PASS_ROWS", limit)
         got = similarity.cosine_top_k(table, asked, "vec_id", "v", 10).collect()
         assert {(r["query"], r["vec_id"]) for r in got} == expected and len(got) == len(expected)
+
+
+def clustered(n, seed=3, groups=12):
+    """Vectors around a few directions, some of them equal, and rows that have no cosine."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(0, 1, (groups, 16))
+    rows = [(i, (centre[i % groups] + rng.normal(0, 0.1, 16)).tolist()) for i in range(n)]
+    rows += [(n + i, rows[i % 3][1]) for i in range(30)]
+    return rows + [(n + 100, None), (n + 101, [0.0] * 16), (n + 102, [1.0]), (n + 103, [float("nan")] * 16)]
+
+
+@pytest.mark.parametrize("limit", [16_384, 9])
+def test_index_search_is_exact_and_reads_few_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(overlaps, "PASS_ROWS", limit)
+    rows = clustered(600)
+    table = spark.createDataFrame(rows, "vec_id BIGINT, v ARRAY<DOUBLE>").repartition(4)
+    asked = table.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("query_vector"))
+    good = [(i, np.array(v)) for i, v in rows if v and len(v) == 16 and np.isfinite(v).all() and any(v)]
+    cosine = lambda a, b: round(float((a * b).sum() / np.sqrt((a * a).sum()) / np.sqrt((b * b).sum())), 12)
+    expected = {(q, i) for q, w in good if q % 20 == 0 for _, i in sorted((-cosine(v, w), i) for i, v in good)[:5]}
+    index = vector_index.build_index(table, "vec_id", "v")
+    assert index.counts.sum() == len(good)
+    found, share = vector_index.search_index(index, asked, 5)
+    assert {(r["query"], r["vec_id"]) for r in found.collect()} == expected and share < 0.3
+    plain = similarity.cosine_top_k(table, asked, "vec_id", "v", 5)
+    assert {(r["query"], r["vec_id"]) for r in plain.collect()} == expected
+
+
+def test_index_of_few_or_no_rows(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id BIGINT, v ARRAY<DOUBLE>")
+    asked = table.select(F.col("vec_id").alias("query"), F.col("v").alias("query_vector"))
+    found, _ = vector_index.search_index(vector_index.build_index(table, "vec_id", "v"), asked, 10)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 1.0)]
+    none = vector_index.build_index(table.limit(0), "vec_id", "v")
+    assert vector_index.search_index(none, asked, 10)[0].count() == 0
+    assert vector_index.search_index(none, asked.limit(0), 10)[0].count() == 0

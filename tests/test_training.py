@@ -1,9 +1,12 @@
+import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankforge.operators import metrics, models, training
+from rankforge.operators import forests, metrics, models, training
 from rankforge.operators.ordering import running_totals, shuffled_rank
 
 
@@ -160,3 +163,132 @@ def test_forest_learns_and_repeats(spark):
     assert sorted(map(tuple, first.select(key).collect())) == sorted(map(tuple, again.select(key).collect()))
     folds = models.cross_validate(df, ["a", "b"], "y", "id", models.boosting(2, 2), 3)
     assert models.score_summary(folds).first()["mean_score"] > 0.9
+
+
+@pytest.mark.parametrize("bins,few", [(1024, 4096), (4, 5), (2, 1)])
+def test_quantiles_of_any_column(spark, monkeypatch, bins, few):
+    monkeypatch.setattr(metrics, "BINS", bins)
+    monkeypatch.setattr(metrics, "SORTED_ROWS", few)
+    rng = np.random.default_rng(1)
+    columns = {
+        "skewed": np.exp(rng.normal(0, 9, 400)).tolist(), "few": rng.integers(0, 3, 300).astype(float).tolist(),
+        "hot": [5.0] * 200 + rng.normal(5, 1e-9, 150).tolist(), "wide": [-1.7e308, 1.7e308, 0.0, 1e-300, 1.0, -3.0],
+        "one": [2.5], "odd": [None, float("nan"), 1.0, 2.0, 4.0]}
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    for name, values in columns.items():
+        if bins < 1000 and name in ("wide", "skewed"):
+            continue  # many rounds
+        table = spark.createDataFrame([(v,) for v in values], "v DOUBLE").repartition(3)
+        good = [v for v in values if v is not None and v == v]
+        got = metrics.quantiles(table, "v", shares)
+        assert np.allclose(got, np.quantile(good, shares), rtol=1e-12, atol=0), name
+    assert metrics.quantiles(table.limit(0), "v", [0.5]) == [None]
+    plan = metrics.distribution(table, "v")._jdf.queryExecution().toString()
+    assert "percentile" not in plan
+
+
+@pytest.mark.parametrize("parts", [1, 2, 200])
+def test_curve_points_between_equal_steps_go(spark, parts):
+    rng = np.random.default_rng(3)
+    scored = [(int(y), float(s)) for y, s in zip(rng.integers(0, 2, 300), rng.integers(0, 90, 300) / 90)]
+    scored += [(1, 2.0 + i) for i in range(6)] + [(0, -1.0 - i) for i in range(5)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        table = spark.createDataFrame(scored, "y_true INT, y_prob DOUBLE")
+        got = [tuple(r) for r in metrics.roc_points(table).orderBy(F.desc("threshold")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    scores = sorted({s for _, s in scored}, reverse=True)
+    step = [(sum(1 for y, s in scored if s == t and y == 0), sum(1 for y, s in scored if s == t and y == 1)) for t in scores]
+    neg, pos = sum(x for x, _ in step), sum(y for _, y in step)
+    expected = [(float("inf"), 0.0, 0.0)]
+    for i, t in enumerate(scores):
+        if i in (0, len(scores) - 1) or step[i] != step[i + 1]:
+            fp, tp = (sum(s[k] for s in step[:i + 1]) for k in (0, 1))
+            expected.append((t, fp / neg, tp / pos))
+    assert got == expected and len(got) < len(scores) - 5
+
+
+def test_areas_of_groups(spark):
+    rows = [(g, *r) for g in range(3) for r in scored(spark, g, 80)[0]]
+    table = spark.createDataFrame(rows, "g INT, y_true INT, y_prob DOUBLE")
+    got = {r["g"]: r["auc_roc"] for r in metrics.grouped_auc(table, ["g"]).collect()}
+    assert got == {g: pytest.approx(plain_auc([(y, p) for k, y, p in rows if k == g])) for g in range(3)}
+
+
+COLUMNS = ["a", "b", "c", "d"]
+
+
+def tree_rows(spark, n=160, seed=2):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 1, (n, 4)).round(2)
+    label = (x[:, 0] + 0.5 * x[:, 1] * x[:, 2] > 0).astype(int)
+    return x, spark.createDataFrame([(i, int(y), *map(float, r)) for i, (r, y) in enumerate(zip(x, label))],
+                                    "k INT, y INT, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE")
+
+
+def expected_value(trees, tree, row, known, node=0):
+    """The value of a tree where only some features are known, by walking both branches of the others."""
+    f = trees.feature[tree, node]
+    if f < 0:
+        return trees.value[tree, node]
+    sides = (trees.left[tree, node], trees.right[tree, node])
+    if f in known:
+        return expected_value(trees, tree, row, known, sides[0] if row[f] <= trees.threshold[tree, node] else sides[1])
+    return sum(trees.cover[tree, s] * expected_value(trees, tree, row, known, s) for s in sides) / trees.cover[tree, node]
+
+
+@pytest.mark.parametrize("kind", ["rf", "gb"])
+def test_attributions_equal_all_subsets(spark, kind):
+    model = models.forest(5, 4) if kind == "rf" else models.boosting(4, 3)
+    x, table = tree_rows(spark)
+    fitted = models.fit(table, COLUMNS, "y", model, scaled=False)
+    trees = forests.trees_of(fitted)
+    some = np.vstack([x[:8], [[np.nan, 0.1, np.nan, -1.0]]])
+    got = trees.attributions(some)
+    for row, found in zip(some, got):
+        for j in range(4):
+            others, total = [i for i in range(4) if i != j], 0.0
+            for k in range(4):
+                for known in itertools.combinations(others, k):
+                    size = math.factorial(k) * math.factorial(3 - k) / math.factorial(4)
+                    total += size * sum(w * (expected_value(trees, t, row, {*known, j}) - expected_value(trees, t, row, known))
+                                        for t, w in enumerate(trees.weights))
+            assert found[j] == pytest.approx(total, abs=1e-12)
+    attributed = forests.attribute(fitted, table, ["k"])
+    both = {r["k"]: r["modelled"] for r in attributed.collect()}
+    if kind == "rf":
+        plain = {r["k"]: r["probability_active"] for r in models.predict(fitted, table).collect()}
+    else:
+        plain = dict(zip(range(len(x)), trees.predict(x)))
+    assert both == {k: pytest.approx(v, abs=1e-9) for k, v in plain.items()}
+    summary = forests.attribution_summary(attributed, COLUMNS).collect()
+    assert summary[0]["feature"] == "a" and len(summary) == 4
+    assert summary[0]["mean_abs"] == pytest.approx(np.abs(trees.attributions(x)[:, 0]).mean())
+
+
+def test_cut_trees_give_the_class_shares_of_their_nodes(spark):
+    x, table = tree_rows(spark)
+    trees = forests.trees_of(models.fit(table, COLUMNS, "y", models.forest(3, 6), scaled=False))
+    values = trees.values(x, [0, 2, 6])
+    for tree in range(3):
+        assert (values[0][:, tree] == trees.value[tree, 0]).all()
+        for row, value in zip(x, values[2][:, tree]):
+            node = 0
+            for _ in range(2):
+                if trees.feature[tree, node] >= 0:
+                    left = row[trees.feature[tree, node]] <= trees.threshold[tree, node]
+                    node = (trees.left if left else trees.right)[tree, node]
+            assert value == trees.value[tree, node]
+    assert trees.values(x, [3, 60])[60] == pytest.approx(trees.values(x, [60])[60])
+
+
+def test_shared_grid_scores_every_setting(spark):
+    x, table = tree_rows(spark, 240)
+    grid = {"numTrees": [3, 9], "maxDepth": [1, 4], "minInstancesPerNode": [1, 30], "minInfoGain": [0.0]}
+    found = forests.shared_grid_search(table, COLUMNS, "y", "k", grid, 3).collect()
+    assert len(found) == len({tuple(r)[:4] for r in found}) == 8
+    assert [r["auc"] for r in found] == sorted((r["auc"] for r in found), reverse=True)
+    best, least = found[0], found[-1]
+    assert best["maxDepth"] == 4 and best["auc"] > 0.85 and least["maxDepth"] == 1 and least["auc"] < best["auc"]
