@@ -93,9 +93,9 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def fit_regressor(train: DataFrame, columns: list[str], label: str, trees: int = 100,
-                  depth: int = 5, seed: int = SEED) -> PipelineModel:
+                  depth: int = 5, seed: int = SEED, subset: str = "auto") -> PipelineModel:
     model = RandomForestRegressor(
-        featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
+        featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy=subset)
     return Pipeline(stages=[assembler(columns), model]).fit(train.select(*columns, label))
 
 

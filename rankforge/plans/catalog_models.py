@@ -1,7 +1,8 @@
 """Registered queries: structure screens and records, training sets, and facts about fitted models.
 
-What a model predicts has no SQL form.  The queries on models return facts that SQL can state for
-every row: one row per id, classes that follow from probabilities, scores that follow from both.
+What a model predicts on noisy data has no SQL form.  The ``exact`` queries train models of default
+size on parts whose label follows from one column, which every tree must find, so SQL states each
+predicted value; the others return facts that SQL can state for every row.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankforge.functions import structures as M
-from rankforge.operators import diversity, generation as G, metrics, models, similarity, training
+from rankforge.operators import diversity, forests, generation as G, metrics, models, similarity, training
 from rankforge.operators.cleaning import valid_structures
 from rankforge.operators.similarity import add_fingerprint
 from rankforge.plans import jobs, standins as V
@@ -168,7 +169,7 @@ def screen_model(spark: SparkSession, folder: str):
     """A forest on the screen's descriptors; the label is whether a structure has two rings or more."""
     rows = V.molecules(spark, folder).na.drop(subset=["MW", "LogP", "TPSA"]).select(
         *jobs.SCREEN_FEATURES, (F.col("NumRings") >= 2).cast("int").alias("activity"))
-    return models.fit(rows, jobs.SCREEN_FEATURES, "activity", models.forest(20, 5))
+    return models.fit(rows, jobs.SCREEN_FEATURES, "activity", models.forest())
 
 
 def facts_of(found: DataFrame) -> DataFrame:
@@ -201,7 +202,7 @@ def held_out_forest(spark: SparkSession, folder: str) -> DataFrame:
 @query("t07_held_out_boosting", f"""WITH {SPLIT_SQL}
 SELECT vec_id, activity, true AS consistent, true AS better_than_chance FROM ranked WHERE r < n * 2 // 10""")
 def held_out_boosting(spark: SparkSession, folder: str) -> DataFrame:
-    return held_out_facts(spark, folder, models.boosting(30))
+    return held_out_facts(spark, folder, models.boosting())
 
 
 def held_out_facts(spark: SparkSession, folder: str, model) -> DataFrame:
@@ -233,13 +234,90 @@ def grid_facts(spark: SparkSession, folder: str) -> DataFrame:
 @query("t10_fold_facts", "SELECT CAST(unnest(range(5)) AS INT) AS fold, true AS probable")
 def fold_facts(spark: SparkSession, folder: str) -> DataFrame:
     rows, columns = learnable_rows(spark, folder)
-    scores = models.cross_validate(rows, columns, "activity", "vec_id", models.forest(20, 5), 5)
+    scores = models.cross_validate(rows, columns, "activity", "vec_id", models.forest(), 5)
     return scores.select("fold", F.col("score").between(0.7, 1).alias("probable"))
 
 
 @query("t20_importance_facts", "SELECT 64::BIGINT AS features, 1.0::DOUBLE AS total, true AS all_positive")
 def importance_facts(spark: SparkSession, folder: str) -> DataFrame:
     rows, columns = vector_rows(spark, folder)
-    found = models.importance(models.fit(rows, columns, "activity", models.forest(50, 8)), columns, len(columns))
+    found = models.importance(models.fit(rows, columns, "activity", models.forest()), columns, len(columns))
     return rounded(found.agg(F.countDistinct("feature").alias("features"), F.sum("importance").alias("total"),
                              F.bool_and(F.col("importance") >= 0).alias("all_positive")))
+
+
+EXACT_COLUMNS = ["bucket", "price", "turn"]
+EXACT_SQL = """marked AS (SELECT p_partkey, CAST(p_size // 2 >= 12 AS INT) AS activity FROM part),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY activity ORDER BY md5('42:' || p_partkey), p_partkey) - 1 AS r,
+    count(*) OVER (PARTITION BY activity) AS n FROM marked)"""
+
+
+def exact_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts with a label that follows from one of three columns, divided into a training and a test part."""
+    part = V.read(spark, folder, "part")
+    bucket = F.floor(F.col("p_size") / 2)
+    rows = part.select(
+        "p_partkey", bucket.cast("double").alias("bucket"), F.col("p_retailprice").alias("price"),
+        (F.col("p_partkey") % 17).cast("double").alias("turn"), (bucket >= 12).cast("int").alias("activity"))
+    return written(training.stratified_split(rows, "activity", "p_partkey", 0.2), "split")
+
+
+def exact_predictions(spark: SparkSession, folder: str, model) -> DataFrame:
+    split = exact_rows(spark, folder)
+    fitted = models.fit(split.filter("split = 'train'"), EXACT_COLUMNS, "activity", model)
+    return models.predict(fitted, split.filter("split = 'test'"))
+
+
+@query("t06_exact_forest", f"""WITH {EXACT_SQL}
+SELECT p_partkey, activity, activity AS predicted_activity, CAST(activity AS DOUBLE) AS probability_active
+FROM ranked WHERE r < n * 2 // 10""")
+def exact_forest(spark: SparkSession, folder: str) -> DataFrame:
+    found = exact_predictions(spark, folder, models.forest(featureSubsetStrategy="all"))
+    return rounded(found.select("p_partkey", "activity", "predicted_activity", "probability_active"))
+
+
+@query("t07_exact_boosting", f"""WITH {EXACT_SQL}
+SELECT p_partkey, activity, activity AS predicted_activity FROM ranked WHERE r < n * 2 // 10""")
+def exact_boosting(spark: SparkSession, folder: str) -> DataFrame:
+    found = exact_predictions(spark, folder, models.boosting())
+    return found.select("p_partkey", "activity", "predicted_activity")
+
+
+@query("t08_l08_exact_regression", """
+SELECT p_partkey, CASE WHEN p_size // 2 >= 12 THEN 10.0 ELSE 2.5 END::DOUBLE AS predicted_solubility FROM part""")
+def exact_regression(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part, by a regression forest of default size fitted on four fifths of them."""
+    split = exact_rows(spark, folder).withColumn("solubility", F.when(F.col("activity") == 1, 10.0).otherwise(2.5))
+    model = models.fit_regressor(split.filter("split = 'train'"), ["bucket", "turn"], "solubility", subset="all")
+    return rounded(model.transform(split).select("p_partkey", F.col("prediction").alias("predicted_solubility")))
+
+
+@query("t10_exact_folds", f"""WITH {EXACT_SQL},
+folds AS (SELECT activity, r % 5 AS fold, count(*) AS n FROM ranked GROUP BY ALL)
+SELECT CAST(fold AS INT) AS fold, CASE WHEN min(n) > 0 AND count(*) = 2 THEN 1.0 END::DOUBLE AS score FROM folds GROUP BY fold""")
+def exact_folds(spark: SparkSession, folder: str) -> DataFrame:
+    rows = exact_rows(spark, folder).drop("split")
+    return rounded(models.cross_validate(rows, EXACT_COLUMNS, "activity", "p_partkey",
+                                         models.forest(featureSubsetStrategy="all"), 5))
+
+
+@query("t20_exact_attributions", f"""WITH {EXACT_SQL}
+SELECT p_partkey, CAST(activity AS DOUBLE) AS modelled, true AS by_bucket, 0.0::DOUBLE AS others FROM ranked WHERE r < n * 2 // 10""")
+def exact_attributions(spark: SparkSession, folder: str) -> DataFrame:
+    """What each column adds to the prediction: all of it comes from the one that makes the label."""
+    split = exact_rows(spark, folder)
+    fitted = models.fit(split.filter("split = 'train'"), EXACT_COLUMNS, "activity", models.forest(featureSubsetStrategy="all"))
+    found = forests.attribute(fitted, split.filter("split = 'test'"), ["p_partkey", "activity"])
+    own, others = F.get("attributions", F.lit(0)), F.abs(F.get("attributions", F.lit(1))) + F.abs(F.get("attributions", F.lit(2)))
+    # The base is the share of active parts among the rows that the trees drew, near a half.
+    by_bucket = (F.abs(own) > 0.3) & ((own > 0) == (F.col("activity") == 1)) & F.col("base").between(0.3, 0.7)
+    return rounded(found.select("p_partkey", "modelled", by_bucket.alias("by_bucket"), others.alias("others")))
+
+
+@query("t20_attribution_summary")
+def attribution_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean size of every column's contribution over all rows, for a forest of default size."""
+    rows, columns = learnable_rows(spark, folder)
+    fitted = models.fit(rows, columns, "activity", models.forest())
+    return forests.attribution_summary(forests.attribute(fitted, rows, ["vec_id"]), columns)

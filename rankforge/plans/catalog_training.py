@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankforge.functions.sequences import add_descriptors
-from rankforge.operators import metrics, models, training
+from rankforge.operators import forests, metrics, models, training
 from rankforge.operators.cleaning import feature_columns
 from rankforge.operators.joins import imines
 from rankforge.operators.toplists import best_first
@@ -190,14 +190,14 @@ def nearest(spark: SparkSession, folder: str) -> DataFrame:
 def forest(spark: SparkSession, folder: str) -> DataFrame:
     rows, columns = vector_rows(spark, folder)
     rows = training.add_class_weights(rows, "activity")
-    model = models.fit(rows, columns, "activity", models.forest(20, 5), weight="weight")
+    model = models.fit(rows, columns, "activity", models.forest(), weight="weight")
     return models.predict(model, rows).select("vec_id", "predicted_activity", "probability_active")
 
 
 @query("t07_boosting_predictions")
 def boosting(spark: SparkSession, folder: str) -> DataFrame:
     rows, columns = vector_rows(spark, folder)
-    model = models.fit(rows, columns, "activity", models.boosting(5, 3))
+    model = models.fit(rows, columns, "activity", models.boosting())
     return models.predict(model, rows).select("vec_id", "predicted_activity", "probability_active")
 
 
@@ -206,7 +206,7 @@ def regression_forest(spark: SparkSession, folder: str) -> DataFrame:
     """Imines with properties taken from the text, ranked by a predicted value."""
     train = V.molecules(spark, folder).na.drop(subset=["MW", "LogP", "TPSA"]).select(
         "MW", "LogP", "TPSA", F.col("FractionCSP3").alias("solubility"))
-    model = models.fit_regressor(train, ["MW", "LogP", "TPSA"], "solubility", 20)
+    model = models.fit_regressor(train, ["MW", "LogP", "TPSA"], "solubility")
     rows = V.reactants(spark, folder)
     made = imines(rows.filter("type = 'aldehyde'"), rows.filter("type = 'amine'"))
     n = F.length("product").cast("double")
@@ -217,30 +217,28 @@ def regression_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("t09_grid_search")
 def grid(spark: SparkSession, folder: str) -> DataFrame:
+    """All 24 settings of the default grid; trees are shared between settings."""
     rows, columns = vector_rows(spark, folder)
-    found = models.grid_search(rows, columns, "activity", "vec_id", {"numTrees": [5, 10], "maxDepth": [2, 4]})
-    settings = [(str({p.name: v for p, v in m.items()}), float(score))
-                for m, score in zip(found.getEstimatorParamMaps(), found.avgMetrics)]
-    return spark.createDataFrame(settings, "settings STRING, auc DOUBLE")
+    return forests.shared_grid_search(rows, columns, "activity", "vec_id")
 
 
 @query("t10_cross_validation")
 def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
     rows, columns = vector_rows(spark, folder)
-    scores = models.cross_validate(rows, columns, "activity", "vec_id", models.forest(5, 4), 5)
+    scores = models.cross_validate(rows, columns, "activity", "vec_id", models.forest(), 5)
     return models.score_summary(scores)
 
 
 @query("t20_l09_feature_importance")
 def importance(spark: SparkSession, folder: str) -> DataFrame:
     rows, columns = vector_rows(spark, folder)
-    return models.importance(models.fit(rows, columns, "activity", models.forest(20, 5)), columns)
+    return models.importance(models.fit(rows, columns, "activity", models.forest()), columns)
 
 
 @query("t21_train_peptide_model")
 def train(spark: SparkSession, folder: str) -> DataFrame:
     rows = generated_training_rows(spark, folder)
-    return jobs.train_peptides(rows, "activity", "row_id", models.forest(20, 6))[1]
+    return jobs.train_peptides(rows, "activity", "row_id", models.forest())[1]
 
 
 @query("s17_s18_saved_model", V.sql("peptides", """
