@@ -5,16 +5,20 @@ least ``SHARED`` of a host's different pages are the host's template; what varie
 the one that holds most of the slots' text over all pages, an ``article`` or ``main`` where several do. A page's text is
 what stands in the content element (where the page or the host has none, in its ``article`` or ``main`` elements, else in
 the page), without template blocks and without elements whose tag, role or class says that they are menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or comments.
+footers, sidebars, notices, adverts, forms, scripts, styles or comments. A class or id that only contains such a word
+(``post-header``, ``related-work``) says little: inside the content the slots decide, and such an element goes only if its
+text repeats over pages or stands mostly in links; outside it goes.
 
 Pages are matched where they are read; what is shuffled are paths, hashes and sizes of their blocks, counted per task
-first. Copies, and near copies whose longest blocks agree, count as one page. Pivots and wrappers are a few kilobytes for
-each host; they are broadcast while their counted size stays below ``BROADCAST_BYTES``, beyond that they are joined, and
-a host of very many pages is dealt over several tasks.
+first. Copies, and near copies whose longest blocks agree, count as one page. Texts of one page are slots whatever their
+host, so they are summed before they meet by host; only texts of several pages are compared with the number of pages.
+Pivots and wrappers are a few kilobytes for each host; they are broadcast while their counted size stays below
+``BROADCAST_BYTES``, beyond that they are joined, and a host of very many pages or texts is dealt over several tasks.
 
 Defined results: null or empty html gives the empty text; a null url shares the empty host; a host with fewer than
 ``MIN_ALIGNED`` different pages, or whose pages share more text than varies, has no wrapper; broken markup is closed as
-browsers do; repeated rows get equal results; an empty table gives no rows; further columns are ignored.
+browsers do; repeated rows get equal results; a very long page is read whole, alone in its slice; an empty table gives no
+rows; further columns are ignored, and carried ones may have any name but ``text``, ``_host``, ``_html`` and ``_wrapper``.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from pyspark.sql import functions as F
 
 from rankforge.llm import common
 from rankforge.llm.urls import host_of
+from rankforge.operators.joins import beside as salted
 from rankforge.session import written
 
 #: Different pages that a wrapper needs, and the share of them that has a template block.
@@ -73,12 +78,18 @@ DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertisement
                           "masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe share "
                           "sharing social related comment comments respond disqus widget widgets pagination pager "
                           "login signup search skip toolbar".split())
+#: Words that say so as a part of a longer name too.
+FIRM_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored comment comments "
+                       "respond disqus cookie cookies consent gdpr newsletter subscribe login signup breadcrumb breadcrumbs "
+                       "pagination pager".split())
+#: Share of an element's text that stands in links from which on it is no part of an article.
+LINK_SHARE = 0.5
 ARTICLE_TAGS = ("article", "main")
 ITEMS = pa.list_(pa.struct([("path", pa.int64()), ("text", pa.int64()), ("size", pa.int64())]))
 
 
 class Element:
-    __slots__ = ("tag", "key", "items", "dropped", "main")
+    __slots__ = ("tag", "key", "items", "dropped", "doubtful", "main")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         names = {n.lower(): (a or b or c or "").lower() for n, a, b, c in ATTRIBUTE.findall(attributes)} \
@@ -86,12 +97,28 @@ class Element:
         self.tag = tag
         self.key = tag + "".join("." + w for w in sorted(names.get("class", "").split()))
         self.items: list[Element | str] = []
-        words = set(re.split(r"[\s_-]+", names.get("class", "") + " " + names.get("id", "")))
+        tokens = (names.get("class", "") + " " + names.get("id", "")).split()
+        words = {w for token in tokens for w in re.split("[_-]+", token)}
         self.main = tag in ARTICLE_TAGS or names.get("role") in ARTICLE_TAGS
-        self.dropped = (tag in DROPPED_TAGS or names.get("role") in DROPPED_ROLES or "hidden" in names
-                        or names.get("aria-hidden") == "true"
-                        or tag not in ("main", "body") and names.get("role") != "main"
-                        and not DROPPED_WORDS.isdisjoint(words))
+        told = tag not in ("main", "body") and names.get("role") != "main" and not DROPPED_WORDS.isdisjoint(words)
+        firm = told and not (DROPPED_WORDS.isdisjoint(tokens) and FIRM_WORDS.isdisjoint(words))
+        self.dropped = tag in DROPPED_TAGS or names.get("role") in DROPPED_ROLES or firm
+        self.doubtful = told and not firm
+
+
+def mostly_links(element: Element) -> bool:
+    """Whether at least ``LINK_SHARE`` of an element's characters, white space aside, stand in links."""
+    linked = total = 0
+    todo: list[tuple[Element | str, bool]] = [(element, False)]
+    while todo:
+        x, link = todo.pop()
+        if isinstance(x, str):
+            size = len("".join(x.split()))
+            total += size
+            linked += size * link
+        else:
+            todo += ((y, link or x.tag == "a") for y in x.items)
+    return total > 0 and linked >= LINK_SHARE * total
 
 
 def parse(html: str) -> Element:
@@ -188,11 +215,13 @@ def blocks(root: Element, content: int | None = None) -> list[Block]:
             flush(state)
             continue
         inside = state
-        if element.tag not in INLINE or element.dropped or element.main:
+        if not through(element):
             flush(state)
             todo.append(("out", None, state))
             path = path_below(state[0], element.key)
-            inside = (path, state[1] or element.dropped, state[2] or element.main, state[3] or path == content)
+            main, within = state[2] or element.main, state[3] or path == content
+            gone = element.dropped or element.doubtful and (not (main or within) or mostly_links(element))
+            inside = (path, state[1] or gone, main, within)
             state = inside
         todo += [("text" if isinstance(x, str) else "in", x, inside) for x in reversed(element.items)]
     flush(state)
@@ -201,7 +230,7 @@ def blocks(root: Element, content: int | None = None) -> list[Block]:
 
 def through(element: Element) -> bool:
     """Whether an element is part of the block around it."""
-    return element.tag in INLINE and not element.dropped and not element.main
+    return element.tag in INLINE and not element.dropped and not element.doubtful and not element.main
 
 
 def own_texts(element: Element) -> list[str]:
@@ -243,7 +272,7 @@ _NUMBERS = itertools.count()
 class Tree:
     """An element with its block children and path, ready for matching; trees of equal ``shape`` have equal keys."""
 
-    __slots__ = ("key", "path", "above", "depth", "texts", "kids", "dropped", "main", "shape", "size")
+    __slots__ = ("key", "path", "above", "depth", "texts", "kids", "dropped", "doubtful", "main", "shape", "size")
 
     def __init__(self, element: Element, above: Tree | None = None) -> None:
         self.key, self.above, self.main = element.key, above, element.main
@@ -251,6 +280,7 @@ class Tree:
         self.depth = above.depth + 1 if above else 0
         self.texts = own_texts(element)
         self.dropped = element.dropped or above is not None and above.dropped
+        self.doubtful = element.doubtful or above is not None and above.doubtful
         self.kids = [] if element.tag in RAW else [Tree(x, self) for x in children(element)]
         self.size = 1 + sum(k.size for k in self.kids)
         if len(_SHAPES) > KEPT_SHAPES:  # numbers are never used again, so trees of before stay right
@@ -344,7 +374,8 @@ def tree_of(html: str) -> Tree:
 def observed(pivot: Tree, page: Tree) -> tuple[int, list[tuple[int, int, int]]]:
     """What a page tells about its host: what it is known by, and ``(path, text hash, length)`` of its blocks.
 
-    Blocks that match none of the pivot count for the nearest element that does, with hash 0.
+    Blocks that match none of the pivot count for the nearest element that does, with hash 0. Blocks of doubtful elements
+    have length 0: they may be template, but do not tell where the content is.
     """
     matched = {id(y): x for x, y in matching(pivot, page)[1]}
     out: dict[tuple[int, int], int] = {}
@@ -358,8 +389,9 @@ def observed(pivot: Tree, page: Tree) -> tuple[int, list[tuple[int, int, int]]]:
         path = node.path if own else path
         for text in node.texts:
             texts.add(text)
-            key = (path, hashed(text) if own else 0)
-            out[key] = out.get(key, 0) + len(text)
+            if own or not node.doubtful:
+                key = (path, hashed(text) if own else 0)
+                out[key] = out.get(key, 0) + len(text) * (not node.doubtful)
         todo += ((k, path) for k in node.kids)
     longest = sorted(texts, key=lambda t: (-len(t), t))[:LONGEST]
     return hashed("\0".join(longest)), [(*key, size) for key, size in out.items()]
@@ -471,14 +503,21 @@ def wrappers(pages: DataFrame) -> DataFrame:
     seen = both.mapInArrow(observe, "_host string, page bigint, items array<struct<path:bigint,text:bigint,size:bigint>>")
     blocks_of = written(seen.select("_host", "page", F.explode_outer("items").alias("x")).select(
         "_host", "page", "x.*").groupBy("_host", "path", "text", "page").agg(F.max("size").alias("size")), "blocks")
-    different = blocks_of.select("_host", "page").distinct().groupBy("_host").agg(F.count("*").alias("n")).where(
-        F.col("n") >= MIN_ALIGNED)
     texts = blocks_of.where("path is not null").groupBy("_host", "path", "text").agg(
         F.count("*").alias("pages"), F.sum("size").alias("size"))
+    different = blocks_of.select("_host", "page").distinct().groupBy("_host").agg(F.count("*").alias("n")).where(
+        F.col("n") >= MIN_ALIGNED)
+    # A text of one page is no template of a host of several: no host is needed to know.
+    single = texts.where("pages < 2").groupBy("_host", "path").agg(F.sum("size").alias("size")).withColumn(
+        "text", F.lit(None).cast("bigint"))
+    shared = texts.where("pages >= 2")
+    asked = different.join(shared.groupBy("_host").agg(F.count("*").alias("_rows")), "_host")
     constant = (F.col("text") != 0) & (F.col("pages") >= SHARED * F.col("n"))
+    told = salted(shared, written(asked, "counts"), ["_host"], F.col("text")).where("n is not null").groupBy(
+        "_host", "path", F.when(constant, F.col("text")).alias("text")).agg(F.sum("size").alias("size"))
     # Of each path: at most 1 / SHARED as many texts as a page has there, and the length of all others.
-    slots = texts.join(different, "_host").groupBy("_host", "path", F.when(constant, F.col("text")).alias("text")).agg(
-        F.sum("size").alias("size"))
+    slots = told.unionByName(single.join(different.select("_host"), "_host", "left_semi")).groupBy(
+        "_host", "path", "text").agg(F.sum("size").alias("size"))
     facts = slots.groupBy("_host").agg(F.collect_list(F.struct("path", "text", "size")).alias("_facts"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

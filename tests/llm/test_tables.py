@@ -1,6 +1,7 @@
 """Operators over whole tables, each against a plain version."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rankforge.llm import decontaminate, pages, personal, pieces, quality, secrets, sharding, simhash, urls
+from rankforge.operators import joins
 from tests.llm import fixtures as X
 from tests.llm.test_texts import ITEMS, LEAKS, REPEATS, SECRETS, WORD, plain_leaks, plain_rules
 
@@ -415,3 +417,66 @@ def test_slots_choose_the_content_over_article_tags(spark):
         assert got[f"div{i}"] == f"Title {i} " + f"Body {i} text " * 19 + f"Body {i} text"
         assert got[f"tag{i}"] == f"Head {i} " + f"Long {i} text " * 8 + f"Long {i} text"
     assert got["one0"] == "Head 7 " + "Long 7 text " * 8 + "Long 7 text"
+
+
+def test_words_of_a_name_decide_nothing_inside_the_content(spark):
+    page = ("<body><div class='site-header'>Site {0}</div><div class=story><div class='post-header'><h1>Title {0}</h1></div><p>"
+            + "Body {0} text " * 20 + "</p><p class='related-work'>Earlier {0} work</p><div class='share-box'>Tell your friends</div>"
+            "<div class='related-posts'><a href=x>Other {0} post</a> <a>More {0}</a></div><div class='comment-list'>I like {0}</div>"
+            "<div hidden>Kept {0}</div></div></body>")
+    lone = ("<article><div class='article-header'><h1>Title</h1></div><p>First.</p><p class='related-work'>Work.</p>"
+            "<div class='search-results-study'>Study.</div><div class=related>Gone.</div><p>Last.</p></article>")
+    got = texts_of_pages(spark, {"many": [page.format(f"n{i}") for i in range(6)], "one": [lone]})
+    for i in range(6):
+        w = f"n{i}"
+        assert got[f"many{i}"] == f"Title {w} " + f"Body {w} text " * 20 + f"Earlier {w} work Kept {w}"
+    assert got["one0"] == "Title First. Work. Study. Last."
+
+
+def plain_texts(spark, hosts):
+    """Main texts by wrappers of all pages of a host, counted in plain Python."""
+    out = {}
+    for host, htmls in hosts.items():
+        marks = [r["h"] for r in spark.createDataFrame([(i, h) for i, h in enumerate(htmls)], "i INT, html STRING").select(
+            "i", F.xxhash64("html").alias("h")).orderBy("i").collect()]
+        different = sorted({(m, h) for m, h in zip(marks, htmls) if h})
+        wrapper = None
+        if len({m for m, _ in different}) > 1:
+            pivot = pages.tree_of(different[0][1])
+            seen = {}
+            for _, html in different:
+                name, items = pages.observed(pivot, pages.tree_of(html))
+                for path, text, size in items:
+                    key = (name, path, text)
+                    seen[key] = max(seen.get(key, 0), size)
+                seen.setdefault((name, None, None), 0)
+            n = len({k[0] for k in seen})
+            if n >= pages.MIN_ALIGNED:
+                count, total = Counter(k[1:] for k in seen if k[1] is not None), Counter()
+                for (_, path, text), size in seen.items():
+                    total[path, text] += size
+                same = sorted((p, t, total[p, t]) for (p, t), c in count.items() if t and c >= pages.SHARED * n)
+                varying = Counter()
+                for (p, t), c in count.items():
+                    if not (t and c >= pages.SHARED * n):
+                        varying[p] += total[p, t]
+                wrapper = pages.induce(pivot, same, dict(varying))
+                wrapper["template"] = {tuple(x) for x in wrapper["template"]}
+        out |= {f"{host}{i}": pages.main_text(h, wrapper) for i, h in enumerate(htmls)}
+    return out
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_texts_equal_wrappers_counted_in_python(spark, monkeypatch, limit):
+    monkeypatch.setattr(joins, "BESIDE_BYTES", limit)
+    monkeypatch.setattr(joins, "KEY_ROWS", 5)
+    rng = random.Random(4)
+    page = ("<body><div class=top>Welcome {3}</div><div class=body><h1>{0}</h1><p>{1}</p><div class='note-box'>{2}</div></div>"
+            "<div class='side-menu'><a>Go {3}</a></div><p>All rights</p></body>")
+    hosts = {}
+    for host in range(4):
+        fixed = [X.prose(rng, 4) for _ in range(3)]
+        hosts[f"h{host}x"] = [page.format(X.prose(rng, 5), X.prose(rng, rng.randint(1, 90)), rng.choice(fixed), fixed[0])
+                              for _ in range(rng.choice([2, 3, 25]))] + [""]
+    hosts["h0x"] += hosts["h0x"][:2] * 3 + [page.format("Long", X.prose(rng, 30000), "n", "m")]
+    assert texts_of_pages(spark, hosts) == plain_texts(spark, hosts)
