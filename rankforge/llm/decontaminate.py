@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from rankforge.llm import common
 from rankforge.llm.suffixes import suffix_ranks
@@ -210,9 +211,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> list[list[tuple[int | None, str]]]:
+def id_kind(items: DataFrame) -> str:
+    """The type that item ids are carried as: whole numbers as such, all others as text."""
+    return "bigint" if isinstance(items.schema["item_id"].dataType, IntegralType) else "string"
+
+
+def item_blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> list[list[tuple[int | str | None, str]]]:
     """The benchmark in blocks of a bounded number of bytes; each is read by the driver on its own."""
-    sized = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    sized = items.select(F.col("item_id").cast(id_kind(items)), F.coalesce("text", F.lit("")).alias("text"))
     total = sized.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(16)), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) * 2 // limit))
     if parts == 1:
@@ -228,12 +234,12 @@ def removal_spans(docs: DataFrame, items: DataFrame, carry: list[str], window: i
     With one block of phrases, one pass without a shuffle. Further blocks are further passes; their rows are joined by
     a row number that is stored with the first pass's input.
     """
-    blocks = item_blocks(items)
+    blocks, kind = item_blocks(items), id_kind(items)
     if len(blocks) == 1:
-        return _one_pass(docs, Phrases([(i, words_of(t)) for i, t in blocks[0]], window), carry, text)
+        return _one_pass(docs, Phrases([(i, words_of(t)) for i, t in blocks[0]], window), carry, text, kind)
     kept = written(docs.select(*dict.fromkeys([*carry, text])).withColumn("_row", F.monotonically_increasing_id()),
                    "texts")
-    passes = [_one_pass(kept, Phrases([(i, words_of(t)) for i, t in b], window), ["_row"], text) for b in blocks]
+    passes = [_one_pass(kept, Phrases([(i, words_of(t)) for i, t in b], window), ["_row"], text, kind) for b in blocks]
     both = reduce(DataFrame.unionByName, passes)
     hit = both.where(F.size("_spans") > 0).groupBy("_row").agg(
         F.flatten(F.collect_list("_spans")).alias("_spans"), F.flatten(F.collect_list("_items")).alias("_items"))
@@ -248,16 +254,17 @@ def removal_spans(docs: DataFrame, items: DataFrame, carry: list[str], window: i
     return kept.select("_row", *carry).join(words, "_row").join(hit, "_row", "left").select(
         *carry, "_n_words",
         F.coalesce(union, F.expr("cast(array() as array<struct<begin:int,end:int>>)")).alias("_spans"),
-        F.coalesce(F.array_distinct("_items"), F.expr("cast(array() as array<bigint>)")).alias("_items"))
+        F.coalesce(F.array_distinct("_items"), F.expr(f"cast(array() as array<{kind}>)")).alias("_items"))
 
 
 SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
 
-def _one_pass(docs: DataFrame, phrases: Phrases, carry: list[str], text: str) -> DataFrame:
+def _one_pass(docs: DataFrame, phrases: Phrases, carry: list[str], text: str, kind: str) -> DataFrame:
     given = docs.select(*dict.fromkeys([*carry, text]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*carry).schema.fields),
-                        "_n_words bigint, _spans array<struct<begin:int,end:int>>, _items array<bigint>"])
+                        f"_n_words bigint, _spans array<struct<begin:int,end:int>>, _items array<{kind}>"])
+    ids = pa.list_(pa.int64() if kind == "bigint" else pa.string())
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +279,7 @@ def _one_pass(docs: DataFrame, phrases: Phrases, carry: list[str], text: str) ->
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in carry), pa.array(count, pa.int64()),
                  pa.array([[{"begin": b, "end": e} for b, e in merged(s)] for s in spans], SPANS),
-                 pa.array([list({known.items[i] for i in s}) for s in items], pa.list_(pa.int64()))],
+                 pa.array([list({known.items[i] for i in s}) for s in items], ids)],
                 names=[*carry, "_n_words", "_spans", "_items"])
 
     return given.mapInArrow(run, schema)

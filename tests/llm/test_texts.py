@@ -106,6 +106,20 @@ def test_leaks_equal_plain_search(spark, monkeypatch, block):
     assert got == sorted(expected)
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 200])
+def test_leaks_of_items_with_text_ids_in_long_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (block,))
+    rng = random.Random(12)
+    items = [(f"q-{i}", X.prose(rng, 14)) for i in range(20)] + [(None, None), ("empty", "")]
+    long = X.prose(rng, 30000)
+    docs = [(0, long + " " + items[3][1] + " " + long + " " + items[7][1]), (1, items[3][1]), (2, "nothing here")]
+    found = decontaminate.removal_spans(spark.createDataFrame(docs, "doc_id INT, text STRING"),
+                                        spark.createDataFrame(items, "item_id STRING, text STRING"), ["doc_id"])
+    got = {r["doc_id"]: (sorted(r["_items"]), sum(s["end"] - s["begin"] for s in r["_spans"])) for r in found.collect()}
+    words = [len(decontaminate.words_of(items[i][1])) for i in (3, 7)]
+    assert got == {0: (["q-3", "q-7"], sum(words)), 1: (["q-3"], words[0]), 2: ([], 0)}
+
+
 def test_leak_query_and_cleaning(spark, tmp_path):
     rows, table = leak_table(spark)
     items = spark.createDataFrame(ITEMS[:4], "item_id BIGINT, text STRING")
