@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -86,14 +88,16 @@ def nearest_neighbours(rows: DataFrame, columns: list[str], key: str, k: int = 5
     Rows are assigned to the nearest of some pivot rows.  A row's k-th neighbour is no further than
     its distance to a pivot plus that pivot's own k-th member, and by the triangle inequality a cell
     further away than that, less its radius, holds no neighbour.  A row only meets the cells that
-    are left, in blocks of bounded size, and every size takes the same way.  The driver sees the
-    pivots and one row per cell, at most ``PIVOTS``.
+    are left, in blocks of bounded size, and every size takes the same way.  Rows of one block ask
+    together, and a block goes only to the parts that ask for it.  The driver sees the pivots and one
+    row per cell, at most ``PIVOTS`` or, if that is more, the square root of the number of rows.
     """
     kind = rows.schema[key].dataType.simpleString()
     plain = rows.select(F.col(key).alias("key"),
                         F.array(*[F.col(c).cast("double") for c in columns]).alias("point"))
     total = plain.count()
-    chosen = plain.orderBy(seeded_key("key", seed), "key").limit(min(PIVOTS, max(1, -(-total // block)))).collect()
+    most = max(PIVOTS, math.isqrt(total))
+    chosen = plain.orderBy(seeded_key("key", seed), "key").limit(min(most, max(1, -(-total // block)))).collect()
     if not chosen:
         return rows.sparkSession.createDataFrame(
             [], f"`{key}` {kind}, place INT, near {kind}, _point ARRAY<DOUBLE>")
@@ -123,8 +127,6 @@ def nearest_neighbours(rows: DataFrame, columns: list[str], key: str, k: int = 5
         blocks[c["cell"]] = -(-c["rows"] // block)
         if c["held"] > k:
             limit[c["cell"]] = c["reach"]
-    parts = max(1, -(-total // (10 * block)))
-
     def visits(batches):
         for batch in batches:
             if batch.num_rows:
@@ -133,17 +135,17 @@ def nearest_neighbours(rows: DataFrame, columns: list[str], key: str, k: int = 5
                 seen = [np.flatnonzero(row) for row in far - radius <= bound]
                 to = [[{"cell": int(c), "block": b} for c in cs for b in range(int(blocks[c]))] for cs in seen]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), batch.column("point"),
+                    [batch.column("part"), batch.column("key"), batch.column("point"),
                      pa.array(to, pa.list_(pa.struct([("cell", pa.int32()), ("block", pa.int64())])))],
-                    names=["key", "point", "to"])
+                    names=["part", "key", "point", "to"])
 
-    asking = placed.select("key", "point").mapInArrow(
-        visits, f"key {kind}, point array<double>, to array<struct<cell:int,block:bigint>>")
-    asking = asking.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).select(
-        F.inline("to"), "part", "key", "point")
     of_cell = F.get(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell"))
-    members = placed.select("cell", F.pmod(F.xxhash64("key", F.lit(seed)), of_cell).alias("block"), "key", "point",
-                            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), of_cell))
+    # Rows of one block of a cell ask together: they want much the same cells.
+    asking = written(dealt.select(F.concat_ws(":", "cell", "block").alias("part"), "key", "point").mapInArrow(
+        visits, f"part string, key {kind}, point array<double>, to array<struct<cell:int,block:bigint>>"), "asking")
+    members = asked_members(dealt.select("cell", "block", "key", "point"), asking)
+    asking = asking.select(F.inline("to"), "part", "key", "point")
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
         out = {"key": [], "far": [], "near": [], "point": []}
@@ -176,6 +178,13 @@ def nearest_neighbours(rows: DataFrame, columns: list[str], key: str, k: int = 5
         F.col("key").alias(key), "place", "near", F.col("point").alias("_point"))
 
 
+def asked_members(dealt: DataFrame, asking: DataFrame) -> DataFrame:
+    """The rows of every block once for each part that asks for it."""
+    wanted = asking.select("part", F.inline("to")).distinct()
+    members = dealt.join(wanted, ["cell", "block"])
+    return members.toDF(*members.columns)  # with columns of its own, since it meets the asking rows
+
+
 def oversample_minority(
     train: DataFrame, columns: list[str], label: str, key: str, k: int = 5, seed: int = SEED,
 ) -> DataFrame:

@@ -9,6 +9,8 @@ from rankforge.functions.structures import is_valid_structure
 from rankforge.operators import cleaning, metrics, toplists
 from rankforge.plans import standins as V
 from rankforge.plans.registry import query, rounded, rounded_sql
+from rankforge.session import scratch_path
+from rankforge.streaming import first_rows, scoring as stream
 
 
 @query("f01_c01_clean_sequence", V.sql("peptides", "SELECT pep_id, sequence FROM peptides"))
@@ -39,6 +41,20 @@ def keep_first(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.keep_first(rows, ["sequence"], ["pep_id"])
 
 
+@query("f05_w03_u04_first_rows_of_a_stream", V.sql("peptides", """
+SELECT sequence, pep_id, target FROM (
+  SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY pep_id) AS r FROM peptides) WHERE r = 1"""))
+def keep_first_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over files that arrive in two parts, the better rows of many keys in the second one, with a restart between."""
+    rows = V.peptides(spark, folder).select("sequence", "pep_id", "target")
+    source, target, progress = (scratch_path(spark, name) for name in ("arriving", "first", "progress"))
+    for part in (1, 0):
+        rows.filter(F.col("pep_id") % 2 == part).write.mode("append").parquet(source)
+        arriving = stream.stream_files(spark, source, rows.schema)
+        first_rows.keep_first_stream(arriving, ["sequence"], ["pep_id"], target, progress).awaitTermination()
+    return first_rows.first_rows(spark, target, ["sequence"], ["pep_id"])
+
+
 @query("f06_f07_drop_nulls", V.sql("molecules segments", """
 SELECT 'some' AS kind, mol_id AS id FROM molecules WHERE "LogP" IS NOT NULL AND "TPSA" IS NOT NULL
 UNION ALL SELECT 'any', pep_id FROM segments WHERE mic IS NOT NULL"""))

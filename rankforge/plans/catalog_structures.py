@@ -8,6 +8,7 @@ from rankforge.functions import structures as M
 from rankforge.operators import cleaning, joins
 from rankforge.plans import standins as V
 from rankforge.plans.registry import query, rounded, rounded_sql
+from rankforge.sources import sinks
 
 BASE = ["MW", "LogP", "TPSA", "NumHDonors", "NumHAcceptors", "NumRotatableBonds", "NumAromaticRings",
         "NumHeavyAtoms", "FractionCSP3", "NumRings", "BertzCT", "NumValenceElectrons"]
@@ -123,20 +124,34 @@ def scaffold(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("j06_merge_features", V.sql("molecules", f"""
+MERGED = V.sql("molecules", f"""
 WITH {TABLE_SQL},
 extra AS (
   SELECT smiles, any_value("MW") + 1 AS "MW", CASE WHEN max(brand) % 2 = 0 THEN min("TPSA") END AS "TPSA", max(brand) AS brand
   FROM (SELECT smiles, 100.0::DOUBLE AS "MW", "TPSA", brand FROM molecules) GROUP BY smiles HAVING max(brand) > 5)
 SELECT smiles, CASE WHEN e.brand IS NOT NULL THEN e."MW" ELSE d."MW" END AS "MW",
   CASE WHEN e.brand IS NOT NULL THEN e."TPSA" ELSE d."TPSA" END AS "TPSA", d."LogP", e.brand
-FROM (SELECT smiles, "MW", "LogP", "TPSA" FROM descriptors) d FULL JOIN extra e USING (smiles)"""))
+FROM (SELECT smiles, "MW", "LogP", "TPSA" FROM descriptors) d FULL JOIN extra e USING (smiles)""")
+
+
+@query("j06_merge_features", MERGED)
 def merge(spark: SparkSession, folder: str) -> DataFrame:
+    return joins.merge_features(*feature_tables(spark, folder), "smiles")
+
+
+@query("j06_m01_m12_bucketed_features", MERGED)
+def merge_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from stored tables in buckets of the structure, which are joined without a shuffle."""
+    left, right = (sinks.write_features(t, "smiles") for t in feature_tables(spark, folder))
+    return joins.merge_features(left, right, "smiles")
+
+
+def feature_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     left = descriptor_table(spark, folder).select("smiles", "MW", "LogP", "TPSA")
     right = V.molecules(spark, folder).groupBy("smiles").agg(
         F.lit(101.0).alias("MW"), F.when(F.max("brand") % 2 == 0, F.min("TPSA")).alias("TPSA"),
         F.max("brand").alias("brand"))
-    return joins.merge_features(left, right.filter("brand > 5"), "smiles")
+    return left, right.filter("brand > 5")
 
 
 def partner_sql() -> str:

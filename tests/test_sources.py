@@ -1,11 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rankforge.operators import models
+from rankforge.operators import cleaning, joins, models
 from rankforge.plans import jobs
 from rankforge.session import shared_folder
 from rankforge.sources import sinks, tables
-from rankforge.streaming import scoring as stream
+from rankforge.streaming import first_rows as first, scoring as stream
 
 
 def test_fasta(spark, tmp_path):
@@ -95,3 +95,36 @@ def test_no_temporary_folder_on_a_cluster():
         shared_folder(Session)
 
 
+
+
+def test_first_rows_of_a_stream_with_restarts(spark, tmp_path):
+    schema = "k STRING, o INT, x STRING"
+    where = [str(tmp_path / name) for name in ("in", "target", "progress")]
+    batches = [[("a", 5, "late"), ("b", 1, "b1"), (None, 2, "null"), ("a", 7, "worse")],
+               [("a", 3, "better"), ("b", 1, "a1"), ("c", 9, "new"), ("b", 4, "worse")], [], [("a", 4, "no"), (None, 1, "yes")]]
+    every = []
+    for batch in batches:
+        every += batch
+        if batch:
+            spark.createDataFrame(batch, schema).repartition(2).write.mode("append").parquet(where[0])
+        source = stream.stream_files(spark, where[0], schema)
+        first.keep_first_stream(source, ["k"], ["o"], *where[1:]).awaitTermination(120)
+        got = sorted(map(tuple, first.first_rows(spark, where[1], ["k"], ["o"]).collect()), key=str)
+        expected = cleaning.keep_first(spark.createDataFrame(every, schema), ["k"], ["o", "x"])
+        assert got == sorted(map(tuple, expected.collect()), key=str)
+    # Only keys whose best row changed were written again.
+    assert spark.read.parquet(where[1]).where("k = 'c'").count() == 1
+
+
+def test_bucketed_features_meet_without_a_shuffle(spark):
+    rows = [(f"s{i % 90}{'x' * (i % 7)}", float(i)) for i in range(300)]
+    table = spark.createDataFrame(rows, "smiles STRING, a DOUBLE").dropDuplicates(["smiles"])
+    left = sinks.write_features(table, "smiles", 4)
+    right = sinks.write_features(table.filter("a > 40").withColumnRenamed("a", "b"), "smiles", 4)
+    joined = left.hint("merge").join(right, "smiles", "full_outer")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    expected = table.join(table.filter("a > 40").withColumnRenamed("a", "b"), "smiles", "full_outer")
+    assert sorted(map(str, joined.collect())) == sorted(map(str, expected.collect()))
+    merged = joins.merge_features(left, right, "smiles")
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString() and merged.count() == expected.count()

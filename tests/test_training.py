@@ -292,3 +292,26 @@ def test_shared_grid_scores_every_setting(spark):
     assert [r["auc"] for r in found] == sorted((r["auc"] for r in found), reverse=True)
     best, least = found[0], found[-1]
     assert best["maxDepth"] == 4 and best["auc"] > 0.85 and least["maxDepth"] == 1 and least["auc"] < best["auc"]
+
+
+def test_blocks_go_only_to_parts_that_ask(spark, monkeypatch):
+    sent = {}
+    real = training.asked_members
+
+    def counted(dealt, asking):
+        out = real(dealt, asking)
+        sent["rows"] = out.count()
+        return out
+
+    monkeypatch.setattr(training, "asked_members", counted)
+    rng = np.random.default_rng(8)
+    for groups in (4, 16):
+        points = np.concatenate([rng.normal(50 * g, 1, (100, 2)) for g in range(groups)])
+        table = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "k INT, a DOUBLE, b DOUBLE")
+        found = training.nearest_neighbours(table, ["a", "b"], "k", 3, block=20).select("k", "place", "near").collect()
+        far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+        np.fill_diagonal(far, np.inf)
+        assert {(r["k"], r["place"], r["near"]) for r in found} == {
+            (i, place, int(j)) for i in range(len(points)) for place, j in enumerate(np.argsort(far[i], kind="stable")[:3])}
+        sent[groups] = sent["rows"]
+    assert sent[16] < 8 * sent[4]
