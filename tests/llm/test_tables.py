@@ -215,7 +215,11 @@ def plain_private(text):
 
 def test_private_data_equals_plain_patterns(spark, tmp_path):
     folder = X.as_folder(tmp_path, documents=X.clashing(spark, PRIVATE))
-    got = {r["doc_id"]: r for r in personal.query(spark, folder).collect() if r["doc_id"] is not None}
+    rows = personal.query(spark, folder).collect()
+    got = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
+    nulls = Counter(r["base_sha256"] for r in rows if r["doc_id"] is None)
+    assert nulls == Counter(hashlib.sha256(",".join(plain_private(t)).encode()).hexdigest()
+                            for i, t, *_ in X.rows(PRIVATE) if i is None)
     for i, text, *_ in X.rows(PRIVATE):
         if i is None:
             continue
@@ -236,6 +240,63 @@ def test_good_patterns_find_unseen_identifiers(spark):
     assert found.pop(7) == [("card", 17, 33)] and not any(found.values())
 
 
+def test_short_labels_and_separated_numbers_are_found(spark):
+    texts = [f"call phone +1 743 555 {1000 + 37 * i} today" for i in range(20)] + ["call phone (555) 123 4567 now"]
+    texts += [f"my ip {i}.1.2.{i} here" for i in range(1, 10)] + ["my ip 300.1.1.1"]
+    texts += [f"电话 +86 10 5555 {2000 + i}。" for i in range(8)] + ["电话 10 5555 1234"]
+    texts += [f"see x{i}@y{i}.example.org for help" for i in range(8)] + ["see a@münchen.de for help"]
+    texts += ["room 12 34 56 78 90 is free", "in 2020 2021 2022 2023 they"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")
+    found = {r["doc_id"]: [(k, texts[r["doc_id"]][a:b]) for k, a, b in r["_new"]]
+             for r in personal.find_personal(rows, ["doc_id"]).collect()}
+    assert {i: f for i, f in found.items() if f} == {
+        20: [("phone", "(555) 123 4567")], 30: [("ip", "300.1.1.1")], 39: [("phone", "10 5555 1234")],
+        48: [("email", "a@münchen.de")]}
+
+
+def plain_scores(edges):
+    """Both scores of the graph, round by round, in plain Python."""
+    total = Counter(w for w, *_ in edges)
+    score = {}
+    for _, kind, x, seed in edges:
+        score[x, kind] = max(score.get((x, kind), 0.0), float(seed))
+    for _ in range(personal.ROUNDS):
+        known, good = Counter(), {}
+        for w, kind, x, _ in edges:
+            known[w, kind] += score[x, kind]
+        for (w, kind), n in known.items():
+            if n >= personal.MIN_SUPPORT and n / total[w] >= personal.MIN_CONFIDENCE:
+                good[w, kind] = n / total[w]
+        missed, seeds = {}, set()
+        for w, kind, x, seed in edges:
+            missed[x, kind] = missed.get((x, kind), 1.0) * (1 - min(good.get((w, kind), 0.0), 0.99))
+            if seed:
+                seeds.add((x, kind))
+        score = {k: 1.0 if k in seeds else 1 - m for k, m in missed.items()}
+    return set(good), {k for k, v in score.items() if v >= personal.MIN_SCORE - 1e-12}
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_graph_scores_equal_plain_rounds(spark, monkeypatch, limit):
+    monkeypatch.setattr(joins, "BESIDE_BYTES", limit)
+    monkeypatch.setattr(joins, "KEY_ROWS", 4)
+    rng = random.Random(3)
+    edges = {}
+    for _ in range(900):
+        x = rng.randrange(90)
+        kind = "card" if x % 3 else "phone"
+        word = rng.choice(["<a", "<b", ">c", "<d e"]) if rng.random() < 0.5 else f"<w{rng.randrange(40)}"
+        if word == "<a" and x % 3 == 0:
+            continue
+        edges[word, kind, f"x{x}"] = x % 8 != 0
+    table = spark.createDataFrame([(*k, v) for k, v in edges.items()],
+                                  "word STRING, kind STRING, instance STRING, seed BOOLEAN")
+    patterns, instances = personal.pattern_scores(table)
+    expected = plain_scores([(*k, v) for k, v in edges.items()])
+    assert ({tuple(r) for r in patterns.collect()}, {tuple(r) for r in instances.collect()}) == expected
+    assert len(expected[0]) > 3
+
+
 def test_running_totals_in_blocks(spark):
     row = spark.range(1).select(F.sequence(F.lit(1), F.lit(1000)).cast("array<bigint>").alias("x"))
     got = row.select(personal.running_totals(F.col("x")).alias("t")).first()["t"]
