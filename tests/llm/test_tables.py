@@ -541,3 +541,66 @@ def test_texts_equal_wrappers_counted_in_python(spark, monkeypatch, limit):
                               for _ in range(rng.choice([2, 3, 25]))] + [""]
     hosts["h0x"] += hosts["h0x"][:2] * 3 + [page.format("Long", X.prose(rng, 30000), "n", "m")]
     assert texts_of_pages(spark, hosts) == plain_texts(spark, hosts)
+
+
+def test_class_counts_equal_plain_counts(spark):
+    texts = [(i, t, i % 2) for i, t in enumerate([r[1] for r in X.rows() if r[1] is None or len(r[1]) < 5000])]
+    table = spark.createDataFrame(texts, "doc_id INT, text STRING, label INT").repartition(4)
+    rows = quality.with_indicators(table, ["doc_id", "label"])
+    total, counts = quality.class_counts(rows)
+    plain = [Counter(), Counter()]
+    for row in rows.collect():
+        plain[row["label"]].update(quality.unpacked(row["_set"]).tolist())
+    assert total.tolist() == [sum(x[2] == c for x in texts) for c in (0, 1)]
+    assert all(plain[c] == {int(i): int(counts[c, i]) for i in np.flatnonzero(counts[c])} for c in (0, 1))
+    ratios = quality.log_count_ratios(counts)
+    smooth = [[plain[c][i] + quality.SMOOTHING for i in range(quality.BUCKETS)] for c in (0, 1)]
+    for i in (0, 1, *list(plain[1])[:20]):
+        assert ratios[i] == pytest.approx(np.log(smooth[1][i] / sum(smooth[1])) - np.log(smooth[0][i] / sum(smooth[0])))
+
+
+def test_dual_descent_reaches_the_least_loss():
+    """Weights against many plain steps over dense rows until nothing moves."""
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.choice(30, rng.integers(2, 9), replace=False)) for _ in range(40)]
+    values = [rng.normal(0, 1, len(s)) for s in sets]
+    signs, cost = rng.choice([-1.0, 1.0], 40), rng.uniform(0.1, 1.0, 40)
+    x = np.zeros((40, 31))
+    for i, (s, v) in enumerate(zip(sets, values)):
+        x[i, s], x[i, 30] = v, 1.0
+    alpha = np.zeros(40)
+    for _ in range(3000):
+        for i in range(40):
+            w = (alpha * signs) @ x
+            alpha[i] = min(max(alpha[i] - (signs[i] * (x[i] @ w) - 1) / (x[i] @ x[i]), 0.0), cost[i])
+    loss = lambda w: 0.5 * w @ w + cost @ np.maximum(0, 1 - signs * (x @ w))
+    least = loss((alpha * signs) @ x)
+    found = quality.hinge_by_dual_descent(sets, values, signs, cost)
+    found = loss(np.append(found[:30], found[-1]))
+    assert least <= found + 1e-9 and found <= least * 1.01 + 1e-6
+
+
+def test_segments_against_all_segments():
+    """Every found part reaches the ratio; where any part reaches it by character, one that meets it is found."""
+    rng = random.Random(10)
+    ratios = secrets.ratio_table([{"random": 0, "pair": int(p), "n": int(n)} for p, n in enumerate(
+        secrets.value_pairs([w.encode() for w in X.WORDS * 400])) if n])
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = 0
+    for _ in range(300):
+        parts = ["_".join(rng.choices(X.WORDS, k=rng.randint(1, 5))) if rng.random() < 0.6
+                 else "".join(rng.choices(letters, k=rng.randint(22, 40))) for _ in range(rng.randint(1, 3))]
+        raw = np.frombuffer("_".join(parts).encode(), np.uint8)
+        codes = secrets.CODE[raw]
+        each = ratios[np.concatenate([[0], codes[:-1]]), codes]
+        total = np.concatenate([[0.0], np.cumsum(each)])
+        least = max(secrets.MIN_RATIO, secrets.MIN_RATIO_PER_CHAR * secrets.MIN_LENGTH)
+        found = secrets.unlikely_parts(raw, codes, ratios)
+        assert all(total[b] - total[a] >= least - 1e-9 and secrets.mixed(raw[a:b]) for a, b in found)
+        assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+        best = max(((total[b] - total[a] - secrets.MIN_RATIO_PER_CHAR * (b - a), a, b) for a in range(len(raw))
+                    for b in range(a + secrets.MIN_LENGTH, len(raw) + 1) if secrets.mixed(raw[a:b])), default=(-1, 0, 0))
+        if best[0] >= 0:
+            some += 1
+            assert any(a < best[2] and b > best[1] for a, b in found), bytes(raw)
+    assert some > 60
