@@ -2,6 +2,12 @@
 
 Every stage is ``(spark, docs, sf_dir) -> DataFrame``; all but the last return the columns of ``documents``. ``run``
 writes each stage's rows to the shared folder and reads them again, so that a lost executor costs no earlier stage.
+
+Defined results: a null or empty text fails the quality rules, so later stages get none from :func:`run`; taken alone they
+keep such rows (near-dedup one of them). A null id is kept last among near-duplicates and stays null. Equal rows are
+near-duplicates, of which one stays. Very long texts are worked on whole. An empty table gives no rows after every stage, and
+an empty benchmark cuts nothing. Further columns go through all stages but the last, whatever their names; ``n_chars``
+follows the text where the table has it.
 """
 
 from __future__ import annotations
