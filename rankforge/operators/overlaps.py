@@ -84,17 +84,14 @@ class TopHits:
     """The best hits of each query over all rows met so far, ties in key order; ``threshold`` may be one for each query."""
 
     def __init__(self, queries: int, k: int, threshold: float | np.ndarray = -np.inf) -> None:
-        self.k, self.threshold = k, np.broadcast_to(threshold, queries)
+        self.k = k
+        #: What a similarity must reach to matter, for each query.
+        self.bars = np.array(np.broadcast_to(threshold, queries), float)
         self.best: list[list[tuple]] = [[] for _ in range(queries)]
 
-    def bar(self, query: int) -> float:
-        """What a similarity must reach to matter."""
-        best = self.best[query]
-        return max(self.threshold[query], best[-1][0]) if len(best) == self.k else self.threshold[query]
-
     def add(self, query: int, found: np.ndarray, keys: pa.Array, rank: np.ndarray, places: np.ndarray) -> None:
         """Hits of one query: similarities, and the places of their rows; ``rank`` is the place of each key in order."""
-        good = np.flatnonzero(found >= self.bar(query))
+        good = np.flatnonzero(found >= self.bars[query])
         if not len(good):
             return
         if len(good) > self.k:
@@ -102,7 +99,10 @@ class TopHits:
             good = good[found[good] >= least]
             good = good[np.lexsort((rank[places[good]], -found[good]))[:self.k]]
         new = [(float(s), key) for s, key in zip(found[good], keys.take(pa.array(places[good])).to_pylist())]
-        self.best[query] = sorted(self.best[query] + new, key=lambda h: (-h[0], h[1] is None, h[1]))[:self.k]
+        best = sorted(self.best[query] + new, key=lambda h: (-h[0], h[1] is None, h[1]))[:self.k]
+        self.best[query] = best
+        if len(best) == self.k:
+            self.bars[query] = max(self.bars[query], best[-1][0])
 
 
 def key_rank(keys: pa.Array) -> np.ndarray:
@@ -134,7 +134,7 @@ def bounded_search(words: np.ndarray, sizes: np.ndarray, keys: pa.Array, asked:
     for step in range(len(classes)):
         here = turn[open_queries, step]
         allowed = bound[open_queries, here]
-        bars = np.array([hits.bar(q) for q in open_queries])
+        bars = hits.bars[open_queries]
         # A class may hold nothing better than the threshold or the k-th hit; later classes allow less.
         going = (allowed >= bars) & (allowed > 0)
         open_queries, here = open_queries[going], here[going]
@@ -145,8 +145,8 @@ def bounded_search(words: np.ndarray, sizes: np.ndarray, keys: pa.Array, asked:
             for a in range(*classes[c], 8 * STRIP):
                 part = slice(a, min(a + 8 * STRIP, classes[c][1]))
                 found = tanimoto_matrix(bits_of(rows.words[part]) @ right, rows.sizes[part], asked_n[some])
-                for column, query in enumerate(some):
-                    hits.add(query, found[:, column], keys, rank, rows.order[part])
+                for column in np.flatnonzero(found.max(axis=0, initial=-np.inf) >= hits.bars[some]):
+                    hits.add(some[column], found[:, column], keys, rank, rows.order[part])
         if not len(open_queries):
             break
     return visited

@@ -119,15 +119,14 @@ def add_block(hits: overlaps.TopHits, rows: np.ndarray, keys: pa.Array, asked: n
     for at in range(0, len(rows), BLOCK):
         part = slice(at, at + BLOCK)
         rough = (rows[part] @ asked[numbers].T) / own[part, None] / norms[numbers][None, :]
-        for column, query in enumerate(numbers):
-            values = rough[:, column]
-            bar = hits.bar(query)
+        for column in np.flatnonzero(rough.max(axis=0) >= hits.bars[numbers] - SLACK):
+            query, values = numbers[column], rough[:, column]
+            bar = hits.bars[query]
             if len(values) > hits.k:
                 bar = max(bar, np.partition(values, -hits.k)[-hits.k])
             places = at + np.flatnonzero(values >= bar - SLACK)
-            if len(places):
-                exact = (rows[places] * asked[query]).sum(axis=1) / (own[places] * norms[query])
-                hits.add(query, exact, keys, rank, places)
+            exact = (rows[places] * asked[query]).sum(axis=1) / (own[places] * norms[query])
+            hits.add(query, exact, keys, rank, places)
 
 
 def cosine_hits(rows: DataFrame, key: str, vector: str, part: pa.Table, top_k: int, cell_queries: dict[int, np.ndarray] | None = None,
