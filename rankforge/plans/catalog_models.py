@@ -302,6 +302,17 @@ def exact_folds(spark: SparkSession, folder: str) -> DataFrame:
                                          models.forest(featureSubsetStrategy="all"), 5))
 
 
+@query("t09_exact_grid", """
+WITH parts AS (SELECT CASE WHEN count(DISTINCT p_size // 2 >= 12) = 2 THEN 1.0 END::DOUBLE AS auc FROM part)
+SELECT CAST(n AS INT) AS "numTrees", CAST(d AS INT) AS "maxDepth", CAST(l AS INT) AS "minInstancesPerNode",
+  CAST(g AS DOUBLE) AS "minInfoGain", auc
+FROM parts, (VALUES (100), (200)) a(n), (VALUES (5), (10), (20)) b(d), (VALUES (1), (2)) c(l), (VALUES (0.0), (0.0001)) e(g)""")
+def exact_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """All 24 settings of the default grid, in three folds, where every forest can find the label."""
+    rows = exact_rows(spark, folder).drop("split")
+    return rounded(forests.shared_grid_search(rows, EXACT_COLUMNS, "activity", "p_partkey", subset="all"))
+
+
 @query("t20_exact_attributions", f"""WITH {EXACT_SQL}
 SELECT p_partkey, CAST(activity AS DOUBLE) AS modelled, true AS by_bucket, 0.0::DOUBLE AS others FROM ranked WHERE r < n * 2 // 10""")
 def exact_attributions(spark: SparkSession, folder: str) -> DataFrame:

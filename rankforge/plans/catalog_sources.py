@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankforge import config as C
@@ -198,3 +200,21 @@ def prediction_sinks(spark: SparkSession, folder: str) -> DataFrame:
     settings = spark.read.schema("run_id STRING, settings STRING").json(config)
     # One settings row.
     return predictions.unionByName(results).join(F.broadcast(settings), "run_id")
+
+
+@query("c19_s14_own_run_id", V.sql("molecules", """
+SELECT smiles, probability_active, 'polyphenol' AS category, true AS stamped, 2::BIGINT AS runs FROM molecules, range(2)"""))
+def own_run_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs that take their ids from the session clock; the second one is appended beside the first."""
+    base = scratch_path(spark, "results")
+    rows = V.molecules(spark, folder).select("smiles", "probability_active")
+    first = sinks.save_predictions(rows, base, "polyphenol")
+    second = first
+    while second == first:  # ids have whole seconds
+        time.sleep(0.1)
+        second = sinks.run_stamp(spark)
+    sinks.save_predictions(rows, base, "polyphenol", second)
+    saved = spark.read.schema("smiles STRING, probability_active DOUBLE, category STRING, run_id STRING").parquet(base)
+    runs = saved.select(F.countDistinct("run_id")).scalar()
+    return saved.select("smiles", "probability_active", "category", F.col("run_id").rlike("^20[0-9]{6}_[0-9]{6}$").alias("stamped"),
+                        runs.alias("runs"))
