@@ -8,9 +8,9 @@ is run again leaves no second copy. Chunks end inside every ``WARC/1.`` of a pay
 
 Reading. The separator of lines is the end of a record with the start of the next one, so files are read as streams,
 compressed or not, and no file is held in memory. In each file records are cut by their declared lengths, so a payload may
-hold the separator, and one that the reader misses between two of its buffers costs no record. Continuation records are grouped by the identifier
-of their origin, ordered by segment number, and checked: numbers 1, 2, ... to the one that declares the total length, and
-that length. Then the chunked framing is decoded. A record that fails a check has a ``problem`` and no payload.
+hold the separator, and one that the reader misses between two of its buffers costs no record. Continuation records are
+grouped by the identifier of their origin, ordered by segment number, and checked: numbers 1, 2, ... to the one that
+declares the total length, and that length. Then the chunked framing is decoded. A record that fails a check has a ``problem`` and no payload.
 
 Defined results: a null payload is empty; a null id is smaller than all others and stays null; rows that share the
 largest id of their payload are all responses, and revisits name that id; an equal row that is written twice is read
