@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankforge.operators import overlaps
 from rankforge.operators.joins import beside
-from rankforge.operators.similarity import FINGERPRINT, WORD_COLUMNS, size_class, size_edges
+from rankforge.operators.similarity import FINGERPRINT, WORD_COLUMNS, size_class
 from rankforge.operators.toplists import top_rows
 from rankforge.session import scratch_path, written
 

@@ -38,8 +38,8 @@ def shuffled_rank(df: DataFrame, group: str, key: str, seed: int = SEED, digits:
 def running_totals(df: DataFrame, value: str, totals: list[str], previous: tuple[str, ...] = ()) -> DataFrame:
     """``below_<c>``: the sum of each total over all rows with a smaller value.
 
-    ``previous_<c>`` is the value of a column in the row before, null in the first one; the last row of
-    each range is handed over to the next range.  ``df`` has one row per distinct value.  It is dealt into ranges of the value and stored with the
+    ``previous_<c>`` is the value of a column in the row before, null in the first one; the last row
+    of each range is handed over to the next range.  ``df`` has one row per distinct value.  It is dealt into ranges of the value and stored with the
     range number, as many ranges as shuffles have partitions; sums per range give each range's
     start, and windows run inside the ranges only.
     """

@@ -129,8 +129,8 @@ def add_block(hits: overlaps.TopHits, rows: np.ndarray, keys: pa.Array, asked: n
             hits.add(query, exact, keys, rank, places)
 
 
-def cosine_hits(rows: DataFrame, key: str, vector: str, part: pa.Table, top_k: int, cell_queries: dict[int, np.ndarray] | None = None,
-                bars: np.ndarray | None = None) -> DataFrame:
+def cosine_hits(rows: DataFrame, key: str, vector: str, part: pa.Table, top_k: int,
+                cell_queries: dict[int, np.ndarray] | None = None, bars: np.ndarray | None = None) -> DataFrame:
     """Each task's best rows for the queries of ``part``; only for those of its cell where ``cell_queries`` says which."""
     asked, places = matrix(part.column("query_vector"))
     names = overlaps.whole(part.column("query")).take(pa.array(places))

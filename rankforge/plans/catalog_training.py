@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankforge.functions.sequences import add_descriptors
+from rankforge.functions.text import add_all
 from rankforge.operators import forests, metrics, models, training
 from rankforge.operators.cleaning import feature_columns
 from rankforge.operators.joins import imines
@@ -186,6 +187,31 @@ def nearest(spark: SparkSession, folder: str) -> DataFrame:
     return training.nearest_neighbours(rows.filter("activity = 1"), columns, "vec_id", block=100).drop("_point")
 
 
+@query("t04_synthetic_rows", rounded_sql("""
+WITH small AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label < 3),
+sizes AS (SELECT count(*) FILTER (WHERE label < 3) AS n, count(*) FILTER (WHERE label >= 3) AS others FROM embeddings),
+near AS (
+  SELECT a.vec_id, b.v AS near, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) - 1 AS place
+  FROM small a JOIN small b ON a.vec_id <> b.vec_id QUALIFY place < 5),
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1 AS r FROM small),
+copies AS (
+  SELECT vec_id, v, n, unnest(range(1, 1 + (others - n) // n + CASE WHEN r < (others - n) % n THEN 1 ELSE 0 END)) AS c
+  FROM ranked, sizes),
+drawn AS (
+  SELECT vec_id, v, CAST(floor(('0x' || substr(md5('42:' || vec_id || ':' || c || ':pick'), 1, 8))::BIGINT / 4294967296.0::DOUBLE
+      * least(5, n - 1)) AS BIGINT) AS place,
+    ('0x' || substr(md5('42:' || vec_id || ':' || c || ':at'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS way FROM copies),
+made AS (
+  SELECT list_transform(range(1, 65), lambda i: v[i] + way * (near[i] - v[i])) AS v FROM drawn JOIN near USING (vec_id, place)),
+every AS (SELECT v, 1 AS activity FROM made UNION ALL SELECT CAST(embedding AS DOUBLE[]), CAST(label < 3 AS INT) FROM embeddings)
+SELECT activity, v[1] AS v0, v[64] AS v63, list_sum(v) AS total FROM every""", "v0 v63 total", 6))
+def synthetic(spark: SparkSession, folder: str) -> DataFrame:
+    """The balanced rows themselves: first and last column, and the sum of all."""
+    rows, columns = vector_rows(spark, folder)
+    balanced = training.oversample_minority(rows, columns, "activity", "vec_id")
+    return rounded(balanced.select("activity", "v0", "v63", add_all([F.col(c) for c in columns]).alias("total")), 6)
+
+
 @query("t06_t11_forest_predictions")
 def forest(spark: SparkSession, folder: str) -> DataFrame:
     rows, columns = vector_rows(spark, folder)
