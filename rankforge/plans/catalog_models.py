@@ -247,7 +247,7 @@ def importance_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 EXACT_COLUMNS = ["bucket", "price", "turn"]
-EXACT_SQL = """marked AS (SELECT p_partkey, CAST(p_size // 2 >= 12 AS INT) AS activity FROM part),
+EXACT_SQL = """marked AS (SELECT p_partkey, CAST(p_size // 10 >= 3 AS INT) AS activity FROM part),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY activity ORDER BY md5('42:' || p_partkey), p_partkey) - 1 AS r,
     count(*) OVER (PARTITION BY activity) AS n FROM marked)"""
@@ -256,10 +256,10 @@ ranked AS (
 def exact_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Parts with a label that follows from one of three columns, divided into a training and a test part."""
     part = V.read(spark, folder, "part")
-    bucket = F.floor(F.col("p_size") / 2)
+    bucket = F.floor(F.col("p_size") / 10)
     rows = part.select(
         "p_partkey", bucket.cast("double").alias("bucket"), F.col("p_retailprice").alias("price"),
-        (F.col("p_partkey") % 17).cast("double").alias("turn"), (bucket >= 12).cast("int").alias("activity"))
+        (F.col("p_partkey") % 17).cast("double").alias("turn"), (bucket >= 3).cast("int").alias("activity"))
     return written(training.stratified_split(rows, "activity", "p_partkey", 0.2), "split")
 
 
@@ -285,7 +285,7 @@ def exact_boosting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("t08_l08_exact_regression", """
-SELECT p_partkey, CASE WHEN p_size // 2 >= 12 THEN 10.0 ELSE 2.5 END::DOUBLE AS predicted_solubility FROM part""")
+SELECT p_partkey, CASE WHEN p_size // 10 >= 3 THEN 10.0 ELSE 2.5 END::DOUBLE AS predicted_solubility FROM part""")
 def exact_regression(spark: SparkSession, folder: str) -> DataFrame:
     """Every part, by a regression forest of default size fitted on four fifths of them."""
     split = exact_rows(spark, folder).withColumn("solubility", F.when(F.col("activity") == 1, 10.0).otherwise(2.5))
@@ -303,7 +303,7 @@ def exact_folds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("t09_exact_grid", """
-WITH parts AS (SELECT CASE WHEN count(DISTINCT p_size // 2 >= 12) = 2 THEN 1.0 END::DOUBLE AS auc FROM part)
+WITH parts AS (SELECT CASE WHEN count(DISTINCT p_size // 10 >= 3) = 2 THEN 1.0 END::DOUBLE AS auc FROM part)
 SELECT CAST(n AS INT) AS "numTrees", CAST(d AS INT) AS "maxDepth", CAST(l AS INT) AS "minInstancesPerNode",
   CAST(g AS DOUBLE) AS "minInfoGain", auc
 FROM parts, (VALUES (100), (200)) a(n), (VALUES (5), (10), (20)) b(d), (VALUES (1), (2)) c(l), (VALUES (0.0), (0.0001)) e(g)""")
@@ -322,7 +322,7 @@ def exact_attributions(spark: SparkSession, folder: str) -> DataFrame:
     found = forests.attribute(fitted, split.filter("split = 'test'"), ["p_partkey", "activity"])
     own, others = F.get("attributions", F.lit(0)), F.abs(F.get("attributions", F.lit(1))) + F.abs(F.get("attributions", F.lit(2)))
     # The base is the share of active parts among the rows that the trees drew, near a half.
-    by_bucket = (F.abs(own) > 0.3) & ((own > 0) == (F.col("activity") == 1)) & F.col("base").between(0.3, 0.7)
+    by_bucket = (F.abs(own) > 0.25) & ((own > 0) == (F.col("activity") == 1)) & F.col("base").between(0.25, 0.75)
     return rounded(found.select("p_partkey", "modelled", by_bucket.alias("by_bucket"), others.alias("others")))
 
 
