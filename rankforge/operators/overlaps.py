@@ -26,6 +26,14 @@ def passes_of(queries: DataFrame, key: str) -> Iterator[pa.Table]:
         yield queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i).toArrow()
 
 
+def with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a fingerprint."""
+    for batch in batches:
+        there = batch.filter(pc.is_valid(batch.column("n")))
+        if there.num_rows:
+            yield there
+
+
 def words_of(table: pa.RecordBatch | pa.Table, columns: list[str]) -> np.ndarray:
     """Packed bits, a row for a row."""
     return np.stack([np.asarray(table.column(c).to_numpy()) for c in columns], axis=1).view(np.uint64)

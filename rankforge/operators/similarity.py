@@ -63,7 +63,8 @@ def size_class(n: Column, threshold: float) -> Column:
 
 def searched(database: DataFrame, queries: DataFrame, key: str) -> tuple[DataFrame, DataFrame, str]:
     """Both sides with a fingerprint only, and the schema of their hits."""
-    rows = database.filter("n IS NOT NULL").select(key, *FINGERPRINT)
+    # Rows without a fingerprint are left out by the tasks: a filter would make all words a second time.
+    rows = database.select(key, *FINGERPRINT)
     asked = queries.filter("n IS NOT NULL").select("query", "query_pos", *FINGERPRINT)
     names = [*asked.select("query", "query_pos").schema.fields, *rows.select(key).schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
@@ -89,7 +90,7 @@ def find_similar(
         right = overlaps.Sized(overlaps.words_of(part, WORD_COLUMNS), part.column("n").to_numpy())
 
         def run(batches):
-            for batch in batches:
+            for batch in overlaps.with_bits(batches):
                 left = overlaps.Sized(overlaps.words_of(batch, WORD_COLUMNS), batch.column("n").to_numpy())
                 for x, y, found in overlaps.near(left, right, threshold):
                     yield pa.RecordBatch.from_arrays(
@@ -118,7 +119,7 @@ def top_similar(
 
         def run(batches):
             hits, kind = overlaps.TopHits(len(sizes), top_k, threshold), None
-            for batch in batches:
+            for batch in overlaps.with_bits(batches):
                 kind = batch.column(key).type
                 overlaps.bounded_search(overlaps.words_of(batch, WORD_COLUMNS), batch.column("n").to_numpy(),
                                         batch.column(key), words, sizes, hits, edges)
