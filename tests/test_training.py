@@ -1,9 +1,13 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from rankforge.operators import forests, metrics, models, training
@@ -315,3 +319,65 @@ def test_blocks_go_only_to_parts_that_ask(spark, monkeypatch):
             (i, place, int(j)) for i in range(len(points)) for place, j in enumerate(np.argsort(far[i], kind="stable")[:3])}
         sent[groups] = sent["rows"]
     assert sent[16] < 8 * sent[4]
+
+
+def test_forest_grown_in_groups_is_one_forest(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(models, "GROUPED_ROWS", 100)
+    monkeypatch.setattr(models, "GROUP_TREES", 4)
+    tasks = []
+    real = RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: (tasks.append(df.rdd.getNumPartitions()), real(self, df))[1])
+    x, table = tree_rows(spark, 400)
+    table = training.add_class_weights(table, "y")
+    fitted = models.fit(table, COLUMNS, "y", models.forest(10, 6), weight="weight")
+    grown = fitted.stages[-1]
+    assert table.rdd.getNumPartitions() > 1 and tasks == [1, 1, 1]
+    assert (grown.getNumTrees, grown.getOrDefault("numTrees"), grown.numFeatures, grown.numClasses) == (10, 10, 4, 2)
+    assert len({t.toDebugString.split("\n", 1)[1] for t in grown.trees}) == 10
+    assert sum(grown.featureImportances) == pytest.approx(1)
+    found = {r["k"]: (r["probability_active"], r["predicted_activity"]) for r in models.predict(fitted, table).collect()}
+    scaled = np.array([list(r[0]) for r in forests.features_of(fitted, table.orderBy("k"), []).collect()])
+    assert [found[k][0] for k in sorted(found)] == pytest.approx(list(forests.trees_of(fitted).predict(scaled)))
+    right = np.mean([found[i][1] == (r[0] + 0.5 * r[1] * r[2] > 0) for i, r in enumerate(x)])
+    assert right > 0.95
+    fitted.save(f"{tmp_path}/model")
+    again = models.predict(PipelineModel.load(f"{tmp_path}/model"), table).collect()
+    assert {r["k"]: (r["probability_active"], r["predicted_activity"]) for r in again} == found
+    same = models.predict(models.fit(table, COLUMNS, "y", models.forest(10, 6), weight="weight"), table).collect()
+    assert {r["k"]: r["probability_active"] for r in same} == {k: v[0] for k, v in found.items()}
+
+
+def deep_trees(depth=13, features=12, trees=2):
+    """Complete trees of random cuts, nodes numbered by level."""
+    rng, rows = np.random.default_rng(4), []
+    for tree in range(trees):
+        cover = {0: 2.0 ** (depth + 6)}
+        for node in range(2 ** (depth + 1) - 1):
+            inner = node < 2 ** depth - 1
+            if inner:
+                part = rng.uniform(0.2, 0.8)
+                cover[2 * node + 1], cover[2 * node + 2] = cover[node] * part, cover[node] * (1 - part)
+            rows.append((tree, node, 2 * node + 1 if inner else -1, 2 * node + 2 if inner else -1,
+                         int(rng.integers(features)) if inner else -1, rng.normal() if inner else None, cover[node], rng.random()))
+    return forests.Trees(pa.table([pa.array(c) for c in zip(*rows)],
+                                  names=["tree", "id", "left", "right", "feature", "threshold", "cover", "value"]))
+
+
+def test_attributions_of_deep_trees(spark):
+    trees = deep_trees()
+    x = np.random.default_rng(5).normal(0, 1, (1024, 12))
+    began = time.process_time()
+    found = trees.attributions(x)
+    # One pass over the tree's edges; a polynomial for each leaf and feature took 29 seconds.
+    assert time.process_time() - began < 12
+    assert trees.depth() == 13
+    assert trees.base() + found.sum(axis=1) == pytest.approx(trees.predict(x), abs=1e-9)
+    small = deep_trees(6, 5, 1)
+    row = x[0, :5]
+    for j in range(5):
+        total, others = 0.0, [i for i in range(5) if i != j]
+        for k in range(5):
+            for known in itertools.combinations(others, k):
+                size = math.factorial(k) * math.factorial(4 - k) / math.factorial(5)
+                total += size * (expected_value(small, 0, row, {*known, j}) - expected_value(small, 0, row, known))
+        assert small.attributions(row[None])[0, j] == pytest.approx(total, abs=1e-12)
