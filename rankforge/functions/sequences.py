@@ -220,17 +220,22 @@ def helical_sequence(row_id: Column, hydrophobic_share: float = 0.4, **kw) -> Co
     """15-30 letters: 2-5 positive, then a hydrophobic share of the length, then any."""
     length = (hash_choice(16, row_id, F.lit("len"), **kw) + 15).cast("int")
     n_positive = (hash_choice(4, row_id, F.lit("pos"), **kw) + 2).cast("int")
-    n_hydrophobic = F.floor(length * F.lit(hydrophobic_share)).cast("int")
 
-    def letter(i: Column) -> Column:
-        number = hash_number(row_id, i, **kw)
-        return (
-            F.when(i <= n_positive, pick_letter(C.POSITIVE, number))
-            .when(i <= n_positive + n_hydrophobic, pick_letter(C.HYDROPHOBIC, number))
-            .otherwise(pick_letter(C.AMINO_ACIDS, number))
-        )
+    def letters(length: Column, n_positive: Column) -> Column:
+        n_hydrophobic = F.floor(length * F.lit(hydrophobic_share)).cast("int")
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), length), letter), "")
+        def letter(i: Column) -> Column:
+            number = hash_number(row_id, i, **kw)
+            return (
+                F.when(i <= n_positive, pick_letter(C.POSITIVE, number))
+                .when(i <= n_positive + n_hydrophobic, pick_letter(C.HYDROPHOBIC, number))
+                .otherwise(pick_letter(C.AMINO_ACIDS, number))
+            )
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), length), letter), "")
+
+    return bind(F.struct(length.alias("length"), n_positive.alias("n_positive")),
+                lambda drawn: letters(drawn["length"], drawn["n_positive"]))
 
 
 def cyclic_sequence(c: Column) -> Column:

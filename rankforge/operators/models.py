@@ -81,7 +81,8 @@ def fit(train: DataFrame, columns: list[str], label: str, model, scaled: bool =
     stages = [assembler(columns)]
     if scaled:
         stages = [scaling_stage(rows, columns), assembler([scaled_name(c) for c in columns])]
-    size = rows.count() if isinstance(model, RandomForestClassifier) else 0
+    several = isinstance(model, RandomForestClassifier) and model.getNumTrees() > GROUP_TREES
+    size = rows.count() if several else 0
     if size < GROUPED_ROWS:
         return Pipeline(stages=[*stages, model]).fit(rows)
     for stage in stages:
@@ -111,8 +112,6 @@ def fit_in_groups(rows: DataFrame, size: int, model: RandomForestClassifier) ->
 
 def joined_forest(groups: list[RandomForestClassificationModel]) -> RandomForestClassificationModel:
     """One forest of the trees of all groups, in their order."""
-    if len(groups) == 1:
-        return groups[0]
     first, own = groups[0], [tree._java_obj for g in groups for tree in g.trees]
     context = SparkSession.active().sparkContext
     kinds = context._jvm.org.apache.spark.ml.classification
