@@ -244,7 +244,7 @@ LANDED = """landed AS (
 
 def reactants(spark: SparkSession, folder: str) -> DataFrame:
     """Aldehydes from parts and amines from nations, as one reactant table."""
-    part = read(spark, folder, "part").select("p_partkey", "p_size", "p_name")
+    part = read_spread(spark, folder, "part", "p_partkey", "p_size", "p_name")
     nation = read(spark, folder, "nation").select("n_nationkey", "n_name")
     k = F.col("p_partkey")
     aldehydes = part.select(

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -10,8 +11,10 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
+from rankforge.functions.sequences import helical_sequence
 from rankforge.operators import forests, metrics, models, training
 from rankforge.operators.ordering import running_totals, shuffled_rank
+from rankforge.plans.catalog_training import regression_forest
 
 
 def scored(spark, seed=0, n=300):
@@ -381,3 +384,30 @@ def test_attributions_of_deep_trees(spark):
                 size = math.factorial(k) * math.factorial(4 - k) / math.factorial(5)
                 total += size * (expected_value(small, 0, row, {*known, j}) - expected_value(small, 0, row, known))
         assert small.attributions(row[None])[0, j] == pytest.approx(total, abs=1e-12)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sorted_predictions_are_made_once(spark, tmp_path):
+    part = spark.range(200).selectExpr("id p_partkey", "cast(id % 50 as int) p_size", "'Brand#12' p_brand", "'n' p_name")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0, "A"), (3, "B")], "n_nationkey INT, n_name STRING").write.parquet(f"{tmp_path}/nation.parquet")
+    found = regression_forest(spark, str(tmp_path))
+    plan = plan_of(found)
+    assert "Sort" in plan and "UDF" not in plan and "features" not in plan
+    rows = found.collect()
+    assert len(rows) == 300
+    assert rows == sorted(rows, key=lambda r: (-r["predicted_solubility"], r["product"], r["aldehyde"], r["amine"]))
+
+
+def test_generated_sequences_draw_their_length_once(spark):
+    made = spark.range(40).select(F.col("id"), helical_sequence(F.col("id")).alias("s"))
+    assert plan_of(made).count("md5(") == 3 + 2  # length, positive letters, and a letter's number in three branches
+    for r in made.collect():
+        drawn = [int(hashlib.md5(f"42:{r['id']}:{x}".encode()).hexdigest()[:8], 16) for x in ("len", "pos", *range(1, 31))]
+        length, positive = 15 + drawn[0] % 16, 2 + drawn[1] % 4
+        kinds = ["RKH" if i < positive else "AILMFVWP" if i < positive + int(length * 0.4) else "ACDEFGHIKLMNPQRSTVWY"
+                 for i in range(length)]
+        assert r["s"] == "".join(k[drawn[2 + i] % len(k)] for i, k in enumerate(kinds))
