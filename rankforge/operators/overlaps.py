@@ -74,18 +74,27 @@ def near(left: Sized, right: Sized, threshold: float, strict: bool = False,
          ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places on both sides and similarity of all pairs that reach the threshold (``strict``: exceed it), strip by strip.
 
-    Sets of similarity t have sizes within a factor t, so a strip only meets the rows of such sizes.
+    Sets of similarity t have sizes within a factor t, so a strip only meets the rows of such sizes; they share at least
+    t / (1 + t) of the sum of their sizes, so only such pairs are divided.
     """
+    share = np.float32(max(threshold, 0) / (1 + max(threshold, 0)))
+    unpacked = bits_of(right.words) if len(right.sizes) <= 16 * STRIP else None
     for at in range(0, len(left.sizes), STRIP):
-        sizes = left.sizes[at:at + STRIP]
+        sizes, bits = left.sizes[at:at + STRIP], bits_of(left.words[at:at + STRIP])
         there = right.between(np.floor(threshold * sizes[0]), np.ceil(sizes[-1] / threshold))
         for start in range(there.start, there.stop, 8 * STRIP):
             some = slice(start, min(start + 8 * STRIP, there.stop))
-            found = tanimoto_matrix(bits_of(left.words[at:at + STRIP]) @ bits_of(right.words[some]).T, sizes,
-                                    right.sizes[some])
-            x, y = np.nonzero(found > threshold if strict else found >= threshold)
+            shared = bits @ (bits_of(right.words[some]) if unpacked is None else unpacked[some]).T
+            # Less a little, for the rounding of the bound.
+            least = (share * sizes - np.float32(0.01)).astype(np.float32)[:, None] + (share * right.sizes[some]).astype(np.float32)
+            x, y = np.nonzero(shared >= least)
+            both = shared[x, y].astype(np.float64)
+            union = sizes[x] + right.sizes[some][y] - both
+            found = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+            good = found > threshold if strict else found >= threshold
+            x, y, found = x[good], y[good], found[good]
             if len(x):
-                yield left.order[at + x], right.order[some][y], found[x, y]
+                yield left.order[at + x], right.order[some][y], found
 
 
 class TopHits:

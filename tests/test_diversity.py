@@ -272,3 +272,24 @@ def test_index_of_few_or_no_rows(spark):
     none = vector_index.build_index(table.limit(0), "vec_id", "v")
     assert vector_index.search_index(none, asked, 10)[0].count() == 0
     assert vector_index.search_index(none, asked.limit(0), 10)[0].count() == 0
+
+
+def test_near_divides_only_pairs_that_can_pass_and_unpacks_a_side_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    bits = rng.random((40, 1024)) < np.linspace(0.2, 0.3, 40)[:, None]
+    bits = np.repeat(bits, 60, axis=0) ^ (rng.random((2400, 1024)) < 0.03)
+    bits[0], bits[1], bits[2] = np.arange(1024) < 10, np.arange(1024) < 8, False  # exactly 0.8, and no bits
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    sizes = bits.sum(axis=1).astype(np.int64)
+    unpacked, real = [], overlaps.bits_of
+    monkeypatch.setattr(overlaps, "bits_of", lambda w: (unpacked.append(len(w)), real(w))[1])
+    shared = bits.astype(np.float32) @ bits.T.astype(np.float32)
+    every = overlaps.tanimoto_matrix(shared, sizes, sizes)
+    side = overlaps.Sized(words, sizes)
+    for strict in (True, False):
+        unpacked.clear()
+        got = {(int(x), int(y)): s for part in overlaps.near(side, side, 0.8, strict) for x, y, s in zip(*part)}
+        wanted = np.argwhere(every > 0.8 if strict else every >= 0.8)
+        assert got == {(int(x), int(y)): every[x, y] for x, y in wanted}
+        assert len(got) > 2400 and ((0, 1) in got) is not strict
+        assert sum(unpacked) == 4800
