@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankforge.config import SEED
@@ -13,9 +14,14 @@ from rankforge.functions.text import hash_uniform
 from rankforge.operators.ordering import seeded_key, shuffled_rank
 from rankforge.session import written
 
-#: Rows of one block of the neighbour search, and the most pivots.
+#: Rows of one cell of the neighbour search, the most pivots, and the rows that one task meets at a time.
 BLOCK = 2000
 PIVOTS = 1024
+SHELF = 32768
+#: Fewer rows are dealt over so many shelves, which sends every point at most so often to each side.
+SHELVES = 8
+#: Rows of one matrix product and its cells, rows on either side for a first bound, and pairs measured at a time.
+STRIPE, PRODUCT, NEARBY, PAIRS = 256, 4_000_000, 1024, 65536
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = SEED) -> DataFrame:
@@ -81,16 +87,109 @@ def _distances(points: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares - 2 * points @ others.T, 0.0))
 
 
+def _points_of(column) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _key_ranks(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """Keys as numbers of the same order over all columns, nulls first."""
+    coded = pa.concat_arrays([x for c in columns for x in c.chunks]).dictionary_encode("encode")
+    order = pc.array_sort_indices(coded.dictionary, null_placement="at_start").to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return np.split(rank[coded.indices.to_numpy()], np.cumsum([len(c) for c in columns])[:-1])
+
+
+def _without_copies(points: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that can be among the k nearest of a row of any other key.
+
+    Of equal points these are the first k + 1 keys, and k rows of each.
+    """
+    plain = np.ascontiguousarray(points + 0.0)  # no negative zeros
+    group = np.unique(plain.view(f"V{plain.shape[1] * 8}").ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((keys, group))
+    g, at = group[order], np.arange(len(order))
+    new_group = np.r_[True, g[1:] != g[:-1]]
+    new_key = new_group | np.r_[True, keys[order][1:] != keys[order][:-1]]
+    nth_key = np.cumsum(new_key) - np.cumsum(new_key)[np.maximum.accumulate(np.where(new_group, at, 0))]
+    nth_row = at - np.maximum.accumulate(np.where(new_key, at, 0))
+    return np.sort(order[(nth_key <= k) & (nth_row < k)])
+
+
+def _closest(mine: np.ndarray, my_keys: np.ndarray, bound: np.ndarray, theirs: np.ndarray, their_keys: np.ndarray, k: int):
+    """Yields rows, others and exact distances of the k nearest rows of another key, none further away than the bound.
+
+    One matrix product gives the squares of some rows at a time; only pairs that it leaves within the
+    bound, or within the k-th of the row where there is none, are measured exactly.
+    """
+    kept = _without_copies(theirs, their_keys, k)
+    kept = kept[np.isfinite(theirs[kept]).all(axis=1)]
+    theirs, their_keys = theirs[kept], their_keys[kept]
+    squares, their_squares = (mine ** 2).sum(axis=1), (theirs ** 2).sum(axis=1)
+    one = np.ones(max(len(mine), len(theirs)))
+    left = np.column_stack([-2 * mine, squares, one[:len(mine)]])
+    right = np.column_stack([theirs, one[:len(theirs)], their_squares]).T
+    slack = 1e-11 * (squares + their_squares.max(initial=0.0))
+    by_key = np.argsort(their_keys, kind="stable")
+    first, last = (np.searchsorted(their_keys[by_key], my_keys, side) for side in ("left", "right"))
+    size = max(1, min(STRIPE, PRODUCT // max(1, len(theirs))))
+    for at in range(0, len(mine), size):
+        stripe = slice(at, at + size)
+        far = left[stripe] @ right
+        same = (last - first)[stripe]
+        rows = np.repeat(np.arange(len(far)), same)
+        far[rows, by_key[np.repeat(first[stripe] - np.cumsum(same) + same, same) + np.arange(len(rows))]] = np.inf
+        limit = bound[stripe] ** 2
+        unknown = np.flatnonzero(np.isinf(limit))
+        if len(unknown) and len(theirs) > k:
+            limit[unknown] = np.partition(far[unknown], k - 1, axis=1)[:, k - 1]
+        limit = np.minimum(limit * (1 + 1e-9) + slack[stripe], np.finfo(float).max)
+        row, other = np.nonzero(far <= limit[:, None])
+        exact = np.empty(len(row))
+        for i in range(0, len(row), PAIRS):
+            some = slice(i, i + PAIRS)
+            exact[some] = np.sqrt(((mine[at + row[some]] - theirs[other[some]]) ** 2).sum(axis=1))
+        order = np.lexsort((their_keys[other], exact, row))
+        row, other, exact = row[order], other[order], exact[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        yield at + row[best], kept[other[best]], exact[best]
+
+
+def _shelves(pivots: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shelf and number of shelves of every cell: near cells share one of at most ``most`` rows, a larger cell has several."""
+    order, waiting = [], [np.arange(len(pivots))]
+    while waiting:
+        some = waiting.pop()
+        if len(some) == 1:
+            order.append(int(some[0]))
+            continue
+        some = some[np.argsort(pivots[some, pivots[some].var(axis=0).argmax()], kind="stable")]
+        before = np.cumsum(rows[some])
+        half = min(max(1, int(np.searchsorted(before, before[-1] / 2))), len(some) - 1)
+        waiting += [some[half:], some[:half]]
+    start, pieces = np.zeros(len(pivots), np.int64), np.maximum(1, -(-rows // most))
+    shelf, filled = -1, most
+    for cell in order:
+        if filled + rows[cell] > most:
+            shelf, filled = shelf + 1, 0
+        start[cell] = shelf
+        if pieces[cell] > 1:
+            shelf += int(pieces[cell]) - 1
+        filled = filled + rows[cell] if pieces[cell] == 1 else most
+    return start, pieces
+
+
 def nearest_neighbours(rows: DataFrame, columns: list[str], key: str, k: int = 5, seed: int = SEED,
                        block: int = BLOCK) -> DataFrame:
     """The exact k nearest other rows of every row: ``key``, ``place`` (from 0), ``near`` and its ``_point``.
 
-    Rows are assigned to the nearest of some pivot rows.  A row's k-th neighbour is no further than
-    its distance to a pivot plus that pivot's own k-th member, and by the triangle inequality a cell
-    further away than that, less its radius, holds no neighbour.  A row only meets the cells that
-    are left, in blocks of bounded size, and every size takes the same way.  Rows of one block ask
-    together, and a block goes only to the parts that ask for it.  The driver sees the pivots and one
-    row per cell, at most ``PIVOTS`` or, if that is more, the square root of the number of rows.
+    Rows are assigned to the nearest of some pivot rows, one for every ``block`` rows, and cells that lie
+    near each other share a shelf of bounded size.  A row's k-th neighbour is no further than its k-th
+    among some rows of its own shelf, and by the triangle inequality a cell further away than that, less
+    its radius, holds no neighbour.  A shelf of rows only meets the shelves that are left for any of them,
+    two at a time, as one matrix product; points are sent once for each such pair of shelves, and of the
+    answers only keys and distances.  The driver sees the pivots and one row per cell, at most ``PIVOTS``
+    or, if that is more, the square root of the number of rows.
     """
     kind = rows.schema[key].dataType.simpleString()
     plain = rows.select(F.col(key).alias("key"),
@@ -103,85 +202,85 @@ def nearest_neighbours(rows: DataFrame, columns: list[str], key: str, k: int = 5
             [], f"`{key}` {kind}, place INT, near {kind}, _point ARRAY<DOUBLE>")
     pivots = np.array([r["point"] for r in chosen], float).reshape(len(chosen), -1)
 
-    def points_of(column) -> np.ndarray:
-        return column.flatten().to_numpy().reshape(len(column), -1)
-
     def assign(batches):
         for batch in batches:
             if batch.num_rows:
-                far = _distances(points_of(batch.column("point")), pivots)
+                far = _distances(_points_of(batch.column("point")), pivots)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(far.argmin(axis=1).astype(np.int32)), pa.array(far.min(axis=1))],
                     names=["key", "point", "cell", "far"])
 
-    placed = written(plain.mapInArrow(assign, f"key {kind}, point array<double>, cell int, far double"), "cells")
-    nth = F.row_number().over(Window.partitionBy("cell").orderBy("far"))
-    reach = placed.select("cell", "far").withColumn("_nth", nth).filter(F.col("_nth") <= k + 1).groupBy("cell").agg(
-        F.max("far").alias("reach"), F.count("*").alias("held"))
-    size = placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("rows"))
-    cells = size.join(reach, "cell").collect()
-    radius, limit = np.full(len(pivots), -np.inf), np.full(len(pivots), np.inf)
-    blocks = np.ones(len(pivots), np.int64)
-    for c in cells:
-        radius[c["cell"]] = c["radius"]
-        blocks[c["cell"]] = -(-c["rows"] // block)
-        if c["held"] > k:
-            limit[c["cell"]] = c["reach"]
-    def visits(batches):
-        for batch in batches:
-            if batch.num_rows:
-                far = _distances(points_of(batch.column("point")), pivots)
-                bound = (far + limit).min(axis=1)[:, None] * (1 + 1e-9) + 1e-9
-                seen = [np.flatnonzero(row) for row in far - radius <= bound]
-                to = [[{"cell": int(c), "block": b} for c in cs for b in range(int(blocks[c]))] for cs in seen]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("part"), batch.column("key"), batch.column("point"),
-                     pa.array(to, pa.list_(pa.struct([("cell", pa.int32()), ("block", pa.int64())])))],
-                    names=["part", "key", "point", "to"])
-
-    of_cell = F.get(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell"))
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), of_cell))
-    # Rows of one block of a cell ask together: they want much the same cells.
-    asking = written(dealt.select(F.concat_ws(":", "cell", "block").alias("part"), "key", "point").mapInArrow(
-        visits, f"part string, key {kind}, point array<double>, to array<struct<cell:int,block:bigint>>"), "asking")
-    members = asked_members(dealt.select("cell", "block", "key", "point"), asking)
-    asking = asking.select(F.inline("to"), "part", "key", "point")
+    # The number of a row is written with it: keys may repeat.
+    placed = written(plain.mapInArrow(assign, f"key {kind}, point array<double>, cell int, far double").withColumn(
+        "row", F.monotonically_increasing_id()), "cells")
+    radius, sizes = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+    for c in placed.groupBy("cell").agg(F.max(F.nanvl("far", F.lit(0.0))).alias("radius"), F.count("*").alias("rows")).collect():
+        radius[c["cell"]], sizes[c["cell"]] = c["radius"], c["rows"]
+    start, pieces = _shelves(pivots, sizes, max(1, min(SHELF, -(-total // SHELVES))))
+    shelf_of = F.get(F.array(*[F.lit(int(x)) for x in start]), F.col("cell"))
+    pieces_of = F.get(F.array(*[F.lit(int(x)) for x in pieces]), F.col("cell"))
+    dealt = placed.select((shelf_of + F.col("row") % pieces_of).cast("int").alias("shelf"), "cell", "row", "key", "point")
+
+    holds = np.zeros((len(pivots), int((start + pieces).max())), np.float32)
+    for cell in np.flatnonzero(sizes):
+        holds[cell, start[cell]:start[cell] + pieces[cell]] = 1
+    largest = np.sqrt((pivots ** 2).sum(axis=1)).max()
+
+    def visits(held: pa.Table) -> pa.Table:
+        """Every row of a shelf with the shelves that may hold its neighbours."""
+        held = held.sort_by("cell")
+        points, keys = _points_of(held["point"].combine_chunks()), _key_ranks(held["key"])[0]
+        limits, wanted = [], []
+        for at in range(0, len(points), STRIPE):
+            mine, some = slice(at, at + STRIPE), slice(max(0, at - NEARBY), at + STRIPE + NEARBY)
+            bound = np.full(len(points[mine]), np.inf)
+            for row, _, far in _closest(points[mine], keys[mine], np.full(len(bound), np.inf), points[some], keys[some], k):
+                kth = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+                bound[row[kth]] = far[kth]
+            # A short distance is the root of a difference of squares, good to 8 digits of these.
+            slack = 1e-6 * (np.sqrt((points[mine] ** 2).sum(axis=1)) + largest)
+            seen = _distances(points[mine], pivots) - radius <= (bound + slack)[:, None]
+            row, shelf = np.nonzero(seen.astype(np.float32) @ holds)
+            limits.append(np.repeat(bound, np.bincount(row, minlength=len(bound))))
+            wanted.append((np.bincount(row, minlength=len(bound)), shelf.astype(np.int32)))
+        ends = np.cumsum(np.concatenate([[0], *[n for n, _ in wanted]])).astype(np.int32)
+        to = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+            [pa.array(np.concatenate([x for _, x in wanted])), pa.array(np.concatenate(limits))], ["shelf", "bound"]))
+        return pa.table([held["shelf"], held["row"], held["key"], held["point"], to],
+                        names=["part", "row", "key", "point", "to"])
+
+    asking = written(dealt.groupBy("shelf").applyInArrow(
+        visits, f"part int, row bigint, key {kind}, point array<double>, to array<struct<shelf:int,bound:double>>"), "asking")
+    members = asked_members(dealt.select("shelf", "row", "key", "point"), asking)
+    asking = asking.select(F.inline("to"), "part", "row", "key", "point")
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out = {"key": [], "far": [], "near": [], "point": []}
+        out = []
         if asked.num_rows and held.num_rows:
-            names, ids = asked["key"].to_pylist(), held["key"].to_pylist()
-            theirs = points_of(held["point"].combine_chunks())
-            mine = points_of(asked["point"].combine_chunks())
-            for at in range(0, len(names), 512):
-                far = _distances(mine[at:at + 512], theirs)
-                wide = min(k + 6, len(ids))
-                some = np.argpartition(far, wide - 1, axis=1)[:, :wide]
-                for row, near in enumerate(some):
-                    point = mine[at + row]
-                    exact = sorted((float(np.sqrt(((point - theirs[j]) ** 2).sum())), ids[j], j)
-                                   for j in near if ids[j] != names[at + row])[:k]
-                    for d, other, j in exact:
-                        out["key"].append(names[at + row])
-                        out["far"].append(d)
-                        out["near"].append(other)
-                        out["point"].append(theirs[j])
-        return pa.table([pa.array(out["key"], asked.schema.field("key").type), pa.array(out["far"], pa.float64()),
-                         pa.array(out["near"], asked.schema.field("key").type),
-                         pa.array(out["point"], pa.list_(pa.float64()))], names=list(out))
-
-    by = ["cell", "block", "part"]
+            my_keys, their_keys = _key_ranks(asked["key"], held["key"])
+            for row, other, far in _closest(
+                    _points_of(asked["point"].combine_chunks()), my_keys, asked["bound"].to_numpy(),
+                    _points_of(held["point"].combine_chunks()), their_keys, k):
+                out.append(pa.table([asked["key"].take(pa.array(row)), pa.array(far, pa.float64()),
+                                     held["key"].take(pa.array(other)), held["row"].take(pa.array(other))],
+                                    names=["key", "far", "near", "row"]))
+        empty = pa.schema([("key", asked.schema.field("key").type), ("far", pa.float64()),
+                           ("near", asked.schema.field("key").type), ("row", pa.int64())]).empty_table()
+        return pa.concat_tables(out) if out else empty
+
+    by = ["shelf", "part"]
     found = asking.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(
-        search, f"key {kind}, far double, near {kind}, point array<double>")
+        search, f"key {kind}, far double, near {kind}, row bigint")
     place = F.row_number().over(Window.partitionBy("key").orderBy("far", "near")) - 1
-    return found.withColumn("place", place).filter(F.col("place") < k).select(
-        F.col("key").alias(key), "place", "near", F.col("point").alias("_point"))
+    nearest = found.withColumn("place", place).filter(F.col("place") < k)
+    return nearest.join(placed.select("row", F.col("point").alias("_point")), "row").select(
+        F.col("key").alias(key), "place", "near", "_point")
 
 
 def asked_members(dealt: DataFrame, asking: DataFrame) -> DataFrame:
-    """The rows of every block once for each part that asks for it."""
-    wanted = asking.select("part", F.inline("to")).distinct()
-    members = dealt.join(wanted, ["cell", "block"])
+    """The rows of every shelf once for each part that asks for it."""
+    wanted = asking.select("part", F.explode(F.transform("to", lambda x: x["shelf"])).alias("shelf")).distinct()
+    members = dealt.join(wanted, ["shelf"])
     return members.toDF(*members.columns)  # with columns of its own, since it meets the asking rows
 
 
