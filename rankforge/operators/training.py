@@ -18,7 +18,7 @@ from rankforge.session import written
 BLOCK = 2000
 PIVOTS = 1024
 SHELF = 32768
-#: Fewer rows are dealt over so many shelves, which sends every point at most so often to each side.
+#: Fewer rows are dealt over about so many shelves, and a point is sent to each side that often.
 SHELVES = 8
 #: Rows of one matrix product and its cells, rows on either side for a first bound, and pairs measured at a time.
 STRIPE, PRODUCT, NEARBY, PAIRS = 256, 4_000_000, 1024, 65536
