@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
@@ -71,6 +72,43 @@ def test_limits_between_bins():
     assert len(heavy) == 1
 
 
+def test_forest_grows_inside_tasks(spark, small, tmp_path):
+    x, table = tree_rows(spark, 400)
+    table = training.add_class_weights(table.withColumn("d", F.when(F.col("k") % 7 > 0, F.col("d"))), "y")
+    fitted = models.fit(table, COLUMNS, "y", models.forest(10, 6), weight="weight")
+    grown = fitted.stages[-1]
+    assert (grown.getNumTrees, grown.getOrDefault("numTrees"), grown.numFeatures, grown.numClasses) == (10, 10, 4, 2)
+    assert grown.getOrDefault("maxDepth") == 6 and len({t.toDebugString.split("\n", 1)[1] for t in grown.trees}) == 10
+    assert max(t.depth for t in grown.trees) <= 6 and sum(grown.featureImportances) == pytest.approx(1)
+    found = {r["k"]: r["probability_active"] for r in models.predict(fitted, table).collect()}
+    given = np.array([list(r[0]) for r in forests.features_of(fitted, table.orderBy("k"), []).collect()])
+    assert [found[k] for k in sorted(found)] == pytest.approx(list(forests.trees_of(fitted).predict(given)))
+    assert np.mean([(found[i] >= 0.5) == (r[0] + 0.5 * r[1] * r[2] > 0) for i, r in enumerate(x)]) > 0.95
+    fitted.save(f"{tmp_path}/model")
+    again = models.predict(PipelineModel.load(f"{tmp_path}/model"), table).collect()
+    assert {r["k"]: r["probability_active"] for r in again} == found
+    # Scaled values depend on the order of sums in their last digits, so rows are dealt anew without scaling.
+    plain = models.fit(table, COLUMNS, "y", models.forest(10, 6), False, "weight")
+    dealt = models.fit(table.repartition(7, "b").sortWithinPartitions("c"), COLUMNS, "y", models.forest(10, 6), False, "weight")
+    assert models.predict(plain, table).collect() == models.predict(dealt, table).collect()
+
+
+def test_other_forests_and_too_many_values_grow_by_spark(spark, monkeypatch):
+    for name, module, value in (("GROWN_ROWS", growth, 100), ("GROUPED_ROWS", models, 100), ("GROUP_TREES", models, 4)):
+        monkeypatch.setattr(module, name, value)
+    _, table = tree_rows(spark, 240)
+    fits = []
+    real = RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: (fits.append(1), real(self, df))[1])
+    three = table.withColumn("y", F.col("k") % 3)
+    assert models.fit(three, COLUMNS, "y", models.forest(8, 3)).stages[-1].numClasses == 3 and len(fits) == 2
+    models.fit(table, COLUMNS, "y", models.forest(8, 3, impurity="entropy"))
+    assert len(fits) == 4
+    monkeypatch.setattr(growth, "TASK_VALUES", 900)
+    models.fit(table, COLUMNS, "y", models.forest(8, 3))
+    assert len(fits) == 6
+
+
 def plain_scores(folded, model, depth, first, last):
     """Scores of held-out rows with trees grown here: (label, score) for each fold."""
     rows = folded.collect()
