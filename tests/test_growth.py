@@ -128,6 +128,30 @@ def plain_scores(folded, model, depth, first, last):
     return out
 
 
+def test_folds_are_scored_where_their_forests_grow(spark, small, monkeypatch):
+    def no(*args, **kw):
+        raise AssertionError("a forest at the driver")
+
+    monkeypatch.setattr(models, "fit", no)
+    monkeypatch.setattr(growth, "loaded_forest", no)
+    _, table = tree_rows(spark, 300)
+    table = table.withColumn("k", F.when(F.col("k") > 5, F.col("k") % 290))  # keys may repeat or be null
+    model = models.forest(9, 5)
+    found = {r["fold"]: r["score"] for r in models.cross_validate(table, COLUMNS, "y", "k", model, 3).collect()}
+    folded = training.stratified_folds(table, "y", "k", 3)
+    expected = {i: plain_auc(rows) for i, rows in plain_scores(folded, model, 5, 0, 9).items()}
+    assert found == pytest.approx(expected) and min(found.values()) > 0.8
+
+
+def test_a_fold_without_a_class_has_no_score(spark, small):
+    _, table = tree_rows(spark, 300)
+    rows = table.withColumn("y", (F.col("k") < 2).cast("int"))
+    found = models.cross_validate(rows, COLUMNS, "y", "k", models.forest(6, 3), 3)
+    assert found.dtypes == [("fold", "int"), ("score", "double")]
+    scores = {r["fold"]: r["score"] for r in found.collect()}
+    assert set(scores) == {0, 1, 2} and scores[2] is None and scores[0] is not None
+
+
 def test_grid_is_scored_where_its_forests_grow(spark, small):
     _, table = tree_rows(spark, 300)
     grid = {"numTrees": [3, 7], "maxDepth": [2, 4], "minInstancesPerNode": [1, 20], "minInfoGain": [0.0, 0.02]}
