@@ -1,11 +1,16 @@
+import itertools
+import math
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
-from rankforge.operators import forests, growth, models, training
-from tests.test_training import COLUMNS, plain_auc, tree_rows
+from rankforge.operators import attributions, forests, growth, models, training
+from tests.test_training import COLUMNS, expected_value, plain_auc, tree_rows
 
 
 @pytest.fixture
@@ -163,3 +168,66 @@ def test_grid_is_scored_where_its_forests_grow(spark, small):
         model = models.forest(7, 4, leaf, minInfoGain=gain)
         scores = plain_scores(folded, model, depth, 0, n)
         assert auc == pytest.approx(np.mean([plain_auc(x) for x in scores.values()]))
+
+
+def grown_trees(x, y, count, depth, features):
+    limits = [growth.thresholds_of(c, np.ones(len(x)), 32) for c in x.T]
+    bins = np.stack([np.searchsorted(limit, c) for limit, c in zip(limits, x.T)], 1).astype(np.uint8)
+    tables = []
+    for number in range(count):
+        tree = growth.grow(bins, y, None, growth.most_bins(limits), growth.Rules(depth, 1, 0.0, 0.0, features, 1.0, 3), number)
+        threshold = [limits[f][c] if f >= 0 else 0.0 for f, c in zip(tree.feature, tree.cut)]
+        n = len(threshold)
+        tables.append(pa.table({"tree": np.full(n, number), "id": np.arange(n), "left": tree.left, "right": tree.right,
+                                "feature": tree.feature, "threshold": threshold, "cover": tree.count, "value": tree.share()}))
+    return forests.Trees(pa.concat_tables(tables))
+
+
+@pytest.mark.parametrize("bits, part", [(16, 7), (3, 1), (1, 1), (4, 3)])
+def test_attributions_however_trees_are_cut_into_parts(monkeypatch, bits, part):
+    monkeypatch.setattr(attributions, "BITS", bits)
+    monkeypatch.setattr(attributions, "PART_BITS", part)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 5))
+    trees = grown_trees(x, (x[:, 0] * x[:, 1] + 0.3 * x[:, 2] > 0).astype(float), 3, 6, 3)
+    x[3, 0], x[4, 2] = np.nan, np.inf
+    found = trees.attributions(x[:12])
+    assert found == pytest.approx(trees.attributions(x)[:12])
+    assert found == pytest.approx(sum(trees.attributions(x[:12], range(i, i + 1)) for i in range(3)))
+    for row, got in zip(np.where(np.isnan(x[:12]), np.inf, x[:12]), found):
+        for j in range(5):
+            others, total = [i for i in range(5) if i != j], 0.0
+            for k in range(5):
+                for known in itertools.combinations(others, k):
+                    part = sum(w * (expected_value(trees, t, row, {*known, j}) - expected_value(trees, t, row, known))
+                               for t, w in enumerate(trees.weights))
+                    total += math.factorial(k) * math.factorial(4 - k) / math.factorial(5) * part
+            assert got[j] == pytest.approx(total, abs=1e-12)
+
+
+def test_attributions_of_many_rows_cost_little_more_than_of_few():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(16_000, 20))
+    trees = grown_trees(x, (x[:, 0] + x[:, 1] + rng.normal(size=len(x)) > 0).astype(float), 1, 11, 5)
+    took = []
+    for rows in (x[:1000], x):
+        start = time.process_time()
+        trees.attributions(rows)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0]
+
+
+def test_attributions_by_blocks_and_groups_of_trees(spark, monkeypatch):
+    monkeypatch.setattr(forests, "ATTRIBUTED", 50)
+    x, table = tree_rows(spark, 120)
+    table = table.withColumn("k", F.when(F.col("k") > 3, F.col("k") % 100))  # keys may repeat or be null
+    fitted = models.fit(table, COLUMNS, "y", models.forest(5, 4), scaled=False)
+    found = forests.attribute(fitted, table, ["k", "a"])
+    assert found.dtypes == [("k", "int"), ("a", "double"), ("base", "double"), ("attributions", "array<double>"), ("modelled", "double")]
+    trees = forests.trees_of(fitted)
+    expected = sorted(zip(x[:, 0].tolist(), map(tuple, trees.attributions(x).round(9).tolist())))
+    rows = found.collect()
+    assert sorted((r["a"], tuple(round(v, 9) for v in r["attributions"])) for r in rows) == expected
+    assert sorted(r["k"] for r in rows if r["k"] is not None) == sorted(i % 100 for i in range(4, 120))
+    assert sorted(r["modelled"] for r in rows) == pytest.approx(sorted(trees.predict(x)))
+    assert forests.attribute(fitted, table.limit(0), ["k"]).collect() == []
