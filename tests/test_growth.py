@@ -68,8 +68,7 @@ def test_every_node_takes_the_best_split(monkeypatch, weighted, cells):
 
 
 def test_limits_between_bins():
-    some = np.array([3.0, 1.0, np.nan, 1.0, 2.0])
-    assert growth.thresholds_of(some, np.ones(5), 32).tolist() == [1.5, 2.5, np.finfo(float).max]
+    assert growth.thresholds_of(np.array([3.0, 1.0, 1.0, 2.0]), np.ones(4), 32).tolist() == [1.5, 2.5]
     assert growth.thresholds_of(np.ones(4), np.ones(4), 32).tolist() == []
     many = growth.thresholds_of(np.arange(1000.0), np.ones(1000), 4)
     assert many == pytest.approx([249.5, 499.5, 749.5], abs=1)
@@ -79,7 +78,7 @@ def test_limits_between_bins():
 
 def test_forest_grows_inside_tasks(spark, small, tmp_path):
     x, table = tree_rows(spark, 400)
-    table = training.add_class_weights(table.withColumn("d", F.when(F.col("k") % 7 > 0, F.col("d"))), "y")
+    table = training.add_class_weights(table, "y")
     fitted = models.fit(table, COLUMNS, "y", models.forest(10, 6), weight="weight")
     grown = fitted.stages[-1]
     assert (grown.getNumTrees, grown.getOrDefault("numTrees"), grown.numFeatures, grown.numClasses) == (10, 10, 4, 2)
@@ -112,6 +111,22 @@ def test_other_forests_and_too_many_values_grow_by_spark(spark, monkeypatch):
     monkeypatch.setattr(growth, "TASK_VALUES", 900)
     models.fit(table, COLUMNS, "y", models.forest(8, 3))
     assert len(fits) == 6
+    monkeypatch.setattr(growth, "TASK_VALUES", 1 << 20)
+    models.fit(table, COLUMNS, "y", models.forest(8, 3))
+    assert len(fits) == 6
+
+
+@pytest.mark.parametrize("column, value", [("d", None), ("d", float("inf")), ("y", None)])
+def test_values_that_no_forest_takes_are_errors(spark, monkeypatch, column, value):
+    for name, module, rows in (("GROWN_ROWS", growth, 100), ("GROUPED_ROWS", models, 100), ("GROUP_TREES", models, 4)):
+        monkeypatch.setattr(module, name, rows)
+    _, table = tree_rows(spark, 240)
+    odd = table.withColumn(column, F.when(F.col("k") != 7, F.col(column)).otherwise(F.lit(value)))
+    with pytest.raises(Exception, match="MUST NOT be"):
+        models.fit(odd, COLUMNS, "y", models.forest(8, 3), scaled=False)
+    if column == "d":
+        with pytest.raises(Exception, match="MUST NOT be"):
+            models.cross_validate(odd, COLUMNS, "y", "k", models.forest(8, 3), 3).collect()
 
 
 def plain_scores(folded, model, depth, first, last):
